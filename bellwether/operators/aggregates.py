@@ -51,14 +51,22 @@ def bucket_stats(items: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("simfrac").alias("simfrac"), F.min(s).alias("sent_min"), F.max(s).alias("sent_max"))
 
 
-def joined_text(news: DataFrame, keys: list[Column], sep: str = " . ") -> DataFrame:
-    """All texts of a day in time order, as one document.
+def joined_text(news: DataFrame, day: Column, sep: str = " . ", part_size: int = 10_000) -> DataFrame:
+    """Texts of a (ticker, date) in time order, joined into one document.
 
-    The result is one string per key by definition; a day's bucket must fit one row.
+    A document longer than ``part_size`` texts is kept whole as numbered parts, so that a
+    very busy day is neither one row nor one task. Only keys are ranked; each text is
+    moved once.
     """
-    item = F.struct("published_at", "news_id", "title")
-    return news.groupBy(*keys).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(item)), lambda x: x["title"]), sep).alias("doc_text"))
+    keys = news.select("news_id", "ticker", day.alias("date"), "published_at")
+    r = R.global_rank(keys, [F.asc(c) for c in ("ticker", "date", "published_at", "news_id")])
+    first = r.groupBy("ticker", "date").agg(F.min("rank").alias("_first"))
+    r = r.join(first, ["ticker", "date"]).withColumn(
+        "part", F.floor((F.col("rank") - F.col("_first")) / part_size))
+    item = F.struct("rank", "title")
+    return r.join(news.select("news_id", "title"), "news_id").groupBy("ticker", "date", "part").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["title"]), sep).alias("doc_text"))
 
 
 def small_caps(caps: DataFrame) -> DataFrame:
@@ -212,12 +220,13 @@ def length_histogram(tokens: DataFrame, width: int = 50) -> DataFrame:
 def granularity(news: DataFrame, ts: str = "published_at") -> DataFrame:
     """Timestamp probe: share of whole minutes and five-minute marks, and histograms."""
     t = F.col(ts)
+    def one(name: Column, v: Column) -> Column:
+        return F.struct(name.alias("probe"), v.cast("int").alias("v"))
+
     probe = F.array(
-        F.struct(F.lit("second_zero").alias("probe"), (clock(t) % 60 == 0).cast("int").alias("v")),
-        F.struct(F.lit("minute_fifth"), (F.minute(t) % 5 == 0).cast("int")),
-        F.struct(F.concat(F.lit("hour_"), F.hour(t).cast("string")), F.lit(1)),
-        F.struct(F.concat(F.lit("minute_"), F.minute(t).cast("string")), F.lit(1)),
-        F.struct(F.concat(F.lit("weekday_"), F.weekday(t).cast("string")), F.lit(1)))
+        one(F.lit("second_zero"), clock(t) % 60 == 0), one(F.lit("minute_fifth"), F.minute(t) % 5 == 0),
+        *[one(F.concat(F.lit(f"{n}_"), f(t).cast("string")), F.lit(1))
+          for n, f in (("hour", F.hour), ("minute", F.minute), ("weekday", F.weekday))])
     return news.select(F.inline(probe)).groupBy("probe").agg(
         F.count(F.lit(1)).alias("n"), F.avg("v").alias("share"))
 

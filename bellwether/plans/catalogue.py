@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("panel",)
+MODULES = ("panel", "aggregates", "joins")
 
 for _m in MODULES:
     importlib.import_module(f"bellwether.plans.{_m}")

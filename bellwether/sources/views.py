@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bellwether.functions import text as X
 from bellwether.operators import calendar as cal
 from bellwether.operators import windows as W
+from bellwether.operators.text import triples_from_tags, vocabulary
 
 # The tickers of the tick table, in sorted order.
 TICKERS = ["click", "error", "purchase", "signup", "view"]
@@ -76,7 +77,7 @@ class Views:
     @cached_property
     def caps(self) -> DataFrame:
         s = self.table("supplier").select(F.col("s_suppkey").cast("string").alias("ticker"),
-                                          (F.abs("s_acctbal") + 1).alias("shares"))
+                                          (F.floor(F.abs("s_acctbal")) + 1).alias("shares"))
         return self.bars.join(s, "ticker").select(
             "ticker", "date", (F.col("shares") * F.col("close")).alias("market_cap"))
 
@@ -139,6 +140,11 @@ class Views:
     def vector_news(self) -> DataFrame:
         return self.news.select("news_id", "ticker", "published_at").join(self.news_vec, "news_id")
 
+    @cached_property
+    def vector_scored(self) -> DataFrame:
+        """News that have a vector, with sentiment (0 when missing)."""
+        return self.vector_news.join(self.sentiment, "news_id", "left").fillna(0.0, ["sent"])
+
     @cached_property
     def sessioned(self) -> DataFrame:
         return cal.assign_session(self.scored_news, self.calendar)
@@ -164,8 +170,34 @@ class Views:
             F.col("form").alias("alias"), "rk",
             F.element_at(tickers, (1 + (F.col("rk") - 1) % len(TICKERS)).cast("int")).alias("ticker"))
 
+    @cached_property
+    def rules(self) -> DataFrame:
+        """A matching rule per alias, by its rank: every kind of rule occurs."""
+        r = F.col("rk")
+        return self.aliases.select(
+            "alias", F.when(r % 2 == 0, "run").otherwise("word").alias("kind"),
+            (r % 3 == 0).alias("ambiguous"),
+            F.when(r == 4, F.concat(F.lit("(^| )"), F.col("alias"), F.lit(" [a-z]+[.]"))).alias("tight"))
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Event triples of the tagged texts, with ticker and time."""
+        t = triples_from_tags(self.tagged)
+        return t.join(self.news.select("news_id", "ticker", "published_at"), "news_id").withColumn(
+            "key", X.event_key("o1", "p", "o2"))
+
     @cached_property
     def tagged(self) -> DataFrame:
         tags = F.array(*[F.lit(t) for t in ["N", "N", "S", "O", "V", "A"]])
         return self.tokens.withColumn(
             "tag", F.element_at(tags, (1 + F.length("form") % 6).cast("int")))
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        """Tokens seen at least five times, numbered by descending frequency."""
+        return vocabulary(self.tokens, 5)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """Word vectors: the word numbered i takes the i-th given embedding."""
+        return self.vocab.join(self.news_vec, F.col("word_id") == F.col("news_id") + 1).select("form", "word_id", "vec")
