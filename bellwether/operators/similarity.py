@@ -46,27 +46,29 @@ def novelty(items: DataFrame, days: int = 7, threshold: float = 0.8, block: int
     ``nov`` is 1 minus the largest cosine, ``n7`` the number of such items, ``simfrac``
     the share with cosine above ``threshold``; an item with none gets 1, 0, 0.
 
-    Items of a (ticker, day) are dealt into blocks of about ``block`` rows by hashed id,
-    so a hot ticker or day becomes many blocks instead of one large group. Each block
-    meets the blocks of the same and the ``days`` earlier days; results are combined per
-    item by max and sum.
+    Each (ticker, day) is dealt by hashed id into blocks of about ``block`` items, and the
+    earlier items it must meet into as many blocks as they fill; a task compares one block
+    with one block. A hot ticker or day becomes many such tasks instead of one large
+    group, and results are combined per item by max and sum.
     """
-    day = F.to_date("published_at")
-    base = items.select("ticker", "news_id", "published_at", "vec", day.alias("day"))
-    sizes = base.groupBy("ticker", "day").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    # one row per pair of blocks to compare; blocks, not items
-    late = sizes.select("ticker", F.col("day").alias("dl"), F.col("k").alias("kl"),
-                        F.explode(F.sequence(F.date_sub("day", days), "day")).alias("dr"))
-    early = sizes.select("ticker", F.col("day").alias("dr"), F.col("k").alias("kr"))
-    work = (late.join(early, ["ticker", "dr"])
-            .withColumn("bl", F.explode(F.sequence(F.lit(0), F.col("kl") - 1)))
-            .withColumn("br", F.explode(F.sequence(F.lit(0), F.col("kr") - 1)))
-            .select("ticker", "dl", "bl", "dr", "br"))
-    blocks = base.join(sizes, ["ticker", "day"]).withColumn(
-        "b", F.pmod(F.xxhash64("news_id"), F.col("k")).cast("int")).drop("k")
-    keys = ["ticker", "dl", "bl", "dr", "br"]
-    left = work.join(blocks.withColumnsRenamed({"day": "dl", "b": "bl"}), ["ticker", "dl", "bl"])
-    right = work.join(blocks.withColumnsRenamed({"day": "dr", "b": "br"}), ["ticker", "dr", "br"])
+    base = items.select("ticker", "news_id", "published_at", "vec", F.to_date("published_at").alias("day"))
+    n = base.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("n"))
+    met = n.select("ticker", F.explode(F.sequence("day", F.date_add("day", days))).alias("day"), F.col("n").alias("m"))
+    plan = n.join(met, ["ticker", "day"]).groupBy("ticker", "day").agg(
+        F.ceil(F.max("n") / block).cast("int").alias("kl"), F.ceil(F.sum("m") / block).cast("int").alias("kr"))
+
+    def share(k: str):
+        return F.pmod(F.xxhash64("news_id"), F.col(k)).cast("int")
+
+    def every(k: str):
+        return F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+
+    keys = ["ticker", "day", "bl", "br"]
+    cols = [*keys, "news_id", "published_at", "vec"]
+    left = base.join(plan, ["ticker", "day"]).withColumn("bl", share("kl")).withColumn("br", every("kr")).select(*cols)
+    later = base.withColumn("day", F.explode(F.sequence("day", F.date_add("day", days))))
+    right = later.join(plan, ["ticker", "day"]).withColumn("br", share("kr")).withColumn("bl", every("kl")).select(*cols)
+    right = right.toDF(*right.columns)  # both sides come from the same rows
     fn = _compare(threshold, np.timedelta64(days, "D"))
     stats = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fn, _STATS)
     g = stats.groupBy("news_id").agg(F.max("best").alias("best"), F.sum("n").alias("n7"), F.sum("hits").alias("hits"))

@@ -90,7 +90,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, sum(CASE WHEN tag = 'N' AND prev <> 'N' THEN 1 ELSE 0 END) OVER
                  (PARTITION BY news_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS np
         FROM (SELECT *, coalesce(lag(tag) OVER (PARTITION BY news_id ORDER BY pos), '') AS prev FROM tagged)"""),
-    "events": (("phrases", "news"), """
+    "triples": (("phrases", "news"), """
         SELECT t.*, n.ticker, n.published_at, t.o1[-1] || '|' || t.p[1] || '|' || t.o2[-1] AS key FROM (
           WITH nps AS (SELECT news_id, np, list(form ORDER BY pos) AS words FROM phrases WHERE tag = 'N' GROUP BY 1, 2),
           pr AS (SELECT news_id, arg_max(tag, pos) AS ptag, arg_max(form, pos) AS pform, arg_max(np, pos) AS pnp
