@@ -148,3 +148,28 @@ def standardise(vectors: DataFrame, vec: str, fit: Column, floor: float = 1e-6)
     z = F.zip_with(F.zip_with(F.col(vec), F.col("_m"), lambda a, m: a.cast("double") - m),
                    F.col("_sd"), lambda d, sd: d / sd)
     return j.withColumn("z", z).drop("_m", "_sd")
+
+
+def event_stats(n_texts: DataFrame, events: DataFrame, known: DataFrame, cutoff: str) -> DataFrame:
+    """Events found, how many have all arguments in the vocabulary, eligible share."""
+    e = events.join(known.select("news_id", F.lit(1).alias("_ok")), "news_id", "left")
+    s = e.agg(F.count(F.lit(1)).alias("rows"), F.count("_ok").alias("in_vocab"),
+              F.avg(F.when(F.to_date("published_at") < F.lit(cutoff).cast("date"), 1.0).otherwise(0.0)).alias("eligible"))
+    t = n_texts.agg(F.count(F.lit(1)).alias("texts"))
+    return R.with_scalars(s, t).withColumn("in_vocab_ratio", F.col("in_vocab") / F.col("rows"))
+
+
+def top_contributions(items: DataFrame, days: DataFrame, weights: DataFrame, k: int = 6,
+                      min_gap: float = 0.03) -> DataFrame:
+    """The items that pushed a linear score most on days with a large gap.
+
+    ``items`` is (ticker, date, news_id, vec), ``days`` (ticker, date, gap, pred_up),
+    ``weights`` one row (w). The share of an item is dot(w, vec) over the day's item count.
+    """
+    big = days.filter(F.abs("gap") >= min_gap).withColumn("correct", F.col("pred_up") == (F.col("gap") > 0))
+    n = items.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n"))
+    j = R.with_scalars(items.join(big, ["ticker", "date"]).join(n, ["ticker", "date"]), weights)
+    j = j.withColumn("contrib", V.dot("w", "vec") / F.col("n"))
+    w = Window.partitionBy("ticker", "date").orderBy(F.desc(F.abs(F.round("contrib", 9))), "news_id")
+    return j.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k).select(
+        "ticker", "date", "gap", "correct", "n", "rk", "news_id", "contrib")

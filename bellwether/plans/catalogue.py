@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("panel", "aggregates", "joins", "sessions")
+MODULES = ("panel", "aggregates", "joins", "sessions", "text")
 
 for _m in MODULES:
     importlib.import_module(f"bellwether.plans.{_m}")

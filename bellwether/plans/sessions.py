@@ -135,7 +135,7 @@ k AS (SELECT ticker, date, prev_date AS a, pp_date AS pp FROM daily_panel WHERE
 s AS (SELECT k.ticker, k.date, list(event_id ORDER BY published_at, news_id) FILTER (WHERE event_id IS NOT NULL) AS ids
   FROM k LEFT JOIN ei e ON e.ticker = k.ticker AND e.date > pp AND e.date <= a GROUP BY 1, 2)
 ---
-kd AS (SELECT ticker, date, a - unnest(range(0, 7)) AS d FROM k)
+kd AS (SELECT ticker, date, a - CAST(unnest(range(0, 7)) AS INTEGER) AS d FROM k)
 ---
 dl AS (SELECT kd.ticker, kd.date, d, list(event_id ORDER BY published_at, news_id) FILTER (WHERE event_id IS NOT NULL) AS ids
   FROM kd LEFT JOIN ei e ON e.ticker = kd.ticker AND e.date = d GROUP BY 1, 2, 3)
