@@ -257,15 +257,15 @@ SELECT k AS month, tp, fp, fn, tn, (tp + tn) / (tp + fp + fn + tn) AS acc,
 
 
 @query("confusion_counts", "AG24", "month:s tp:i fp:i fn:i tn:i acc:f base:f mcc:f", """
-r AS (SELECT strftime(date, '%Y-%m') AS k, h >= o * 1.05 AS y, score > 0.28 AS p FROM scores)
+r AS (SELECT strftime(date, '%Y-%m') AS k, h >= o * 1.05::DOUBLE AS y, score > 0.7 AS p FROM scores)
 ---""" + _CONF, "scores")
 def _(v):
     s = v.scores.withColumn("month", month_key("date"))
-    return A.confusion(s, F.col("h") >= F.col("o") * 1.05, F.col("score") > 0.28, ["month"])
+    return A.confusion(s, F.col("h") >= F.col("o") * 1.05, F.col("score") > 0.7, ["month"])
 
 
 @query("average_precision", "AG25", "ap:f n:i positives:i", """
-g AS (SELECT score, count(*) AS n, count(*) FILTER (WHERE h >= o * 1.05) AS h FROM scores GROUP BY score)
+g AS (SELECT score, count(*) AS n, count(*) FILTER (WHERE h >= o * 1.05::DOUBLE) AS h FROM scores GROUP BY score)
 ---
 c AS (SELECT n, h, sum(n) OVER w AS cn, sum(h) OVER w AS ch FROM g WINDOW w AS (ORDER BY score DESC))
 ---

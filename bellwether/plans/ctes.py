@@ -8,7 +8,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
                arg_min(price, k) AS open, max(price) AS high, min(price) AS low,
                arg_max(price, k) AS close, sum(l_quantity) AS volume
-        FROM (SELECT *, 100.0::DOUBLE + l_extendedprice / 1000.0::DOUBLE AS price,
+        FROM (SELECT *, 100.0::DOUBLE + floor(l_extendedprice) / 10000.0::DOUBLE AS price,
                      row(l_shipdate, l_orderkey, l_linenumber) AS k FROM lineitem)
         GROUP BY 1, 2"""),
     "panel": (("bars",), """
@@ -19,7 +19,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)"""),
     "scores": (("panel",), """
         SELECT ticker, date, open AS o, high AS h, low AS l, close AS c, volume AS vol, gap,
-               phl / (1 + phl) AS score, next_o, gap AS gap_open
+               phl / (0.03::DOUBLE + phl) AS score, next_o, gap AS gap_open
         FROM (SELECT *, lag(hl) OVER w AS phl, lead(open) OVER w AS next_o
               FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date))
         WHERE phl IS NOT NULL"""),
@@ -123,8 +123,8 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date)"""),
     "hit_rows": (("panel",), """
         SELECT * FROM (
-          SELECT *, CASE WHEN high >= open * 1.05 AND open > 0 THEN 1 ELSE 0 END AS up5,
-            CASE WHEN low <= open * 0.95 AND open > 0 THEN 1 ELSE 0 END AS dn5,
+          SELECT *, CASE WHEN high >= open * 1.05::DOUBLE AND open > 0 THEN 1 ELSE 0 END AS up5,
+            CASE WHEN low <= open * 0.95::DOUBLE AND open > 0 THEN 1 ELSE 0 END AS dn5,
             avg(hl) OVER f AS hl20,
             CASE WHEN rn > 3 THEN stddev_pop(coalesce(ret, 0)) OVER f ELSE 0 END AS std20,
             coalesce(lag(hl) OVER w, 0) AS hl_prev, abs(lag(coalesce(ret, 0)) OVER w) AS absr1_prev

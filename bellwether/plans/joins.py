@@ -170,15 +170,15 @@ def _(v):
 
 
 @query("daily_top_picks", "TK2", "date:d ticker:s score:f gap:f rk:i", f"""
-SELECT date, ticker, score, gap, rk FROM ({_TOP} WHERE score >= 0.2 AND gap > -0.1 AND gap <= 0.02) WHERE rk <= 3""", "scores")
+SELECT date, ticker, score, gap, rk FROM ({_TOP} WHERE score >= 0.6 AND gap > -0.1 AND gap <= 0.02) WHERE rk <= 3""", "scores")
 def _(v):
-    return S.top_per_day(v.scores, 3, floor=0.2, gap_above=-0.1, gap_cap=0.02)
+    return S.top_per_day(v.scores, 3, floor=0.6, gap_above=-0.1, gap_cap=0.02)
 
 
 @query("coverage_selection", "TK3", "fraction:f n:i hit:f", """
 r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ticker, date) AS rk, count(*) OVER () AS nn FROM scores)
 ---
-SELECT k AS fraction, count(*) AS n, avg(CASE WHEN h >= o * 1.05 THEN 1.0 ELSE 0.0 END) AS hit
+SELECT k AS fraction, count(*) AS n, avg(CASE WHEN h >= o * 1.05::DOUBLE THEN 1.0 ELSE 0.0 END) AS hit
 FROM r, (SELECT unnest([0.3, 0.2, 0.1, 0.05]::DOUBLE[]) AS k) WHERE rk <= greatest(floor(nn * k), 20) GROUP BY k""", "scores")
 def _(v):
     t = R.top_fraction(v.scores, "score", [0.3, 0.2, 0.1, 0.05], 20, ["ticker", "date"])
@@ -189,7 +189,7 @@ def _(v):
 @query("threshold_selection", "TK4", "prob:f q:f n:i hit:f", """
 q AS (SELECT unnest([0.5, 0.8, 0.9, 0.95]) AS prob, unnest((SELECT quantile_cont(score, [0.5, 0.8, 0.9, 0.95]) FROM scores)) AS q)
 ---
-SELECT prob, q, count(*) AS n, avg(CASE WHEN h >= o * 1.05 THEN 1.0 ELSE 0.0 END) AS hit
+SELECT prob, q, count(*) AS n, avg(CASE WHEN h >= o * 1.05::DOUBLE THEN 1.0 ELSE 0.0 END) AS hit
 FROM scores, q WHERE score >= q GROUP BY 1, 2""", "scores")
 def _(v):
     return S.threshold_table(v.scores, v.scores, [0.5, 0.8, 0.9, 0.95])
@@ -199,7 +199,7 @@ def _(v):
 q AS (SELECT unnest([0.5, 0.8, 0.9]) AS prob,
       unnest((SELECT quantile_cont(score, [0.5, 0.8, 0.9]) FROM scores WHERE date < DATE '2000-01-01')) AS q)
 ---
-SELECT prob, q, count(*) AS n, avg(CASE WHEN h >= o * 1.05 THEN 1.0 ELSE 0.0 END) AS hit
+SELECT prob, q, count(*) AS n, avg(CASE WHEN h >= o * 1.05::DOUBLE THEN 1.0 ELSE 0.0 END) AS hit
 FROM scores, q WHERE score >= q AND date >= DATE '2000-01-01' GROUP BY 1, 2""", "scores")
 def _(v):
     cut = F.lit("2000-01-01").cast("date")
@@ -248,10 +248,10 @@ def _(v):
 
 
 @query("directional_selector", "TK8", "fraction:f n:i hit:f long_frac:f", """
-m AS (SELECT ticker, date, u20, d20, up5, dn5, greatest(u20 - 0.9, d20 - 0.9) AS margin FROM (
-  SELECT *, CASE WHEN high >= open * 1.05 THEN 1 ELSE 0 END AS up5, CASE WHEN low <= open * 0.95 THEN 1 ELSE 0 END AS dn5,
-    avg(CASE WHEN high >= open * 1.05 AND open > 0 THEN 1 ELSE 0 END) OVER f AS u20,
-    avg(CASE WHEN low <= open * 0.95 AND open > 0 THEN 1 ELSE 0 END) OVER f AS d20, count(*) OVER f AS k FROM bars
+m AS (SELECT ticker, date, u20, d20, up5, dn5, greatest(u20 - 0.4, d20 - 0.4) AS margin FROM (
+  SELECT *, CASE WHEN high >= open * 1.05::DOUBLE THEN 1 ELSE 0 END AS up5, CASE WHEN low <= open * 0.95::DOUBLE THEN 1 ELSE 0 END AS dn5,
+    avg(CASE WHEN high >= open * 1.05::DOUBLE AND open > 0 THEN 1 ELSE 0 END) OVER f AS u20,
+    avg(CASE WHEN low <= open * 0.95::DOUBLE AND open > 0 THEN 1 ELSE 0 END) OVER f AS d20, count(*) OVER f AS k FROM bars
   WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE k >= 10)
 ---
 r AS (SELECT *, row_number() OVER (ORDER BY round(margin, 9) DESC, ticker, date) AS rk, count(*) OVER () AS nn FROM m)
@@ -262,7 +262,7 @@ FROM r, (SELECT unnest([0.1, 0.05]::DOUBLE[]) AS k) WHERE rk <= greatest(floor(n
 def _(v):
     from bellwether.operators.windows import hit_priors
     p = hit_priors(v.bars).filter("u20 is not null")
-    return S.directional_selector(p, "u20", "d20", 0.9, 0.9, [0.1, 0.05], 20)
+    return S.directional_selector(p, "u20", "d20", 0.4, 0.4, [0.1, 0.05], 20)
 
 
 @query("rank_deciles", "WN22", "ticker:s date:d decile:i", """

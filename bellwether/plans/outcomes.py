@@ -20,7 +20,7 @@ def _(v):
 
 
 _PROFITS = """
-pr AS (SELECT *, 2 * score AS prob,
+pr AS (SELECT *, score AS prob,
   10000 * (CASE WHEN h >= o * (1 + 0.02::DOUBLE) THEN o * (1 + 0.02::DOUBLE) ELSE c END / o - 1) AS lp,
   10000 * (1 - CASE WHEN l <= o * (1 - 0.01::DOUBLE) THEN o * (1 - 0.01::DOUBLE) ELSE c END / o) AS sp FROM scores)
 ---
@@ -28,7 +28,7 @@ pr AS (SELECT *, 2 * score AS prob,
 
 
 def probabilities(v):
-    return v.scores.withColumn("prob", 2 * F.col("score"))
+    return v.scores.withColumn("prob", F.col("score"))
 
 
 @query("long_short_pnl", "OC2", "ticker:s date:d side:i profit:f", _PROFITS + """
@@ -46,13 +46,13 @@ def _(v):
 
 _PICKS = """
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rk FROM scores
-  WHERE score >= 0.2 AND gap <= 0.05) WHERE rk <= 3)
+  WHERE score >= 0.6 AND gap <= 0.05) WHERE rk <= 3)
 ---
 """
 
 
 def picks(v):
-    return top_per_day(v.scores, 3, floor=0.2, gap_cap=0.05)
+    return top_per_day(v.scores, 3, floor=0.6, gap_cap=0.05)
 
 
 @query("tp_or_close", "OC3", "ticker:s date:d hit:b eod:f next_open:f strict:f", _PICKS + """
@@ -128,7 +128,7 @@ def _(v):
 @query("multi_day_exit", "OC7", "ticker:s date:d config:i ret_pess:f ret_opt:f held:i reason:i", """
 i AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn FROM scores)
 ---
-cf AS (SELECT * FROM (VALUES (0, -0.05::DOUBLE, 0.10::DOUBLE, NULL::DOUBLE, 5), (1, -0.10::DOUBLE, 0.20::DOUBLE, -0.08::DOUBLE, 8)) AS t(config, sl, tp, trail, hz))
+cf AS (SELECT * FROM (VALUES (0, -0.03::DOUBLE, 0.05::DOUBLE, NULL::DOUBLE, 5), (1, -0.06::DOUBLE, 0.08::DOUBLE, -0.04::DOUBLE, 8)) AS t(config, sl, tp, trail, hz))
 ---
 p AS (SELECT a.ticker, a.date, a.o AS entry, config, sl, tp, trail, hz, b.rn - a.rn + 1 AS hd, b.o, b.h, b.l, b.c,
   max(b.h) OVER (PARTITION BY a.ticker, a.date, config ORDER BY b.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph
@@ -145,7 +145,7 @@ SELECT ticker, date, config, CASE WHEN gapped THEN o WHEN st THEN stop WHEN tt T
   CASE WHEN gapped THEN o WHEN tt THEN entry * (1 + tp) WHEN st THEN stop ELSE c END / entry - 1 AS ret_opt, hd AS held,
   CASE WHEN gapped THEN 0 WHEN st AND tt THEN 3 WHEN st THEN 0 WHEN tt THEN 1 ELSE 2 END AS reason FROM f WHERE k = 1""", "scores")
 def _(v):
-    return O.multi_day_exit(v.scores, [(-0.05, 0.10, None, 5), (-0.10, 0.20, -0.08, 8)])
+    return O.multi_day_exit(v.scores, [(-0.03, 0.05, None, 5), (-0.06, 0.08, -0.04, 8)])
 
 
 _CURVE = """
@@ -223,7 +223,7 @@ a AS (SELECT * FROM (SELECT s.*, gap_cap, row_number() OVER (PARTITION BY gap_ca
 b AS (SELECT a.*, x AS exit, k, fl AS floor, CASE WHEN h >= o * (1 + 0.05::DOUBLE) THEN 1 ELSE 0 END AS hit,
   CASE WHEN h >= o * (1 + 0.05::DOUBLE) THEN 0.05 WHEN x = 'NO' THEN coalesce(next_o / o - 1, c / o - 1) ELSE c / o - 1 END - 0.003::DOUBLE AS net,
   CASE WHEN date < DATE '1999-06-01' THEN 'train' ELSE 'test' END AS part
-  FROM a, (SELECT unnest(['EOD', 'NO']) AS x), (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0.0, 0.25, 0.3]::DOUBLE[]) AS fl)
+  FROM a, (SELECT unnest(['EOD', 'NO']) AS x), (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0.0, 0.65, 0.74]::DOUBLE[]) AS fl)
   WHERE rk <= k AND score >= fl)
 ---
 d AS (SELECT exit, k, floor, gap_cap, part, date, sum(net) / k AS r, count(*) AS n, sum(hit) AS hits, sum(net) AS net FROM b
@@ -239,7 +239,7 @@ g AS (SELECT exit, k, floor, gap_cap, """ + ", ".join(
 SELECT *, row_number() OVER (ORDER BY CASE WHEN train_n >= 20 THEN round(train_sharpe, 9) END DESC NULLS LAST, exit, k, floor, gap_cap) = 1 AS best FROM g""",
        "scores")
 def _(v):
-    return O.parameter_grid(v.scores, [1, 2, 3], [0.0, 0.25, 0.3], [0.02, 0.05, 9.9], ["EOD", "NO"], "1999-06-01", 20)
+    return O.parameter_grid(v.scores, [1, 2, 3], [0.0, 0.65, 0.74], [0.02, 0.05, 9.9], ["EOD", "NO"], "1999-06-01", 20)
 
 
 # The swept thresholds, 0.50 to 0.95.
@@ -283,7 +283,7 @@ def _(v):
 
 @query("gap_cells", "OC14", "gap_lo:f gap_hi:f k:i n:i hit:f ev:f ev_miss:f days:i", """
 p AS (SELECT s.*, lo, hi, row_number() OVER (PARTITION BY lo, hi, date ORDER BY score DESC, ticker) AS rk
-  FROM scores s, (VALUES (-1.0::DOUBLE, 0.0::DOUBLE), (-1.0, -0.02), (-1.0, -0.04), (-1.0, 9.9)) AS c(lo, hi) WHERE score >= 0.2 AND gap > lo AND gap <= hi)
+  FROM scores s, (VALUES (-1.0::DOUBLE, 0.0::DOUBLE), (-1.0, -0.02), (-1.0, -0.04), (-1.0, 9.9)) AS c(lo, hi) WHERE score >= 0.6 AND gap > lo AND gap <= hi)
 ---
 q AS (SELECT p.*, k, h >= o * (1 + 0.05::DOUBLE) AS ht, CASE WHEN h >= o * (1 + 0.05::DOUBLE) THEN 0.05 ELSE c / o - 1 END - 0.003::DOUBLE AS net
   FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE rk <= k)
@@ -291,4 +291,4 @@ q AS (SELECT p.*, k, h >= o * (1 + 0.05::DOUBLE) AS ht, CASE WHEN h >= o * (1 +
 SELECT lo AS gap_lo, hi AS gap_hi, k, count(*) AS n, avg(CASE WHEN ht THEN 1.0 ELSE 0.0 END) AS hit, avg(net) AS ev,
   avg(net) FILTER (WHERE NOT ht) AS ev_miss, count(DISTINCT date) AS days FROM q GROUP BY 1, 2, 3 HAVING count(*) >= 30""", "scores")
 def _(v):
-    return O.gap_cells(v.scores, [(-1, 0.0), (-1, -0.02), (-1, -0.04), (-1, 9.9)], [1, 2, 3], 0.2)
+    return O.gap_cells(v.scores, [(-1, 0.0), (-1, -0.02), (-1, -0.04), (-1, 9.9)], [1, 2, 3], 0.6)

@@ -229,8 +229,8 @@ def _(v):
 
 
 @query("hit_priors", "WN15", "ticker:s date:d u20:f d20:f u120:f d120:f", f"""
-h AS (SELECT ticker, date, CASE WHEN high >= open * 1.05 AND open > 0 THEN 1 ELSE 0 END AS up5,
-      CASE WHEN low <= open * 0.95 AND open > 0 THEN 1 ELSE 0 END AS dn5 FROM bars)
+h AS (SELECT ticker, date, CASE WHEN high >= open * 1.05::DOUBLE AND open > 0 THEN 1 ELSE 0 END AS up5,
+      CASE WHEN low <= open * 0.95::DOUBLE AND open > 0 THEN 1 ELSE 0 END AS dn5 FROM bars)
 ---
 SELECT ticker, date, {_roll('avg', 'up5', 20, 10)} AS u20, {_roll('avg', 'dn5', 20, 10)} AS d20,
   {_roll('avg', 'up5', 120, 40)} AS u120, {_roll('avg', 'dn5', 120, 40)} AS d120 FROM h""", "bars")
@@ -299,7 +299,7 @@ def _(v):
 
 
 @query("expanding_gate", "WN23", "ticker:s date:d tau:f act:b", """
-c AS (SELECT ticker, date, abs(score - 0.25) AS conf FROM scores)
+c AS (SELECT ticker, date, abs(score - 0.6::DOUBLE) AS conf FROM scores)
 ---
 g AS (SELECT *, quantile_cont(conf, 0.7) OVER f AS tau, row_number() OVER w > 12 AS ready FROM c
       WINDOW w AS (PARTITION BY ticker ORDER BY date),
@@ -307,12 +307,12 @@ g AS (SELECT *, quantile_cont(conf, 0.7) OVER f AS tau, row_number() OVER w > 12
 ---
 SELECT ticker, date, tau, coalesce(ready AND conf >= tau, false) AS act FROM g""", "scores")
 def _(v):
-    pred = v.scores.withColumn("conf", F.abs(F.col("score") - 0.25))
+    pred = v.scores.withColumn("conf", F.abs(F.col("score") - 0.6))
     return W.expanding_gate(pred, "conf", 0.3, 12)
 
 
 @query("expanding_double_gate", "WN24", "ticker:s date:d tau:f tau2:f act:b", """
-c AS (SELECT ticker, date, abs(score - 0.25) AS conf, vol FROM scores)
+c AS (SELECT ticker, date, abs(score - 0.6::DOUBLE) AS conf, vol FROM scores)
 ---
 g AS (SELECT *, quantile_cont(conf, 0.7) OVER f AS tau, coalesce(quantile_cont(vol, 0.5) OVER f, 0.5) AS tau2,
       row_number() OVER w > 12 AS ready FROM c
@@ -322,7 +322,7 @@ g AS (SELECT *, quantile_cont(conf, 0.7) OVER f AS tau, coalesce(quantile_cont(v
 SELECT ticker, date, tau, tau2, coalesce(ready AND conf >= tau AND coalesce(vol >= tau2, false), false) AS act
 FROM g""", "scores")
 def _(v):
-    pred = v.scores.withColumn("conf", F.abs(F.col("score") - 0.25))
+    pred = v.scores.withColumn("conf", F.abs(F.col("score") - 0.6))
     return W.expanding_gate(pred, "conf", 0.3, 12, second="vol")
 
 

@@ -209,8 +209,8 @@ def _(v):
 
 
 @query("weekday_news_rates", "AG19", "slice:s n:i up5:f dn5:f", _BUCKET + """
-h AS (SELECT ticker, date, CASE WHEN high >= open * 1.05 THEN 1 ELSE 0 END AS up5,
-  CASE WHEN low <= open * 0.95 THEN 1 ELSE 0 END AS dn5, coalesce(n, 0) AS n, nov_mean FROM daily LEFT JOIN b USING (ticker, date))
+h AS (SELECT ticker, date, CASE WHEN high >= open * 1.05::DOUBLE THEN 1 ELSE 0 END AS up5,
+  CASE WHEN low <= open * 0.95::DOUBLE THEN 1 ELSE 0 END AS dn5, coalesce(n, 0) AS n, nov_mean FROM daily LEFT JOIN b USING (ticker, date))
 ---
 q AS (SELECT quantile_cont(nov_mean, [0.25, 0.5, 0.75]) AS e FROM h WHERE n > 0)
 ---

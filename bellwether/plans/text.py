@@ -131,14 +131,14 @@ def _(v):
 
 
 @query("training_weights", "FN15", "ticker:s date:d recency:f by_return:f by_class:f", """
-m AS (SELECT max(date) AS last, avg(CASE WHEN ret > 0.1 THEN 1.0 ELSE 0.0 END) AS p FROM panel WHERE ret IS NOT NULL)
+m AS (SELECT max(date) AS last, avg(CASE WHEN ret > 0.03 THEN 1.0 ELSE 0.0 END) AS p FROM panel WHERE ret IS NOT NULL)
 ---
 SELECT ticker, date, pow(0.5, (last - date) / 252.0::DOUBLE) AS recency, 1 + 5 * abs(ret) AS by_return,
-  CASE WHEN ret > 0.1 THEN least(greatest((1 - p) / greatest(p, 1e-4), 1), 25) ELSE 1 END AS by_class FROM panel, m WHERE ret IS NOT NULL""", "panel")
+  CASE WHEN ret > 0.03 THEN least(greatest((1 - p) / greatest(p, 1e-4), 1), 25) ELSE 1 END AS by_class FROM panel, m WHERE ret IS NOT NULL""", "panel")
 def _(v):
     from bellwether.operators.ranks import with_scalars
     p = v.panel.filter("ret is not null")
-    hit = F.col("ret") > 0.1
+    hit = F.col("ret") > 0.03
     m = p.agg(F.max("date").alias("last"), F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("p"))
     return with_scalars(p, m).select(
         "ticker", "date", N.half_life_weight("date", "last").alias("recency"), N.return_weight("ret").alias("by_return"),

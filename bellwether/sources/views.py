@@ -32,7 +32,7 @@ class Views:
     def bars(self) -> DataFrame:
         """Monthly bars per supplier; open and close by a total order, so repeatable."""
         k = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
-        price = F.lit(100.0) + F.col("l_extendedprice") / F.lit(1000.0)
+        price = F.lit(100.0) + F.floor("l_extendedprice") / F.lit(10000.0)
         return (
             self.table("lineitem")
             .select(F.col("l_suppkey").cast("string").alias("ticker"),
@@ -59,7 +59,7 @@ class Views:
             .select("ticker", "date", F.col("open").alias("o"), F.col("high").alias("h"),
                     F.col("low").alias("l"), F.col("close").alias("c"),
                     F.col("volume").alias("vol"), "gap",
-                    (F.col("phl") / (1 + F.col("phl"))).alias("score"), "next_o",
+                    (F.col("phl") / (0.03 + F.col("phl"))).alias("score"), "next_o",
                     F.col("gap").alias("gap_open"))
         )
 
