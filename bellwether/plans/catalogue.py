@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("panel", "aggregates", "joins", "sessions", "text", "outcomes", "eventstudy", "stats", "storage")
+MODULES = ("panel", "aggregates", "joins", "sessions", "text", "outcomes", "eventstudy", "stats", "storage", "models")
 
 for _m in MODULES:
     importlib.import_module(f"bellwether.plans.{_m}")
