@@ -62,14 +62,23 @@ def token_runs(tokens: Column | str, longest: int = 4) -> Column:
     return F.array_distinct(F.concat(*[runs(k) for k in range(1, longest + 1)]))
 
 
-def char_grams(c: Column | str, k: int) -> Column:
-    """Distinct k-character substrings of the whole text."""
-    s = _c(c)
-    return F.when(
-        F.length(s) >= k,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)),
-                                     lambda i: s.substr(i, F.lit(k)))),
-    ).otherwise(F.array().cast("array<string>"))
+def is_run(tokens: Column | str, name: Column | str, longest: int = 4) -> Column:
+    """Is ``name`` exactly the concatenation of up to ``longest`` consecutive tokens?
+
+    Only positions whose token begins the name are looked at further.
+    """
+    t, n = _c(tokens), _c(name)
+
+    def joined(i: Column, k: int) -> Column:
+        return F.concat(*[F.get(t, i + j) for j in range(k)]) if k > 1 else F.get(t, i)
+
+    def here(i: Column) -> Column:
+        same = joined(i, 1) == n
+        for k in range(2, longest + 1):
+            same = same | F.coalesce(joined(i, k) == n, F.lit(False))
+        return F.startswith(n, F.get(t, i)) & same
+
+    return F.when(F.size(t) > 0, F.exists(F.sequence(F.lit(0), F.size(t) - 1), here)).otherwise(F.lit(False))
 
 
 def word_match(text: Column | str, name: Column | str) -> Column:

@@ -26,8 +26,8 @@ def _anchors(names: DataFrame) -> DataFrame:
     return names.withColumns({"first": first, "gram": F.substring(first, 1, _LONGEST_GRAM)})
 
 
-def _grams(word: Column) -> Column:
-    """All substrings of 1.._LONGEST_GRAM characters of one word."""
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """All substrings of the given lengths of one word."""
     n = F.char_length(word)
 
     def of(k: int) -> Column:
@@ -35,7 +35,7 @@ def _grams(word: Column) -> Column:
                                           lambda i: word.substr(i, F.lit(k)))).otherwise(
             F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(k) for k in range(1, _LONGEST_GRAM + 1)]))
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
 
 
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
@@ -45,9 +45,11 @@ def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     letters of the names, then checked, so no title is compared with every name. Names of
     several words are checked against the whole title afterwards.
     """
-    a = small_side(_anchors(names.select("alias").distinct()))
+    anchors = _anchors(names.select("alias").distinct())
+    sizes = sorted(r[0] for r in anchors.select(F.char_length("gram")).distinct().collect())  # 1.._LONGEST_GRAM
+    a = small_side(anchors)
     words = news.select("news_id", F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("word"))
-    hit = (words.select("news_id", "word", F.explode(_grams(F.col("word"))).alias("gram"))
+    hit = (words.select("news_id", "word", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
            .join(a, "gram").filter(F.contains("word", "first")))
     single = hit.filter(F.col("alias") == F.col("first")).select("news_id", "alias")
     phrase = hit.filter(F.col("alias") != F.col("first")).select("news_id", "alias").distinct()
@@ -75,12 +77,11 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
     m = mentions(news, rules).join(small_side(rules), "alias")
     per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight")).alias("_m"))
     t = per.join(news.select("news_id", "title"), "news_id").withColumn("_toks", X.tokenize("title"))
-    runs = F.when(F.exists("_m", lambda x: (x["kind"] == "run") & x["tight"].isNull()), X.token_runs("_toks"))
-    t = t.withColumns({"_runs": runs, "_cue": F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues]))})
+    t = t.withColumn("_cue", F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues])))
 
     def judge(x: Column) -> Column:
         bounded = F.when(x["kind"] == "word", X.word_match("title", x["alias"])).otherwise(
-            F.array_contains("_runs", x["alias"]))
+            X.is_run("_toks", x["alias"]))
         plain = (F.when(~bounded, "boundary")
                  .when(x["ambiguous"] & ~F.col("_cue"), "ambiguous").otherwise("linked"))
         return F.struct(x["alias"].alias("alias"), F.when(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bellwether.functions import text as X
 from bellwether.operators import calendar as cal
 from bellwether.operators import windows as W
+from bellwether.session import frozen
 from bellwether.operators.text import triples_from_tags, vocabulary
 
 # The tickers of the tick table, in sorted order.
@@ -28,10 +29,25 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Documents, dealt over all cores when they are too few for their own scan to do so.
+
+        Parsing text costs far more than moving it once; a scan with at least one split per
+        core is left alone.
+        """
+        d = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores)
+
     @cached_property
     def bars(self) -> DataFrame:
-        """Monthly bars per supplier; open and close by a total order, so repeatable."""
-        k = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+        """Monthly bars per supplier; open and close by day, order and line.
+
+        Inside a month that order fits one long (5 bits, 54 bits, 4 bits), which keeps the
+        aggregate in hash form; a struct would make it sort.
+        """
+        k = F.shiftleft(F.dayofmonth("l_shipdate").cast("bigint"), 58) + F.col("l_orderkey") * 16 + F.col("l_linenumber")
         price = F.lit(100.0) + F.floor("l_extendedprice") / F.lit(10000.0)
         return (
             self.table("lineitem")
@@ -115,7 +131,7 @@ class Views:
     def news(self) -> DataFrame:
         tickers = F.array(*[F.lit(t) for t in TICKERS])
         secs = "timestampadd(SECOND, (doc_id * 7919) % 2592000, timestamp_ntz'2024-01-01 00:00:00')"
-        return self.table("documents").select(
+        return self.texts.select(
             F.col("doc_id").alias("news_id"),
             F.element_at(tickers, (1 + F.col("doc_id") % 5).cast("int")).alias("ticker"),
             F.expr(secs).alias("published_at"), F.col("text").alias("title"))
@@ -152,8 +168,8 @@ class Views:
     @cached_property
     def titles_tokens(self) -> DataFrame:
         """One token list per news item, over its whole text."""
-        return self.table("documents").select(F.col("doc_id").alias("news_id"),
-                                              X.tokenize("text").alias("toks"))
+        return self.texts.select(F.col("doc_id").alias("news_id"),
+                                 X.tokenize("text").alias("toks"))
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -164,8 +180,8 @@ class Views:
     def aliases(self) -> DataFrame:
         """The 15 most frequent long tokens, dealt to the tickers in turn (3 names each)."""
         tickers = F.array(*[F.lit(t) for t in TICKERS])
-        top = (self.tokens.filter(F.length("form") >= 4).groupBy("form").count()
-               .orderBy(F.desc("count"), "form").limit(3 * len(TICKERS)))
+        top = frozen(self.tokens.filter(F.length("form") >= 4).groupBy("form").count()
+                     .orderBy(F.desc("count"), "form").limit(3 * len(TICKERS)))
         return W.numbered(top, [F.desc("count"), F.asc("form")], "rk").select(
             F.col("form").alias("alias"), "rk",
             F.element_at(tickers, (1 + (F.col("rk") - 1) % len(TICKERS)).cast("int")).alias("ticker"))
@@ -181,10 +197,11 @@ class Views:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Event triples of the tagged texts, with ticker and time."""
+        """Event triples of the tagged texts, with ticker and time; a stage table, since every
+        user of it needs it more than once."""
         t = triples_from_tags(self.tagged)
-        return t.join(self.news.select("news_id", "ticker", "published_at"), "news_id").withColumn(
-            "key", X.event_key("o1", "p", "o2"))
+        return frozen(t.join(self.news.select("news_id", "ticker", "published_at"), "news_id").withColumn(
+            "key", X.event_key("o1", "p", "o2")))
 
     @cached_property
     def tagged(self) -> DataFrame:
