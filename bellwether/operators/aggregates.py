@@ -155,18 +155,25 @@ def weekday_news_rates(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("up5").alias("up5"), F.avg("dn5").alias("dn5"))
 
 
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of the rows where both exist; null when one side does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def guarded_corr(a: str, b: str, at_least: int) -> Column:
-    """Pearson correlation of rows where both exist, or null when there are too few."""
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    n = F.count(F.when(both, 1))
-    return F.when(n > at_least, F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))))
+    """The same, and null when there are too few rows."""
+    n = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    return F.when(n > at_least, corr(a, b))
 
 
 def autocorrelation(daily: DataFrame, value: str) -> DataFrame:
     """Lag-1 correlation of a per-date series."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     return daily.withColumn("_p", F.lag(value).over(w)).filter("_p is not null").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("_p", value).alias("autocorr"))
+        F.count(F.lit(1)).alias("n"), corr("_p", value).alias("autocorr"))
 
 
 def mcc_of(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
@@ -185,9 +192,10 @@ def confusion(pred: DataFrame, y: Column, p: Column, by: list[str] | None = None
 
     c = d.groupBy(*(by or [])).agg(n(True, True).alias("tp"), n(False, True).alias("fp"),
                                    n(True, False).alias("fn"), n(False, False).alias("tn"))
-    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    count = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    total = F.nullif(count, F.lit(0).cast("bigint"))
     up = (F.col("tp") + F.col("fn")) / total
-    return c.withColumns({"n": total, "acc": (F.col("tp") + F.col("tn")) / total,
+    return c.withColumns({"n": count, "acc": (F.col("tp") + F.col("tn")) / total,
                           "base": F.greatest(up, 1 - up),
                           "mcc": mcc_of(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))})
 
@@ -283,6 +291,6 @@ def persistence(rows: DataFrame, boundary: str, more_than: int) -> DataFrame:
         F.avg(F.when(early, F.col("up5"))).alias("ua"), F.avg(F.when(~early, F.col("up5"))).alias("ub"),
         F.avg(F.when(early, F.col("dn5"))).alias("da"), F.avg(F.when(~early, F.col("dn5"))).alias("db"),
         F.count(F.lit(1)).alias("n")).filter((F.col("n") > more_than) & F.col("ua").isNotNull() & F.col("ub").isNotNull())
-    return g.agg(F.count(F.lit(1)).alias("tickers"), F.corr("ua", "ub").alias("corr_up"), F.corr("da", "db").alias("corr_dn"))
+    return g.agg(F.count(F.lit(1)).alias("tickers"), corr("ua", "ub").alias("corr_up"), corr("da", "db").alias("corr_dn"))
 
 

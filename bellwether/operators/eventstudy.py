@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bellwether.functions.scalar import clock
 from bellwether.operators import ranks as R
-from bellwether.operators.aggregates import guarded_corr, share
+from bellwether.operators.aggregates import corr, guarded_corr, share
 from bellwether.operators.joins import asof_join, bar_offsets
 from bellwether.operators.windows import by_ticker, rolling_median_volume, session_close
 
@@ -44,7 +44,7 @@ def forward_return(news: DataFrame, bars: DataFrame, horizons: dict[str, int]) -
     outs.append(F.struct(F.lit("to_close").alias("horizon"), (F.col("last_close") / F.col("px_entry") - 1).alias("r")))
     return j.select("sent", F.inline(F.array(*outs))).filter("r is not null").groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), share(same_sign(F.col("sent"), F.col("r"))).alias("acc"),
-        F.corr("sent", "r").alias("corr"))
+        corr("sent", "r").alias("corr"))
 
 
 def before_after(news: DataFrame, bars: DataFrame, shifts: dict[str, int]) -> DataFrame:
@@ -60,7 +60,7 @@ def before_after(news: DataFrame, bars: DataFrame, shifts: dict[str, int]) -> Da
     j = n.join(after, "item").join(before, "item").withColumns({
         "rb": F.col("px_now") / F.col("px_before") - 1, "rf": F.col("px_after") / F.col("px_now") - 1})
     return j.filter("rb is not null and rf is not null").groupBy("zone").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("sent", "rb").alias("corr_before"), F.corr("sent", "rf").alias("corr_after"))
+        F.count(F.lit(1)).alias("n"), corr("sent", "rb").alias("corr_before"), corr("sent", "rf").alias("corr_after"))
 
 
 def _news_bars(news: DataFrame, bars: DataFrame, values: list[str], first: int, last: int) -> DataFrame:
@@ -84,7 +84,7 @@ def bar_window(news: DataFrame, bars: DataFrame, offsets: list[int], first: int
     hit = same_sign(F.col("sent"), F.col("fwd"))
     pre = F.coalesce(same_sign(F.col("sent"), F.col("pre")), F.lit(False))
     return r.groupBy("bars").agg(
-        F.count(F.lit(1)).alias("n"), share(hit).alias("acc"), F.corr("sent", "fwd").alias("corr"),
+        F.count(F.lit(1)).alias("n"), share(hit).alias("acc"), corr("sent", "fwd").alias("corr"),
         share(pre).alias("pre_acc"), F.count(F.when(is_strong, 1)).alias("n_strong"),
         F.avg(F.when(is_strong, hit.cast("int"))).alias("acc_strong"))
 
@@ -127,7 +127,7 @@ def preopen_test(overnight: DataFrame) -> DataFrame:
     """Overnight sentiment against the session move and against the gap it should explain."""
     pairs = F.array(*[F.struct(F.lit(n).alias("move"), F.col(c).alias("r")) for n, c in (("open_close", "oc"), ("gap", "gap"))])
     r = overnight.filter("on_cnt > 0").select("on_sent", F.inline(pairs)).filter("r is not null and r <> 0")
-    return r.groupBy("move").agg(F.count(F.lit(1)).alias("n"), F.corr("on_sent", "r").alias("corr"),
+    return r.groupBy("move").agg(F.count(F.lit(1)).alias("n"), corr("on_sent", "r").alias("corr"),
                                  share(same_sign(F.col("on_sent"), F.col("r"))).alias("acc"))
 
 
@@ -138,7 +138,7 @@ def magnitude_test(overnight: DataFrame) -> DataFrame:
         F.max(F.when(F.col("prob") == 0.5, F.col("q"))).alias("q50"), F.max(F.when(F.col("prob") == 0.9, F.col("q"))).alias("q90"))
     j = R.with_scalars(v, q.drop("_o")).withColumns({"ag": F.abs("gap"), "ao": F.abs("oc"), "cnt": F.col("on_cnt").cast("double")})
     return j.agg(
-        F.count(F.lit(1)).alias("n"), F.corr("cnt", "ag").alias("corr_gap"), F.corr("cnt", "ao").alias("corr_intraday"),
+        F.count(F.lit(1)).alias("n"), corr("cnt", "ag").alias("corr_gap"), corr("cnt", "ao").alias("corr_intraday"),
         F.stddev_samp("gap").alias("sd_gap"), F.stddev_samp("oc").alias("sd_intraday"),
         F.avg(F.when(F.col("cnt") >= F.col("q90"), F.col("ag"))).alias("gap_busy"),
         F.avg(F.when(F.col("cnt") <= F.col("q50"), F.col("ag"))).alias("gap_quiet"))

@@ -24,7 +24,7 @@ from bellwether.functions.scalar import class_weight, mix
 from bellwether.functions.vectors import as_dense
 from bellwether.operators import ranks as R
 from bellwether.operators import windows as W
-from bellwether.operators.aggregates import confusion
+from bellwether.operators.aggregates import confusion, corr
 
 SEED = 13
 
@@ -339,7 +339,7 @@ def news_gap_variants(samples: DataFrame, variants: dict[str, list[str]]) -> Dat
         scope = F.explode(F.when(F.col("has_over"), F.array(F.lit("all"), F.lit("overnight"))).otherwise(F.array(F.lit("all"))))
         s = s.withColumn("scope", scope)
         m = metrics(s, by=["scope"]).join(s.groupBy("scope").agg(
-            F.corr("size", "gap").alias("size_corr"), F.avg(((F.col("size") > 0) == (F.col("gap") > 0)).cast("int")).alias("size_dir_acc")), "scope")
+            corr("size", "gap").alias("size_corr"), F.avg(((F.col("size") > 0) == (F.col("gap") > 0)).cast("int")).alias("size_dir_acc")), "scope")
         m = m.withColumn("variant", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bellwether.functions.scalar import safe_div
 from bellwether.session import frozen
 
 _SLOT = 1 << 33  # monotonically_increasing_id keeps the partition in the bits above this
@@ -90,21 +91,23 @@ def rank_deciles(df: DataFrame, value: str, tie: list[str], bins: int = 10) -> D
     """Equal-count bins 0..bins-1 by first-occurrence rank over the whole table."""
     r = global_rank(df, [F.asc(value), *[F.asc(t) for t in tie]])
     n = r.agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.ceil((F.col("rank") - 1) * bins / (F.col("_n") - 1))
+    cut = F.ceil(safe_div((F.col("rank") - 1) * bins, F.col("_n") - 1))
     return with_scalars(r, n).withColumn("decile", F.greatest(cut, F.lit(1)) - 1).drop("_n")
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, tie: list[str]) -> DataFrame:
     """Correlation of ordinal ranks; ties take the order of ``tie``."""
+    from bellwether.operators.aggregates import corr
+
     keys = [F.asc(t) for t in tie]
     r = global_rank(df.select(a, b, *tie), [F.asc(a), *keys], "_ra")
     r = global_rank(r, [F.asc(b), *keys], "_rb")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col("_ra").cast("double"), F.col("_rb").cast("double")).alias("ic"))
+    return r.agg(F.count(F.lit(1)).alias("n"), corr("_ra", "_rb").alias("ic"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision at each distinct score weighted by its gain in recall, summed."""
     g = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("int")).alias("_h"))
     r = running_totals(g, [F.desc(score)], {"_cn": "_n", "_ch": "_h"})
-    return r.agg((F.sum(F.col("_h") * F.col("_ch") / F.col("_cn")) / F.sum("_h")).alias("ap"),
+    return r.agg(safe_div(F.sum(F.col("_h") * F.col("_ch") / F.col("_cn")), F.sum("_h")).alias("ap"),
                  F.sum("_n").alias("n"), F.sum("_h").alias("positives"))

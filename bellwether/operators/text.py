@@ -156,7 +156,7 @@ def event_stats(n_texts: DataFrame, events: DataFrame, known: DataFrame, cutoff:
     s = e.agg(F.count(F.lit(1)).alias("rows"), F.count("_ok").alias("in_vocab"),
               F.avg(F.when(F.to_date("published_at") < F.lit(cutoff).cast("date"), 1.0).otherwise(0.0)).alias("eligible"))
     t = n_texts.agg(F.count(F.lit(1)).alias("texts"))
-    return R.with_scalars(s, t).withColumn("in_vocab_ratio", F.col("in_vocab") / F.col("rows"))
+    return R.with_scalars(s, t).withColumn("in_vocab_ratio", F.col("in_vocab") / F.nullif(F.col("rows"), F.lit(0).cast("bigint")))
 
 
 def top_contributions(items: DataFrame, days: DataFrame, weights: DataFrame, k: int = 6,

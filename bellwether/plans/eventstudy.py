@@ -42,7 +42,8 @@ c AS (SELECT a.*, b.close AS pf FROM a ASOF JOIN bars_intraday b ON a.ticker = b
 ---
 d AS (SELECT c.*, b.close AS pb FROM c ASOF JOIN bars_intraday b ON c.ticker = b.ticker AND c.tb >= b.ts)
 ---
-SELECT zone, count(*) AS n, corr(sent, p0 / pb - 1) AS corr_before, corr(sent, pf / p0 - 1) AS corr_after FROM d GROUP BY 1""", _NB)
+SELECT zone, count(*) AS n, nullif(corr(sent, p0 / pb - 1), 'nan'::DOUBLE) AS corr_before,
+  nullif(corr(sent, pf / p0 - 1), 'nan'::DOUBLE) AS corr_after FROM d GROUP BY 1""", _NB)
 def _(v):
     return E.before_after(v.scored_news, v.bars_intraday, {"raw": 0, "edt": -4, "est": -5})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bellwether.operators import models as M
 from bellwether.operators import projections as P
 from bellwether.operators import windows as W
+from bellwether.operators.aggregates import corr
 from bellwether.plans.registry import query
 from bellwether.plans.sessions import DIM, buckets, sessioned_vectors
 from bellwether.session import frozen
@@ -58,7 +59,7 @@ def _(v):
 def _(v):
     train, _dev, test = parts(v)
     s = M.linear(M.FEATURES["all"], "ret").fit(train).transform(test)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.corr("size", "ret").alias("corr"),
+    return s.agg(F.count(F.lit(1)).alias("n"), corr("size", "ret").alias("corr"),
                  F.avg(((F.col("size") > 0) == (F.col("ret") > 0)).cast("int")).alias("dir_acc"))
 
 

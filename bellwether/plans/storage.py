@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bellwether.operators.aggregates import corr
 from bellwether.plans.registry import query
 from bellwether.sources import readers as RD
 from bellwether.sources import sinks as SK
@@ -64,7 +65,7 @@ SELECT ticker AS model, (SELECT count(*) FROM news) AS n_test, avg(CASE WHEN clo
 def _(v):
     from bellwether.operators.ranks import with_scalars
     g = v.daily.groupBy("ticker").agg(
-        F.avg(F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0)).alias("test_acc"), F.corr("open", "close").alias("test_mcc"),
+        F.avg(F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0)).alias("test_acc"), corr("open", "close").alias("test_mcc"),
         F.sum(F.col("close") - F.col("open")).alias("always_profit"), F.min(F.col("close") / F.col("open")).alias("p_value"))
     one = g.agg(F.collect_list(F.struct(F.col("ticker").alias("model"), "test_acc", "test_mcc")).alias("metrics"),
                 F.collect_list(F.struct(F.col("ticker").alias("model"), "always_profit", "p_value")).alias("simulation"))
