@@ -73,9 +73,12 @@ def quantile_bins(df: DataFrame, value: str, probs: list[float], name: str) -> D
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table (a global aggregate) to every row."""
-    return df.withColumn("_k", F.lit(0)).join(
-        F.broadcast(one_row.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    """Attach the columns of a one-row table (a global aggregate) to every row.
+
+    A scalar subquery: Spark computes the row once and puts it into the plan as a constant.
+    """
+    row = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", row).select("*", "_row.*").drop("_row")
 
 
 def top_fraction(df: DataFrame, score: str, fractions: list[float], least: int, tie: list[str]) -> DataFrame:
