@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The token pattern, and the legal-notice phrases that mark spam titles.
+# Fixed value: the token pattern.
 TOKEN_PATTERN = r"[a-z][a-z0-9'\-]*"
-LEGAL_NOTICE = (
-    r"law firm|law offices|llp|class action|investor alert|investigation|"
-    r"lawsuit|securities fraud|deadline|rosen|pomerantz|glancy|schall|"
-    r"howard g\.? smith|bragar|levi & korsinsky|kirby mcinerney|"
-    r"reminds investors|encourages investors|shareholder rights|"
-    r"portnoy|robbins|kessler|hagens|bronstein"
-)
 
 
 def _c(c: Column | str) -> Column:

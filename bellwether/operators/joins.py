@@ -6,17 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def small_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast only when a counted bound holds; otherwise leave the choice to Spark.
-
-    The count stops at the bound, so a large side is not counted in full.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def enrich(df: DataFrame, lookup: DataFrame, on: list[str], value: str, default) -> DataFrame:
-    """Left lookup with a default for missing keys."""
-    return df.join(small_side(lookup.select(*on, value)), on, "left").withColumn(
+    """Left lookup with a default for missing keys; Spark picks the join by measured sizes."""
+    return df.join(lookup.select(*on, value), on, "left").withColumn(
         value, F.coalesce(F.col(value), F.lit(default)))
 
 
@@ -91,22 +83,24 @@ def prior_week_counts(items: DataFrame, days: int = 7) -> DataFrame:
     """How many items of the same ticker came in the ``days`` before each item.
 
     The lower bound is inclusive and earlier means earlier in (time, id) order. Counting
-    needs no pairs: the answer is the item's position minus the position of its lower
-    bound. Positions are made per (ticker, day) with the totals of earlier days added.
+    needs no pairs: the answer is the number of items before this one minus the number
+    before its lower bound. Items are counted per (ticker, time) first; running totals go
+    over those counts within a day and over days, and only equal times are ranked by id.
     """
-    ts = F.col("published_at")
-    data = items.select("ticker", ts.alias("_t"), "news_id", F.lit(1).alias("_data"))
-    low = items.select("ticker", (ts - F.expr(f"interval {days} days")).alias("_t"), "news_id",
-                       F.lit(0).alias("_data"))
-    u = data.unionByName(low).withColumn("_d", F.to_date("_t"))
-    # at equal times a lower bound sorts first, so items exactly ``days`` old stay counted
-    inside = Window.partitionBy("ticker", "_d").orderBy("_t", "_data", "news_id").rowsBetween(
-        Window.unboundedPreceding, -1)
+    key = items.select("ticker", F.col("published_at").alias("_t"), "news_id")
+    back = F.col("_t") - F.expr(f"interval {days} days")
+    counts = key.groupBy("ticker", "_t").agg(F.count(F.lit(1)).alias("_n"))
+    marks = counts.unionByName(counts.select("ticker", back.alias("_t"), F.lit(0).cast("bigint").alias("_n")))
+    marks = marks.groupBy("ticker", "_t").agg(F.sum("_n").alias("_n")).withColumn("_d", F.to_date("_t"))
+    inside = Window.partitionBy("ticker", "_d").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("ticker").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = u.groupBy("ticker", "_d").agg(F.sum("_data").alias("_n")).select(
-        "ticker", "_d", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
-    pos = u.withColumn("_p", F.coalesce(F.sum("_data").over(inside), F.lit(0))).join(
-        per_day, ["ticker", "_d"]).withColumn("_pos", F.col("_p") + F.col("_before"))
-    return pos.groupBy("ticker", "news_id").agg(
-        (F.max(F.when(F.col("_data") == 1, F.col("_pos")))
-         - F.max(F.when(F.col("_data") == 0, F.col("_pos")))).alias("n7"))
+    per_day = marks.groupBy("ticker", "_d").agg(F.sum("_n").alias("_m")).select(
+        "ticker", "_d", F.coalesce(F.sum("_m").over(across), F.lit(0)).alias("_before"))
+    at = marks.withColumn("_p", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(per_day, ["ticker", "_d"]).select(
+        "ticker", "_t", (F.col("_p") + F.col("_before")).alias("_pos"))
+    low = at.withColumnRenamed("_pos", "_low").withColumnRenamed("_t", "_from")
+    span = counts.withColumn("_from", back).join(at, ["ticker", "_t"]).join(low, ["ticker", "_from"]).select(
+        "ticker", "_t", (F.col("_pos") - F.col("_low")).alias("_earlier"))
+    same = Window.partitionBy("ticker", "_t").orderBy("news_id")
+    ranked = key.withColumn("_r", F.row_number().over(same) - 1)
+    return ranked.join(span, ["ticker", "_t"]).select("ticker", "news_id", (F.col("_earlier") + F.col("_r")).alias("n7"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.functions import text as X
-from bellwether.operators.joins import small_side
 
 _LONGEST_GRAM = 4
 
@@ -26,8 +25,8 @@ def _anchors(names: DataFrame) -> DataFrame:
     return names.withColumns({"first": first, "gram": F.substring(first, 1, _LONGEST_GRAM)})
 
 
-def _grams(word: Column, sizes: list[int]) -> Column:
-    """All substrings of the given lengths of one word."""
+def _grams(word: Column) -> Column:
+    """All substrings of one word, up to the longest gram."""
     n = F.char_length(word)
 
     def of(k: int) -> Column:
@@ -35,7 +34,7 @@ def _grams(word: Column, sizes: list[int]) -> Column:
                                           lambda i: word.substr(i, F.lit(k)))).otherwise(
             F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, _LONGEST_GRAM + 1)]))
 
 
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
@@ -46,11 +45,9 @@ def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     several words are checked against the whole title afterwards.
     """
     anchors = _anchors(names.select("alias").distinct())
-    sizes = sorted(r[0] for r in anchors.select(F.char_length("gram")).distinct().collect())  # 1.._LONGEST_GRAM
-    a = small_side(anchors)
     words = news.select("news_id", F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("word"))
-    hit = (words.select("news_id", "word", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
-           .join(a, "gram").filter(F.contains("word", "first")))
+    hit = (words.select("news_id", "word", F.explode(_grams(F.col("word"))).alias("gram"))
+           .join(anchors, "gram").filter(F.contains("word", "first")))
     single = hit.filter(F.col("alias") == F.col("first")).select("news_id", "alias")
     phrase = hit.filter(F.col("alias") != F.col("first")).select("news_id", "alias").distinct()
     phrase = phrase.join(news.select("news_id", "title"), "news_id").filter(
@@ -61,7 +58,7 @@ def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
 def link_simple(news: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (ticker, news_id) where any alias of the ticker is contained in the title."""
     m = mentions(news, aliases)
-    return m.join(small_side(aliases.select("alias", "ticker").distinct()), "alias").select(
+    return m.join(aliases.select("alias", "ticker").distinct(), "alias").select(
         "ticker", "news_id").distinct()
 
 
@@ -74,7 +71,7 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
     Status is ``linked``, ``boundary`` or ``ambiguous``. Mentions are gathered per text
     first (at most one per name), so texts and tokens are read once.
     """
-    m = mentions(news, rules).join(small_side(rules), "alias")
+    m = mentions(news, rules).join(rules, "alias")
     per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight")).alias("_m"))
     t = per.join(news.select("news_id", "title"), "news_id").withColumn("_toks", X.tokenize("title"))
     t = t.withColumn("_cue", F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues])))
@@ -94,5 +91,5 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
 
 def link_precise(news: DataFrame, aliases: DataFrame, rules: DataFrame, cues: list[str]) -> DataFrame:
     ok = classify_mentions(news, rules, cues).filter("status = 'linked'")
-    return ok.join(small_side(aliases.select("alias", "ticker").distinct()), "alias").select(
+    return ok.join(aliases.select("alias", "ticker").distinct(), "alias").select(
         "ticker", "news_id").distinct()

@@ -287,8 +287,9 @@ def claim_checks(table: DataFrame, claims: list[tuple[str, str]], value: str = "
 # ------------------------------------------------------------------ text and vector models
 
 
-def word_vectors(tokens: DataFrame, dim: int = 100, min_count: int = 5, window: int = 5, partitions: int = 8) -> DataFrame:
-    """Skip-gram word vectors of eligible texts; one row per word."""
+def word_vectors(tokens: DataFrame, dim: int = 100, min_count: int = 5, window: int = 5) -> DataFrame:
+    """Skip-gram word vectors of eligible texts; one row per word. As many tasks as the session's parallelism train."""
+    partitions = tokens.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=dim, minCount=min_count, windowSize=window, inputCol="toks", outputCol="v", seed=SEED,
                    numPartitions=partitions, maxIter=1)
     return w2v.fit(tokens).getVectors().select(F.col("word").alias("form"), vector_to_array("vector").alias("vec"))

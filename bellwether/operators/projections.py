@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.functions.scalar import clock
-from bellwether.functions.text import LEGAL_NOTICE, matches
+from bellwether.functions.text import matches
 
 
 def split_tag(date: str, dev_start: str, test_start: str) -> Column:
@@ -38,7 +38,8 @@ def date_range(df: DataFrame, date: str, start: str, end: str) -> DataFrame:
     return df.filter((F.col(date) >= F.lit(start).cast("date")) & (F.col(date) < F.lit(end).cast("date")))
 
 
-def drop_legal_notices(news: DataFrame, title: str = "title", pattern: str = LEGAL_NOTICE) -> DataFrame:
+def drop_legal_notices(news: DataFrame, pattern: str, title: str = "title") -> DataFrame:
+    """Rows whose title does not match the phrases of legal notices, in any case."""
     return news.filter(~matches(title, pattern))
 
 

@@ -10,15 +10,19 @@ from bellwether.operators.aggregates import share
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the first in a total order.
+    """One row per key: the first in a total order, in which nulls come first.
 
     An aggregate with map-side combine picks the winner's order values; long text keys
     are compared by digest. A key with a third of all rows costs one row per task.
     """
     digest = F.sha2(F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x02")) for k in keys]), 256)
     d = df.withColumn("_key", digest)
-    best = d.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    return d.join(best.select(F.col("_first.*")), order, "left_semi").drop("_key")
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]))
+    best = d.groupBy(F.col("_key").alias("_k")).agg(first.alias("_first")).select("_k", "_first.*")
+    same = F.col("_key") == F.col("_k")
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return d.join(best, same, "left_semi").drop("_key")
 
 
 def top_per_day(scores: DataFrame, k: int, floor: float | None = None, gap_above: float | None = None,

@@ -7,13 +7,13 @@ item, never one per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bellwether.session import frozen
+
 _STATS = "news_id long, best double, n long, hits long"
 
 
@@ -79,44 +79,40 @@ def novelty(items: DataFrame, days: int = 7, threshold: float = 0.8, block: int
         F.coalesce(F.col("hits") / F.col("n7"), F.lit(0.0)).alias("simfrac"))
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """The k nearest corpus rows of each query by cosine.
 
     Both sides are (id, text, vec). A row whose id or text equals the query's is left
-    out, and equal texts count once, with their best row. The query side is small by
-    contract and checked. Each partition keeps only its own k best distinct texts per
-    query, which is exact: a text among the k best overall is among the k best where it lies.
+    out, and equal texts count once, with their best row. Both sides are dealt by hashed text
+    into blocks of about ``block`` rows; a task compares one block with one block and returns at
+    most k rows a query. Equal texts of the corpus share a block, so they are dropped before the cut.
     """
-    q = queries.select("id", "text", "vec").limit(max_queries + 1).toPandas()
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors")
-    ids, texts, qm = q["id"].tolist(), q["text"].tolist(), _unit_rows(q["vec"])
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[dict] = [{} for _ in ids]
-        for pdf in batches:
-            sims = _unit_rows(pdf["vec"]) @ qm.T
-            rid, txt = pdf["id"].tolist(), pdf["text"].tolist()
-            for j, (qi, qt) in enumerate(zip(ids, texts)):
-                b = best[j]
-                for i in np.argsort(-sims[:, j], kind="stable"):
-                    s = float(sims[i, j])
-                    if len(b) >= k and s < min(v[0] for v in b.values()):
-                        break
-                    if rid[i] == qi or txt[i] == qt:
-                        continue
-                    old = b.get(txt[i])
-                    if old is None or (-s, rid[i]) < (-old[0], old[1]):
-                        b[txt[i]] = (s, rid[i])
-                if len(b) > k:
-                    keep = sorted(b.items(), key=lambda kv: (-kv[1][0], kv[1][1]))[:k]
-                    best[j] = dict(keep)
-        rows = [(qi, v[1], t, v[0]) for qi, b in zip(ids, best) for t, v in b.items()]
-        yield pd.DataFrame(rows, columns=["query_id", "id", "text", "sim"])
+    corpus, queries = frozen(corpus.select("id", "text", "vec")), frozen(queries.select("id", "text", "vec"))
+    n, m = corpus.count(), queries.count()
+    kc, kq = max(1, -(-n // block)), max(1, -(-m // block))
+    cols = ["id", "text", "vec"]
+    left = queries.select(*cols, F.pmod(F.xxhash64("id"), F.lit(kq)).alias("bq")).withColumn(
+        "bc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(kc - 1).cast("bigint"))))
+    right = corpus.select(*cols, F.pmod(F.xxhash64("text"), F.lit(kc)).alias("bc")).withColumn(
+        "bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(kq - 1).cast("bigint"))))
+
+    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            c = c.sort_values("id", kind="stable")
+            rid, txt = c["id"].to_numpy(), c["text"].to_numpy()
+            code, _ = pd.factorize(c["text"])
+            unit = _unit_rows(c["vec"])
+            for qi, qt, v in zip(q["id"], q["text"], _unit_rows(q["vec"])):
+                sims = np.where((rid == qi) | (txt == qt), -np.inf, unit @ v)
+                order = np.argsort(-sims, kind="stable")  # ties by id
+                first = order[np.sort(np.unique(code[order], return_index=True)[1])][:k]
+                first = first[np.isfinite(sims[first])]
+                out.append(pd.DataFrame({"query_id": qi, "id": rid[first], "sim": sims[first]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "sim": []}, dtype=object)
 
     qt, ct = (d.schema["id"].dataType.simpleString() for d in (queries, corpus))
-    found = corpus.select("id", "text", "vec").mapInPandas(part, f"query_id {qt}, id {ct}, text string, sim double")
-    same = Window.partitionBy("query_id", "text").orderBy(F.desc("sim"), "id")
-    one = found.withColumn("_t", F.row_number().over(same)).filter("_t = 1")
+    right = right.toDF(*right.columns)  # both sides may come from the same rows
+    found = left.groupBy("bq", "bc").cogroup(right.groupBy("bq", "bc")).applyInPandas(pair, f"query_id {qt}, id {ct}, sim double")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
-    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "sim")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "sim")

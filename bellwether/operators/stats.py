@@ -6,6 +6,8 @@ calendar and the number of draws, not on the rows behind the counts.
 
 from __future__ import annotations
 
+import math
+
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,21 +86,38 @@ def cluster_bootstrap_rate(rows: DataFrame, hit: Column, chosen: Column, n_draws
     return R.with_scalars(interval(d, "v"), day.agg(rate.alias("point")))
 
 
+def _log_gamma(x: Column) -> Column:
+    """ln(gamma(x)) for x >= 1: Stirling's series eight steps further up."""
+    z = x + 8
+    shift = F.log(x * (x + 1) * (x + 2) * (x + 3)) + F.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
 def binomial_tail(hits: Column, n: Column, p: Column) -> Column:
-    """P(X >= hits) for n trials: the first term in logs, the rest by the ratio of neighbours."""
-    h, m = hits.cast("double"), n.cast("double")
-    choose = F.when(hits > 0, F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(hits.cast("bigint"), F.lit(1).cast("bigint"))),
-                                          F.lit(0.0), lambda s, i: s + F.log((m - h + i) / i))).otherwise(0.0)
-    first = choose + h * F.log(p) + (m - h) * F.log(1 - p)
+    """P(X >= hits) for n trials.
+
+    Terms further than ten deviations (and 100 hits) from the mean don't matter, so the sum starts at
+    ``hits`` or at that bound and ends there or at n: its length grows with the root of n. The
+    first term comes from log-gamma, the others by the ratio of neighbours.
+    """
+    m = n.cast("double")
+    reach = 10 * F.sqrt(m * p * (1 - p)) + 100
+    start = F.greatest(hits.cast("double"), F.floor(m * p - reach).cast("double"), F.lit(0.0))
+    end = F.least(m, F.greatest(start, F.ceil(m * p + reach).cast("double")))
+    beyond = F.least(m, start + 100)  # past the mean the terms fall by the ratio, so a few more suffice
+    end = F.greatest(end, beyond).cast("bigint")
+    first = (_log_gamma(m + 1) - _log_gamma(start + 1) - _log_gamma(m - start + 1) + start * F.log(p) + (m - start) * F.log(1 - p))
     state = F.struct(first.alias("t"), F.exp(first).alias("s"))
 
     def step(st, k):
         t = st["t"] + F.log((m - k + 1) / k) + F.log(p) - F.log(1 - p)
         return F.struct(t.alias("t"), (st["s"] + F.exp(t)).alias("s"))
 
-    rest = F.when(hits < n, F.sequence((hits + 1).cast("bigint"), F.greatest(n, hits + 1).cast("bigint"))).otherwise(
+    rest = F.when(start < end, F.sequence((start + 1).cast("bigint"), F.greatest(end, (start + 1).cast("bigint")))).otherwise(
         F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), F.aggregate(rest, state, step, lambda st: st["s"]))
+    total = F.aggregate(rest, state, step, lambda st: st["s"])
+    return F.when(hits <= 0, F.lit(1.0)).when(hits > n, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
 
 
 def bonferroni(p: Column, tests: Column | int) -> Column:

@@ -114,12 +114,13 @@ def _(v):
 @query("token_runs", "FN13", "news_id:i n_runs:i", f"""
 t AS (SELECT doc_id AS news_id, unnest(toks) AS a, unnest(list_concat(toks[2:], [NULL])) AS b,
   unnest(list_concat(toks[3:], [NULL, NULL])) AS c, unnest(list_concat(toks[4:], [NULL, NULL, NULL])) AS d
-  FROM (SELECT doc_id, {_TOKS} AS toks FROM documents) WHERE len(toks) >= 4)
+  FROM (SELECT doc_id, {_TOKS} AS toks FROM documents))
 ---
-SELECT news_id, count(DISTINCT r) AS n_runs FROM (SELECT news_id, unnest([a, a || b, a || b || c, a || b || c || d]) AS r FROM t)
-WHERE r IS NOT NULL GROUP BY 1""")
+SELECT doc_id AS news_id, coalesce(n, 0) AS n_runs FROM documents LEFT JOIN (
+  SELECT news_id, count(DISTINCT r) AS n FROM (SELECT news_id, unnest([a, a || b, a || b || c, a || b || c || d]) AS r FROM t)
+  WHERE r IS NOT NULL GROUP BY 1) ON news_id = doc_id""")
 def _(v):
-    return v.titles_tokens.filter(F.size("toks") >= 4).select("news_id", F.size(X.token_runs("toks", 4)).alias("n_runs"))
+    return v.titles_tokens.select("news_id", F.size(X.token_runs("toks", 4)).alias("n_runs"))
 
 
 @query("strip_suffix", "FN14", "s_suppkey:i symbol:s ticker:s", """

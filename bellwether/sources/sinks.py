@@ -43,17 +43,29 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def append_missing(new: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key is not stored yet; running it again adds nothing.
+    """Append one row for each key that is not stored yet; running it again adds nothing.
 
     Only the key columns of the stored table are read.
     """
     old = _existing(new.sparkSession, path)
-    fresh = new if old is None else new.join(old.select(*key), key, "left_anti")
+    batch = new.dropDuplicates(key)
+    fresh = batch if old is None else batch.join(old.select(*key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
 def stage_cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a stage's output if it is there, else build and store it."""
-    if _existing(spark, path) is None:
-        write_table(build(), path)
+    """Reuse a stage's output if it was written to its end, else build and store it.
+
+    The table is written beside its place and moved there when it is complete; what an
+    interrupted run left behind is replaced.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
+        beside = f"{path}-{uuid.uuid4().hex}"
+        write_table(build(), beside)
+        fs.delete(place, True)
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(beside), place):
+            raise OSError(f"cannot move {beside} to {path}")
     return spark.read.parquet(path)

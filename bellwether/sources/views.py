@@ -29,17 +29,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @cached_property
-    def texts(self) -> DataFrame:
-        """Documents, dealt over all cores when they are too few for their own scan to do so.
-
-        Parsing text costs far more than moving it once; a scan with at least one split per
-        core is left alone.
-        """
-        d = self.table("documents")
-        cores = self.spark.sparkContext.defaultParallelism
-        return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores)
-
     @cached_property
     def bars(self) -> DataFrame:
         """Monthly bars per supplier; open and close by day, order and line.
@@ -131,7 +120,7 @@ class Views:
     def news(self) -> DataFrame:
         tickers = F.array(*[F.lit(t) for t in TICKERS])
         secs = "timestampadd(SECOND, (doc_id * 7919) % 2592000, timestamp_ntz'2024-01-01 00:00:00')"
-        return self.texts.select(
+        return self.table("documents").select(
             F.col("doc_id").alias("news_id"),
             F.element_at(tickers, (1 + F.col("doc_id") % 5).cast("int")).alias("ticker"),
             F.expr(secs).alias("published_at"), F.col("text").alias("title"))
@@ -167,8 +156,11 @@ class Views:
 
     @cached_property
     def titles_tokens(self) -> DataFrame:
-        """One token list per news item, over its whole text."""
-        return self.texts.select(F.col("doc_id").alias("news_id"),
+        """One token list per news item, over its whole text.
+
+        Texts are dealt out by id before they are parsed: parsing costs far more than moving them once,
+        and files can be few and large."""
+        return self.table("documents").repartition("doc_id").select(F.col("doc_id").alias("news_id"),
                                  X.tokenize("text").alias("toks"))
 
     @cached_property
