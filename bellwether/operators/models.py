@@ -25,6 +25,7 @@ from bellwether.functions.vectors import as_dense
 from bellwether.operators import ranks as R
 from bellwether.operators import windows as W
 from bellwether.operators.aggregates import confusion, corr
+from bellwether.session import frozen
 
 SEED = 13
 
@@ -81,8 +82,8 @@ def logistic(columns: list[str], label: str = "label", elastic: float = 0.5, reg
     return Pipeline(stages=[*assemble(columns), StandardScaler(inputCol="raw", outputCol="x", withMean=True), lr])
 
 
-def linear(columns: list[str], label: str) -> Pipeline:
-    lr = LinearRegression(labelCol=label, featuresCol="x", weightCol="weight", regParam=0.01, predictionCol="size")
+def linear(columns: list[str], label: str, reg: float = 0.01) -> Pipeline:
+    lr = LinearRegression(labelCol=label, featuresCol="x", weightCol="weight", regParam=reg, predictionCol="size")
     return Pipeline(stages=[*assemble(columns), StandardScaler(inputCol="raw", outputCol="x", withMean=True), lr])
 
 
@@ -116,18 +117,35 @@ def metrics(pred: DataFrame, label: str = "label", p: str = "p", by: list[str] |
 # ------------------------------------------------------------------ walk-forward
 
 
-def fold_starts(rows: DataFrame, first: float, step: int) -> list[tuple[dt.date, dt.date | None, dt.date]]:
-    """(block start, next block start, last usable training bound) from the distinct dates."""
+def fold_starts(rows: DataFrame, first: float, step: int) -> list[tuple[dt.date, dt.date | None, int, list[dt.date]]]:
+    """(block start, next block start, its number among the dates, all dates) from the distinct dates."""
     days = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # bounded by the calendar
     at = list(range(int(len(days) * first), len(days), step))
     return [(days[i], days[i + step] if i + step < len(days) else None, i, days) for i in at]
 
 
+def fold_table(rows: DataFrame, step: int = 63, embargo: int = 1, min_rows: int = 200, first: float = 0.4) -> DataFrame:
+    """One row per block of ``walk_forward``: its rows, its training rows, and whether it is ``used``.
+
+    Blocks with too little history are skipped there; here they are seen."""
+    per_day = rows.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one row per date
+    days = per_day.withColumns({"_i": F.row_number().over(w) - 1, "_upto": F.sum("_n").over(w)})
+    days = R.with_scalars(days, days.agg(F.floor(F.count(F.lit(1)) * first).alias("_first")))
+    # rows before the last ``embargo`` dates before the block's start
+    days = days.withColumn("_train", F.coalesce(F.lag("_upto", embargo + 1).over(w), F.lit(0)))
+    days = days.filter("_i >= _first").withColumn("_b", F.floor((F.col("_i") - F.col("_first")) / step))
+    blocks = days.groupBy("_b").agg(F.min("date").alias("block"), F.sum("_n").alias("rows"),
+                                    F.min_by("_train", "date").alias("train_rows"), F.min("_i").alias("_i"))
+    return blocks.withColumn("used", (F.col("train_rows") >= min_rows) & (F.col("_i") - embargo >= 1)).drop("_b", "_i")
+
+
 def walk_forward(rows: DataFrame, make: Callable[[], Estimator], step: int = 63, embargo: int = 1,
                  min_rows: int = 200, first: float = 0.4, out: str = "p",
                  weights: Callable[[DataFrame, dt.date], DataFrame] | None = None) -> DataFrame:
     """Expanding refits: each block of ``step`` dates is predicted by a model fitted on all
-    earlier dates but the last ``embargo``. One distributed fit per block."""
+    earlier dates but the last ``embargo``. One distributed fit per block. Blocks with fewer
+    than ``min_rows`` training rows are skipped; ``fold_table`` lists them."""
     parts = None
     for start, nxt, i, days in fold_starts(rows, first, step):
         if i - embargo < 1:
@@ -164,13 +182,14 @@ def ensemble(test: DataFrame, models: dict[str, Model]) -> DataFrame:
 
 
 def meta_label(rows: DataFrame, test: DataFrame, make: Callable[[], Estimator], make_meta: Callable[[], Estimator],
-               chunks: int = 4, keep: float = 0.2) -> DataFrame:
+               chunks: int = 4, keep: float = 0.2, frozen_cut: bool = False) -> DataFrame:
     """A second model for the candidates of a first one.
 
     Training dates are cut into chunks; each chunk but the first is predicted by a model of
     the chunks before it. The top ``keep`` of those predictions trains the second model,
     with the first probability as an extra feature. Test candidates get its probability,
-    all others 0.
+    all others 0. The candidates are the top ``keep`` of all test scores, which looks at the whole test part; with
+    ``frozen_cut`` they are the test scores at or above the cut of the out-of-fold scores.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     parts = rows.select("date").distinct().withColumn("chunk", F.ntile(chunks).over(w))
@@ -182,7 +201,8 @@ def meta_label(rows: DataFrame, test: DataFrame, make: Callable[[], Estimator],
     cut = R.exact_quantiles(oof, "p", [1 - keep]).select(F.col("q").alias("_q"))
     second = make_meta().fit(weighted(R.with_scalars(oof, cut).filter(F.col("p") >= F.col("_q")).drop("_q"), top=15.0))
     first = score(make().fit(weighted(rows)), test)
-    cut = R.exact_quantiles(first, "p", [1 - keep]).select(F.col("q").alias("_q"))
+    if not frozen_cut:
+        cut = R.exact_quantiles(first, "p", [1 - keep]).select(F.col("q").alias("_q"))
     s = score(second, R.with_scalars(first, cut), "_m")
     return s.withColumn("p_meta", F.when(F.col("p") >= F.col("_q"), F.col("_m")).otherwise(0.0)).drop("_m", "_q")
 
@@ -194,16 +214,18 @@ def meta_correct(oos: DataFrame, make: Callable[[], Estimator], step: int, min_r
 
 
 def calibrate(oos: DataFrame, min_rows: int = 200) -> DataFrame:
-    """Isotonic calibration of each block on the predictions of earlier blocks."""
+    """Isotonic calibration of each block on the predictions of earlier blocks.
+
+    A block with fewer than ``min_rows`` of them keeps its raw probabilities and has ``calibrated`` false."""
     blocks = [r[0] for r in oos.select("block").distinct().orderBy("block").collect()]  # one per fold
     out = None
     for b in blocks:
         here, past = oos.filter(F.col("block") == F.lit(b)), oos.filter(F.col("block") < F.lit(b))
         if past.limit(min_rows).count() < min_rows:
-            c = here.withColumn("p_cal", F.col("p"))
+            c = here.withColumns({"p_cal": F.col("p"), "calibrated": F.lit(False)})
         else:
             iso = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="p_cal").fit(past)
-            c = iso.transform(here).select(*here.columns, "p_cal")
+            c = iso.transform(here).select(*here.columns, "p_cal").withColumn("calibrated", F.lit(True))
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -234,28 +256,26 @@ def compare(split: DataFrame, candidates: dict[str, Pipeline]) -> DataFrame:
 
 
 def rank_auc(pred: DataFrame, label: str = "label") -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol=label).evaluate(pred)
+    """Exact: one threshold per different score."""
+    return BinaryClassificationEvaluator(rawPredictionCol="p", labelCol=label, numBins=0).evaluate(pred)
 
 
-def permutation_importance(model: Model, rows: DataFrame, columns: list[str], key: list[str], repeats: int = 2) -> DataFrame:
-    """Drop in AUC when one feature is shuffled: its values move to the rows holding the same
-    place in another, hashed order. Rows are numbered once and joined on the number."""
-    from bellwether.session import frozen
+def permutation_importance(model: Model, rows: DataFrame, columns: list[str], key: list[str], repeats: int = 3) -> DataFrame:
+    """Mean drop in AUC when one feature is shuffled.
 
+    Rows are ranked once by key and, per repeat, once by a hash of the key; the row of rank i takes the
+    values of the row of hashed rank i, so each repeat is one permutation of the rows for all features.
+    """
     base = rank_auc(score(model, rows))
-    numbered = R.global_rank(rows, [F.asc(k) for k in key], "_i")
-    n = numbered.agg(F.count(F.lit(1)).alias("_n"))
-    numbered = frozen(R.with_scalars(numbered, n))
-    found = []
-    for c in columns:
-        drops = []
-        for r in range(repeats):
-            # adding a hashed offset is a permutation of 1.._n
-            shift = mix(F.lit(r + 1), F.lit(len(found) + 1), SEED) % (F.col("_n") - 1) + 1
-            other = numbered.select(((F.col("_i") - 1 + shift) % F.col("_n") + 1).alias("_i"), F.col(c).alias("_c"))
-            moved = numbered.join(other, "_i").withColumn(c, F.col("_c")).select(*rows.columns)
-            drops.append(base - rank_auc(score(model, moved)))
-        found.append((c, float(base), sum(drops) / repeats))
+    numbered = frozen(R.global_rank(rows, [F.asc(k) for k in key], "_i"))
+    drops = dict.fromkeys(columns, 0.0)
+    for r in range(repeats):
+        hashed = numbered.withColumn("_h", mix(F.lit(r + 1), F.col("_i"), SEED))
+        other = R.global_rank(hashed, [F.asc("_h"), F.asc("_i")], "_j").select(F.col("_j").alias("_i"), *[F.col(c).alias(f"_{c}") for c in columns])
+        moved = frozen(numbered.join(other, "_i"))
+        for c in columns:
+            drops[c] += base - rank_auc(score(model, moved.withColumn(c, F.col(f"_{c}")).select(*rows.columns)))
+    found = [(c, float(base), drops[c] / repeats) for c in columns]
     return rows.sparkSession.createDataFrame(found, "feature string, auc double, drop double")
 
 
@@ -302,23 +322,26 @@ def principal_components(vectors: DataFrame, vec: str, k: int, fit: Column) -> D
     return m.transform(d).withColumn("pc", vector_to_array("_pc")).drop("_x", "_pc")
 
 
-def tfidf_svm(docs: DataFrame, costs=(0.01, 0.1, 1.0), vocab: int = 20_000) -> tuple[DataFrame, float]:
-    """1- and 2-gram TF-IDF (at least two documents) with a linear SVM; the regularisation
-    with the best dev accuracy is kept. ``docs`` has toks, label and split."""
+def tfidf_svm(docs: DataFrame, costs=(0.1, 0.5, 1.0, 2.0), vocab: int = 20_000) -> DataFrame:
+    """1- and 2-gram TF-IDF (at least two documents) with a linear SVM; the cost with the best
+    dev MCC is kept and returned as ``cost``. ``docs`` has toks, label and split."""
     pairs = SQLTransformer(statement="SELECT *, concat(toks, two) AS grams FROM __THIS__")
     text = Pipeline(stages=[NGram(n=2, inputCol="toks", outputCol="two"), pairs,
                             CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=vocab), IDF(inputCol="tf", outputCol="x")])
-    train = docs.filter("split = 'train'")
-    d = text.fit(train).transform(docs)
-    best = None
+    d = text.fit(docs.filter("split = 'train'")).transform(docs).drop("toks", "two", "grams", "tf").persist()
+    train = d.filter("split = 'train'")
+    n, best = train.count(), None
     for c in costs:
-        m = LinearSVC(featuresCol="x", labelCol="label", regParam=1.0 / (c * 1000), maxIter=20).fit(d.filter("split = 'train'"))
+        m = LinearSVC(featuresCol="x", labelCol="label", regParam=1.0 / (c * max(n, 1)), maxIter=20).fit(train)
         s = m.transform(d).withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1)))
-        acc = s.filter("split = 'dev'").agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] or 0.0
-        if best is None or acc > best[0]:
-            best = (acc, c, s)
-    out = best[2].withColumn("p", 1.0 / (1.0 + F.exp(-F.col("margin"))))
-    return out.select(*[c for c in docs.columns if c != "toks"], "p"), best[1]
+        mcc = confusion(s.filter("split = 'dev'"), F.col("label") == 1, F.col("prediction") == 1).first()
+        mcc = (mcc.mcc if mcc is not None else None) or 0.0
+        if best is None or mcc > best[0]:
+            best = (mcc, c, s)
+    out = best[2].withColumns({"p": 1.0 / (1.0 + F.exp(-F.col("margin"))), "cost": F.lit(float(best[1]))})
+    out = frozen(out.select(*[c for c in docs.columns if c != "toks"], "p", "cost"))
+    d.unpersist()
+    return out
 
 
 def news_gap_variants(samples: DataFrame, variants: dict[str, list[str]]) -> DataFrame:

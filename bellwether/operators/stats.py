@@ -43,16 +43,20 @@ def resample(rows: DataFrame, order: list[Column], n_draws: int, seed: int) -> D
     return draws.join(numbered.drop("_rk"), "_ix").drop("_ix")
 
 
+def randomization_totals(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """(trial, total): total profit of each of n trials with random sides."""
+    d = rows.withColumns({"_lp": long_profit(), "_sp": short_profit()}).select("item", "_lp", "_sp").repartition("item")
+    t = d.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = mix(F.col("trial"), F.col("item"), seed) % 2 == 1
+    return t.groupBy("trial").agg(F.sum(F.when(side, F.col("_lp")).otherwise(F.col("_sp"))).alias("total"))
+
+
 def randomization(rows: DataFrame, model_profit: DataFrame, n: int, seed: int) -> DataFrame:
     """Total profit of n trials with random sides, and the share reaching the model's total.
 
     ``rows`` is (item, o, h, l, c) with a whole-number item; ``model_profit`` is one row.
     """
-    d = rows.withColumns({"_lp": long_profit(), "_sp": short_profit()}).select("item", "_lp", "_sp").repartition("item")
-    t = d.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    side = mix(F.col("trial"), F.col("item"), seed) % 2 == 1
-    tot = t.groupBy("trial").agg(F.sum(F.when(side, F.col("_lp")).otherwise(F.col("_sp"))).alias("total"))
-    return R.with_scalars(tot, model_profit).agg(
+    return R.with_scalars(randomization_totals(rows, n, seed), model_profit).agg(
         F.count(F.lit(1)).alias("trials"), F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"),
         F.max("model").alias("model"), F.avg(F.when(F.round("total", 6) >= F.round("model", 6), 1.0).otherwise(0.0)).alias("p"))
 

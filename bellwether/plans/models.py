@@ -10,6 +10,7 @@ from bellwether.operators import models as M
 from bellwether.operators import projections as P
 from bellwether.operators import windows as W
 from bellwether.operators.aggregates import corr
+from bellwether.operators.ranks import with_scalars
 from bellwether.plans.registry import query
 from bellwether.plans.sessions import DIM, buckets, sessioned_vectors
 from bellwether.session import frozen
@@ -69,10 +70,37 @@ def _(v):
     return M.metrics(M.score(M.forest(M.FEATURES["all"]).fit(train), test))
 
 
+@query("size_regression_line", "ML3", "n:i slope:g intercept:g", """
+f AS (SELECT ret, lag(ret) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM panel WHERE ret IS NOT NULL)
+---
+SELECT count(*) AS n, regr_slope(ret, prev) AS slope, regr_intercept(ret, prev) AS intercept FROM f WHERE prev IS NOT NULL""", "panel")
+def _(v):
+    # one feature and no penalty: the regression is a line
+    d = v.panel.filter("ret is not null").withColumn("prev", F.lag("ret").over(W.by_ticker())).filter("prev is not null")
+    d = frozen(d.select("prev", "ret", F.lit(1.0).alias("weight")))
+    line = M.linear(["prev"], "ret", reg=0.0).fit(d)
+    at = line.transform(d.sparkSession.createDataFrame([(0.0, 1.0), (1.0, 1.0)], "prev double, weight double")).select("prev", "size")
+    ends = at.agg(F.max_by("size", "prev").alias("one"), F.min_by("size", "prev").alias("intercept"))
+    return with_scalars(d.agg(F.count(F.lit(1)).alias("n")), ends).withColumn("slope", F.col("one") - F.col("intercept"))
+
+
 def walk(v, **kw):
     return M.walk_forward(features(v), lambda: M.logistic(M.FEATURES["trend"]), step=STEP, **kw)
 
 
+@query("walk_forward_folds", "ML5", "block:d rows:i train_rows:i used:b", """
+d AS (SELECT date, count(*) AS n, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS days FROM scores GROUP BY date)
+---
+f AS (SELECT *, (i - CAST(floor(days * 0.4::DOUBLE) AS BIGINT)) // 12 AS b FROM d WHERE i >= floor(days * 0.4::DOUBLE))
+---
+g AS (SELECT min(date) AS block, min(i) AS i, sum(n) AS rows FROM f GROUP BY b)
+---
+SELECT block, rows, coalesce((SELECT sum(n) FROM d WHERE d.i < g.i - 1), 0) AS train_rows,
+  coalesce((SELECT sum(n) FROM d WHERE d.i < g.i - 1), 0) >= 200 AND g.i >= 2 AS used FROM g""", "scores")
+def _(v):
+    return M.fold_table(v.scores, step=STEP)
+
+
 @query("walk_forward", "ML5", "block:d " + _METRICS)
 def _(v):
     return M.metrics(walk(v), by=["block"])
@@ -105,10 +133,10 @@ def _(v):
                  F.avg(F.when(keep, F.col("right"))).alias("acc_kept"), F.count(F.when(keep, 1)).alias("kept"))
 
 
-@query("isotonic_calibration", "ML8", "block:d n:i mean_p:f mean_cal:f rate:f")
+@query("isotonic_calibration", "ML8", "block:d calibrated:b n:i mean_p:f mean_cal:f rate:f")
 def _(v):
     c = M.calibrate(frozen(walk(v)))
-    return c.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"),
+    return c.groupBy("block", "calibrated").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"),
                                   F.avg("p_cal").alias("mean_cal"), F.avg("label").alias("rate"))
 
 
@@ -186,27 +214,56 @@ def _(v):
     return M.claim_checks(M.rule_baselines(v.panel), [("momentum", "majority"), ("majority", "momentum")])
 
 
-@query("word_vectors", "TX9", "words:i dims:i")
-def _(v):
+def trained_words(v):
     e = v.titles_tokens.join(P.eligible(v.news, "published_at", "2024-01-20").filter("emb_eligible").select("news_id"), "news_id")
-    return M.word_vectors(e, dim=16).agg(F.count(F.lit(1)).alias("words"), F.max(F.size("vec")).alias("dims"))
+    return M.word_vectors(e, dim=16)
+
 
+@query("word_vectors", "TX9", "form:s dims:i", """
+SELECT form, 16 AS dims FROM tokens JOIN news USING (news_id) WHERE CAST(published_at AS DATE) < DATE '2024-01-20'
+GROUP BY form HAVING count(*) >= 5""", "tokens news")
+def _(v):
+    return trained_words(v).select("form", F.size("vec").alias("dims"))
+
+
+@query("word_vector_values", "TX9", "form:s dim:i val:f")
+def _(v):
+    return trained_words(v).select("form", F.posexplode("vec").alias("p", "val")).withColumn("dim", F.col("p") + 1)
+
+
+def _before(v):
+    return F.to_date("published_at") < F.lit("2024-01-20").cast("date")
 
-@query("principal_components", "TX13", "n:i k:i var1:f var2:f")
+
+@query("principal_components", "TX13", "news_id:i pc1:f pc2:f")
+def _(v):
+    pc = M.principal_components(v.vector_news, "vec", 2, _before(v))
+    return pc.select("news_id", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+
+
+@query("principal_variance", "TX13", "n:i k:i total:f", """
+e AS (SELECT news_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM vector_news WHERE CAST(published_at AS DATE) < DATE '2024-01-20')
+---
+d AS (SELECT dim, count(*) AS n, var_pop(CAST(x AS DOUBLE)) AS s FROM e GROUP BY dim)
+---
+SELECT max(n) AS n, count(*) AS k, sum(s) AS total FROM d""", "vector_news")
 def _(v):
-    pc = M.principal_components(v.vector_news, "vec", 2, F.to_date("published_at") < F.lit("2024-01-20").cast("date"))
-    return pc.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("pc")).alias("k"),
-                  F.var_pop(F.col("pc")[0]).alias("var1"), F.var_pop(F.col("pc")[1]).alias("var2"))
+    # all components together hold the whole variance of the rows they are fitted on
+    pc = M.principal_components(v.vector_news, "vec", DIM, _before(v)).filter(_before(v))
+    per = pc.select(F.posexplode("pc").alias("dim", "x")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("s"))
+    return per.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("total"))
 
 
-@query("tfidf_svm", "TX16", "split:s " + _METRICS)
+@query("tfidf_svm", "TX16", "split:s cost:f " + _METRICS)
 def _(v):
-    # one text is one document; its label is the direction of the session it informs
-    s = v.sessioned.filter("eff is not null").select("news_id", "ticker", F.col("eff").alias("date"))
+    # the texts that inform one session of a ticker are one document, labelled with its direction
+    s = v.sessioned.filter("eff is not null").select("news_id", "ticker", F.col("eff").alias("date"), "published_at")
+    item = F.struct("published_at", "news_id", "toks")
+    day = s.join(v.titles_tokens, "news_id").groupBy("ticker", "date").agg(F.array_sort(F.collect_list(item)).alias("_d"))
+    day = day.select("ticker", "date", F.flatten(F.transform("_d", lambda x: x["toks"])).alias("toks"))
     y = v.daily.select("ticker", "date", (F.col("close") > F.col("open")).cast("double").alias("label"))
-    d = M.time_split(s.join(y, ["ticker", "date"])).join(v.titles_tokens, "news_id")
-    pred, _c = M.tfidf_svm(frozen(d))
-    return M.metrics(pred, by=["split"])
+    pred = M.tfidf_svm(frozen(M.time_split(day.join(y, ["ticker", "date"]))))
+    return M.metrics(pred, by=["split", "cost"])
 
 
 @query("news_gap_variants", "EV9", "variant:s scope:s " + _METRICS + " size_corr:f size_dir_acc:f")

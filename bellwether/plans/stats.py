@@ -24,6 +24,19 @@ def _resample(table: str, draws: int, seed: int) -> str:
   FROM {table}, (SELECT unnest(range({draws})) AS b)) JOIN {table} t ON t.ix = pick"""
 
 
+_PICKS = """
+k AS (SELECT *, row_number() OVER (ORDER BY date) AS item FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rk FROM pr) WHERE rk = 1)
+---
+"""
+
+
+@query("randomization_totals", "ST1 JN15", "trial:i total:g", _PROFITS + _PICKS + """
+SELECT b AS trial, sum(CASE WHEN """ + _MIX.format(b="b", i="item", seed=13) + """ % 2 = 1 THEN lp ELSE sp END) AS total
+FROM k, (SELECT unnest(range(1000)) AS b) GROUP BY b""", "scores")
+def _(v):
+    return S.randomization_totals(numbered(top_per_day(probabilities(v), 1), [F.asc("date")], "item"), 1000, 13)
+
+
 @query("randomization_test", "ST1 JN15", "trials:i mean:f sd:g model:f p:f", _PROFITS + """
 k AS (SELECT *, row_number() OVER (ORDER BY date) AS item FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS rk FROM pr) WHERE rk = 1)
 ---
