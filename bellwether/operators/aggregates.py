@@ -51,19 +51,24 @@ def bucket_stats(items: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("simfrac").alias("simfrac"), F.min(s).alias("sent_min"), F.max(s).alias("sent_max"))
 
 
-def joined_text(news: DataFrame, day: Column, sep: str = " . ", part_size: int = 10_000) -> DataFrame:
+DAY_TEXT_CHARS = 1_000_000
+
+
+def joined_text(news: DataFrame, day: Column, sep: str = " . ", part_chars: int = DAY_TEXT_CHARS) -> DataFrame:
     """Texts of a (ticker, date) in time order, joined into one document.
 
-    A document longer than ``part_size`` texts is kept whole as numbered parts, so that a
-    very busy day is neither one row nor one task. Only keys are ranked; each text is
-    moved once.
+    A document is kept whole as numbered parts: a part has the texts that begin within one
+    stretch of ``part_chars`` characters of it, so that a very busy day is neither one row nor one
+    task. Parts put together with ``sep`` are the whole document. Only keys and lengths are summed
+    up; each text is moved once.
     """
-    keys = news.select("news_id", "ticker", day.alias("date"), "published_at")
-    r = R.global_rank(keys, [F.asc(c) for c in ("ticker", "date", "published_at", "news_id")])
-    first = r.groupBy("ticker", "date").agg(F.min("rank").alias("_first"))
-    r = r.join(first, ["ticker", "date"]).withColumn(
-        "part", F.floor((F.col("rank") - F.col("_first")) / part_size))
-    item = F.struct("rank", "title")
+    size = F.char_length(F.coalesce("title", F.lit(""))) + len(sep)
+    keys = news.select("news_id", "ticker", day.alias("date"), "published_at", size.alias("_size"))
+    r = R.running_totals(keys, [F.asc(c) for c in ("ticker", "date", "published_at", "news_id")], {"_upto": "_size"})
+    r = r.withColumn("_from", F.col("_upto") - F.col("_size"))
+    first = r.groupBy("ticker", "date").agg(F.min("_from").alias("_first"))
+    r = r.join(first, ["ticker", "date"]).withColumn("part", F.floor((F.col("_from") - F.col("_first")) / part_chars))
+    item = F.struct("rank", F.coalesce("title", F.lit("")).alias("title"))
     return r.join(news.select("news_id", "title"), "news_id").groupBy("ticker", "date", "part").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["title"]), sep).alias("doc_text"))

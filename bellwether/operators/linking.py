@@ -63,7 +63,10 @@ def link_simple(news: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> DataFrame:
-    """Judge each mention by the rule of its name.
+    """Judge each longest mention by the rule of its name.
+
+    A text is read from left to right, and the longest name at a place is taken; a name that occurs
+    only inside longer ones, or overlapping one before it, is not mentioned.
 
     ``rules`` is (alias, kind, ambiguous, tight): ``word`` names need free edges, ``run``
     names must equal up to four joined consecutive tokens, a ``tight`` pattern replaces
@@ -74,6 +77,13 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
     m = mentions(news, rules).join(rules, "alias")
     per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight")).alias("_m"))
     t = per.join(news.select("news_id", "title"), "news_id").withColumn("_toks", X.tokenize("title"))
+    # names that a text does not contain cannot match in it, so the alternatives are its own names
+    by_length = F.array_sort(F.transform("_m", lambda x: F.struct((-F.length(x["alias"])).alias("n"), x["alias"].alias("a"))))
+    pattern = F.array_join(F.transform(by_length, lambda x: F.concat(F.lit("\\Q"), x["a"], F.lit("\\E"))), "|")
+    taken = F.regexp_extract_all("title", pattern, F.lit(0))
+    t = t.withColumn("_taken", F.array_distinct(taken))
+    # ``_taken`` is used twice, or the optimizer would move its expression into the lambda
+    t = t.withColumn("_m", F.when(F.size("_taken") > 0, F.filter("_m", lambda x: F.array_contains("_taken", x["alias"]))))
     t = t.withColumn("_cue", F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues])))
 
     def judge(x: Column) -> Column:
@@ -86,7 +96,8 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
             F.when(F.regexp_like("title", x["tight"]), "linked").otherwise("ambiguous")
         ).otherwise(plain).alias("status"))
 
-    return t.select("news_id", F.inline(F.transform("_m", judge)))
+    # the inner form would make the optimizer push a size filter down, with the regular expression in its lambda
+    return t.select("news_id", F.inline_outer(F.transform("_m", judge))).filter("alias is not null")
 
 
 def link_precise(news: DataFrame, aliases: DataFrame, rules: DataFrame, cues: list[str]) -> DataFrame:

@@ -96,15 +96,15 @@ def _(v):
     return r.select("ticker", F.posexplode("r").alias("p", "val")).withColumn("dim", F.col("p") + 1)
 
 
-@query("joined_day_text", "AG9", "ticker:s date:d part:i n:i chars:i digest:s", """
-r AS (SELECT *, CAST(published_at AS DATE) AS date, (row_number() OVER (PARTITION BY ticker, CAST(published_at AS DATE)
-      ORDER BY published_at, news_id) - 1) // 5 AS part FROM news)
+@query("joined_day_text", "AG9", "ticker:s date:d part:i n:i chars:i digest:s", f"""
+r AS (SELECT *, CAST(published_at AS DATE) AS date, CAST(coalesce(sum(length(title) + 3) OVER (PARTITION BY ticker, CAST(published_at AS DATE)
+      ORDER BY published_at, news_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {A.DAY_TEXT_CHARS} AS part FROM news)
 ---
 j AS (SELECT ticker, date, part, count(*) AS n, string_agg(title, ' . ' ORDER BY published_at, news_id) AS doc FROM r GROUP BY ALL)
 ---
 SELECT ticker, date, part, n, length(doc) AS chars, md5(doc) AS digest FROM j""", "news")
 def _(v):
-    return A.joined_text(v.news, _day(), part_size=5).withColumns(
+    return A.joined_text(v.news, _day()).withColumns(
         {"chars": F.char_length("doc_text"), "digest": F.md5("doc_text")})
 
 

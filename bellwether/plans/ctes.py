@@ -73,10 +73,13 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             SELECT doc_id, [x for x in regexp_extract_all(lower(text), '[a-z][a-z0-9''\\-]*')
                             if length(x) >= 2] AS toks FROM documents))"""),
     "aliases": (("tokens",), """
-        SELECT form AS alias, rk,
-               ['click', 'error', 'purchase', 'signup', 'view'][1 + (rk - 1) % 5] AS ticker
-        FROM (SELECT form, row_number() OVER (ORDER BY count(*) DESC, form) AS rk
-              FROM tokens WHERE length(form) >= 4 GROUP BY form) WHERE rk <= 15"""),
+        SELECT alias, rk, ['click', 'error', 'purchase', 'signup', 'view'][1 + (rk - 1) % 5] AS ticker FROM (
+          SELECT alias, row_number() OVER (ORDER BY c DESC, alias) AS rk FROM (
+            SELECT alias, count(DISTINCT news_id) AS c FROM (
+              SELECT news_id, unnest([a, CASE WHEN length(b) >= 5 THEN a || ' ' || b END]) AS alias FROM (
+                SELECT news_id, form AS a, lead(form) OVER (PARTITION BY news_id ORDER BY pos) AS b FROM tokens) WHERE length(a) >= 5)
+            WHERE alias IS NOT NULL GROUP BY alias), (SELECT count(*) AS n FROM documents)
+          WHERE 100 * c >= 3 * n AND (100 * c <= 6 * n OR contains(alias, ' ')))"""),
     "vocab": (("tokens",), """
         SELECT form, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, form) AS word_id
         FROM tokens GROUP BY form HAVING count(*) >= 5"""),

@@ -185,12 +185,14 @@ runs AS (SELECT DISTINCT news_id, run FROM (SELECT news_id, unnest([a, a || b, a
 ---
 cue AS (SELECT DISTINCT news_id FROM tokens WHERE form IN ('with', 'license', 'elle'))
 ---
+lx AS (SELECT DISTINCT news_id, unnest(regexp_extract_all(title, (SELECT string_agg(alias, '|' ORDER BY length(alias) DESC, alias) FROM r))) AS alias FROM news)
+---
 m AS (SELECT n.news_id, r.alias, r.ticker, CASE
   WHEN tight IS NOT NULL THEN CASE WHEN regexp_matches(title, tight) THEN 'linked' ELSE 'ambiguous' END
   WHEN kind = 'word' AND NOT regexp_matches(title, '(^|[^0-9A-Za-z&])' || r.alias || '($|[^0-9A-Za-z&])') THEN 'boundary'
   WHEN kind = 'run' AND (n.news_id, r.alias) NOT IN (SELECT (news_id, run) FROM runs) THEN 'boundary'
   WHEN ambiguous AND n.news_id NOT IN (SELECT news_id FROM cue) THEN 'ambiguous' ELSE 'linked' END AS status
-  FROM news n JOIN r ON contains(n.title, r.alias))
+  FROM news n JOIN lx USING (news_id) JOIN r USING (alias))
 ---
 """
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bellwether.functions import text as X
 from bellwether.operators import calendar as cal
+from bellwether.operators import ranks as R
 from bellwether.operators import windows as W
 from bellwether.session import frozen
 from bellwether.operators.text import triples_from_tags, vocabulary
@@ -170,13 +171,20 @@ class Views:
 
     @cached_property
     def aliases(self) -> DataFrame:
-        """The 15 most frequent long tokens, dealt to the tickers in turn (3 names each)."""
+        """Names by rule: tokens of five letters or more in 3 to 6 % of the texts, and pairs of such
+        adjacent tokens in 3 % or more, dealt to the tickers in turn by descending frequency.
+
+        There are at most as many as a mean text has different tokens, divided by 3 %."""
         tickers = F.array(*[F.lit(t) for t in TICKERS])
-        top = frozen(self.tokens.filter(F.length("form") >= 4).groupBy("form").count()
-                     .orderBy(F.desc("count"), "form").limit(3 * len(TICKERS)))
-        return W.numbered(top, [F.desc("count"), F.asc("form")], "rk").select(
-            F.col("form").alias("alias"), "rk",
-            F.element_at(tickers, (1 + (F.col("rk") - 1) % len(TICKERS)).cast("int")).alias("ticker"))
+        long = lambda t: F.length(t) >= 5
+        pair = F.filter(F.transform("toks", lambda t, i: F.when(long(t) & long(F.get("toks", i + 1)), F.concat_ws(" ", t, F.get("toks", i + 1)))),
+                        lambda x: x.isNotNull())
+        names = self.titles_tokens.select(F.explode(F.array_distinct(F.concat(F.filter("toks", long), pair))).alias("alias"))
+        counted = R.with_scalars(names.groupBy("alias").count(), self.table("documents").agg(F.count(F.lit(1)).alias("_n")))
+        share = 100 * F.col("count") / F.col("_n")
+        kept = frozen(counted.filter((share >= 3) & ((share <= 6) | F.contains("alias", F.lit(" ")))).select("alias", "count"))
+        return W.numbered(kept, [F.desc("count"), F.asc("alias")], "rk").select(
+            "alias", "rk", F.element_at(tickers, (1 + (F.col("rk") - 1) % len(TICKERS)).cast("int")).alias("ticker"))
 
     @cached_property
     def rules(self) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bellwether.functions import text as X
-from bellwether.operators import joins, linking, selection, similarity, stats
+from bellwether.operators import aggregates, joins, linking, selection, similarity, stats
 from bellwether.sources import sinks
 
 
@@ -92,3 +92,20 @@ def test_linking_gathers_nothing_in_one_task(views):
     for df in (linking.mentions(views.news, views.aliases.select("alias")), joins.enrich(views.news, views.sentiment, ["news_id"], "sent", 0.0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
+
+
+def test_parts_put_together_are_the_whole_day(views):
+    day = F.to_date("published_at")
+    whole = {(r.ticker, r.date): r.doc_text for r in aggregates.joined_text(views.news, day, part_chars=1 << 40).collect()}
+    parts = aggregates.joined_text(views.news, day, part_chars=2000).orderBy("ticker", "date", "part").collect()
+    joined = {}
+    for r in parts:
+        joined.setdefault((r.ticker, r.date), []).append(r.doc_text)
+    assert {k: " . ".join(p) for k, p in joined.items()} == whole and len(parts) > len(whole)
+
+
+def test_longest_names_hide_those_inside_them(spark):
+    news = spark.createDataFrame([(1, "we met acme north today"), (2, "acme and north"), (3, "acme northern"), (4, "old acme north star")], "news_id bigint, title string")
+    rules = spark.createDataFrame([(a, "word", False, None) for a in ("acme", "north", "acme north", "north star")], "alias string, kind string, ambiguous boolean, tight string")
+    got = {(r.news_id, r.alias, r.status) for r in linking.classify_mentions(news, rules, ["x"]).collect()}
+    assert got == {(1, "acme north", "linked"), (2, "acme", "linked"), (2, "north", "linked"), (3, "acme north", "boundary"), (4, "acme north", "linked")}
