@@ -133,40 +133,35 @@ def test_first_touch(spark, path, reason, bar, ret):
     assert (r.reason, r.bar_hit) == (reason, bar) and r.ret_gross == pytest.approx(ret)
 
 
-def walk(path, sl, tp, trail, hold):
-    """Plain loop over one path: the rule that the fold must follow."""
-    e = path[0][0]
-    stop, hi = e * (1 + sl), path[0][1]
-    for j, (o, h, l, c) in enumerate(path[:hold]):
-        if j and o <= stop:
-            return o, o, j + 1, 0
-        if l <= stop and h >= e * (1 + tp):
-            return stop, e * (1 + tp), j + 1, 3
-        if l <= stop:
-            return stop, stop, j + 1, 0
-        if h >= e * (1 + tp):
-            return e * (1 + tp), e * (1 + tp), j + 1, 1
-        if trail is not None:
-            hi = max(hi, h)
-            stop = max(stop, hi * (1 + trail))
-    c = path[: hold][-1][3]
-    return c, c, len(path[:hold]), 2
-
-
-@pytest.mark.parametrize("cfg", [(-0.03, 0.05, None, 4), (-0.05, 0.10, -0.04, 6)])
-def test_multi_day_exit(spark, cfg):
-    rng = np.random.default_rng(5)
-    o = 100 * np.exp(np.cumsum(rng.normal(0, 0.03, 40)))
-    h, l = o * (1 + rng.uniform(0, 0.05, 40)), o * (1 - rng.uniform(0, 0.05, 40))
-    c = (h + l) / 2
-    path = list(zip(o, h, l, c))
-    df = spark.createDataFrame([("t", D(2024, 1, 1) + dt.timedelta(days=i), *map(float, p)) for i, p in enumerate(path)],
-                               "ticker string, date date, o double, h double, l double, c double")
-    got = O.multi_day_exit(df, [cfg]).orderBy("date").collect()
-    for i, r in enumerate(got):
-        pess, opt, held, reason = walk(path[i:], *cfg)
-        assert (r.held, r.reason) == (held, reason)
-        assert r.ret_pess == pytest.approx(pess / o[i] - 1) and r.ret_opt == pytest.approx(opt / o[i] - 1)
+# (open, high, low, close) per day; entry at the first open. Stop -3 %, target +5 %, three days, no trailing stop.
+HAND_WORKED = [
+    ("closes out after three days", [(100, 102, 99, 101), (101, 103, 100, 102), (102, 104, 98, 99), (99, 120, 50, 60)], None, (-0.01, -0.01, 3, 2)),
+    ("target on day one", [(100, 106, 99, 105)], None, (0.05, 0.05, 1, 1)),
+    ("stop on day two", [(100, 101, 99, 100), (100, 101, 96, 98)], None, (-0.03, -0.03, 2, 0)),
+    ("both levels in one bar", [(100, 106, 96, 100)], None, (-0.03, 0.05, 1, 3)),
+    ("an open beyond the stop fills there", [(100, 101, 99, 100), (90, 110, 89, 100)], None, (-0.10, -0.10, 2, 0)),
+    ("the series ends first", [(100, 101, 99, 100), (100, 102, 99, 101)], None, (0.01, 0.01, 2, 2)),
+    ("a trailing stop rises to 2 % below the high", [(100, 104, 99, 103), (103, 103, 101, 102)], -0.02, (0.0192, 0.0192, 2, 0)),
+    ("it is raised after the bar", [(100, 104, 98, 103), (103, 104, 102, 103)], -0.02, (0.03, 0.03, 2, 2)),
+]
+
+
+@pytest.mark.parametrize(("case", "path", "trail", "want"), HAND_WORKED, ids=[c[0] for c in HAND_WORKED])
+def test_multi_day_exit_by_hand(spark, case, path, trail, want):
+    rows = [("t", dt.date(2024, 1, 1 + i), *map(float, bar)) for i, bar in enumerate(path)]
+    df = spark.createDataFrame(rows, "ticker string, date date, o double, h double, l double, c double")
+    r = O.multi_day_exit(df, [(-0.03, 0.05, trail, 3)]).orderBy("date").first()
+    assert (round(r.ret_pess, 9), round(r.ret_opt, 9), r.held, r.reason) == want
+
+
+def test_multi_day_exit_invariants(views):
+    configs = [(-0.03, 0.05, None, 4), (-0.05, 0.10, -0.04, 6)]
+    r = O.multi_day_exit(views.scores, configs)
+    limit = F.when(F.col("config") == 0, 4).otherwise(6)
+    bad = r.filter((F.col("ret_pess") > F.col("ret_opt") + 1e-12) | (F.col("held") > limit) | (F.col("held") < 1))
+    assert bad.count() == 0 and r.count() == 2 * views.scores.count()
+    # only a bar that touches both levels tells the two apart
+    assert r.filter("reason <> 3 and abs(ret_pess - ret_opt) > 1e-12").count() == 0
 
 
 def test_equity_stays_lost(spark):
