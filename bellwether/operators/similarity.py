@@ -104,7 +104,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, block: int = 8192) ->
             code, _ = pd.factorize(c["text"])
             unit = _unit_rows(c["vec"])
             for qi, qt, v in zip(q["id"], q["text"], _unit_rows(q["vec"])):
-                sims = np.where((rid == qi) | (txt == qt), -np.inf, unit @ v)
+                # equal vectors have equal cosines, whatever the order of additions
+                sims = np.where((rid == qi) | (txt == qt), -np.inf, np.round(unit @ v, 12))
                 order = np.argsort(-sims, kind="stable")  # ties by id
                 first = order[np.sort(np.unique(code[order], return_index=True)[1])][:k]
                 first = first[np.isfinite(sims[first])]

@@ -84,7 +84,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT form, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, form) AS word_id
         FROM tokens GROUP BY form HAVING count(*) >= 5"""),
     "words": (("vocab", "news_vec"), """
-        SELECT form, word_id, vec FROM vocab JOIN news_vec ON word_id = news_id + 1"""),
+        SELECT form, word_id, vec FROM vocab JOIN news_vec ON (word_id - 1) % (SELECT count(*) FROM news_vec) = news_id"""),
     "vector_news": (("news", "news_vec"), """
         SELECT n.news_id, ticker, published_at, vec FROM news n JOIN news_vec USING (news_id)"""),
     "vector_scored": (("vector_news", "sentiment"), """

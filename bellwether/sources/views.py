@@ -216,5 +216,7 @@ class Views:
 
     @cached_property
     def words(self) -> DataFrame:
-        """Word vectors: the word numbered i takes the i-th given embedding."""
-        return self.vocab.join(self.news_vec, F.col("word_id") == F.col("news_id") + 1).select("form", "word_id", "vec")
+        """Word vectors: every word has one, since the given embeddings are dealt to the words in turn."""
+        n = self.news_vec.agg(F.count(F.lit(1)).alias("_n"))
+        turn = R.with_scalars(self.vocab, n).withColumn("news_id", (F.col("word_id") - 1) % F.col("_n"))
+        return turn.join(self.news_vec, "news_id").select("form", "word_id", "vec")
