@@ -5,8 +5,8 @@ character n-grams: from its start, the longest known n-gram is taken, then short
 the word counts as the mean of its pieces. Scores are summed over all words of a text.
 
 The model is fitted on at most about ``max_docs`` labelled documents, chosen by hash over the whole table,
-and keeps the ``max_words`` and ``max_grams`` most frequent entries and the ``max_langs`` most frequent
-languages; these four are its bounds. Every whole text is scored.
+and keeps the ``max_langs`` most frequent languages and at most ``max_words`` words and ``max_grams`` n-grams, namely all
+above a frequency; these four are its bounds. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -147,13 +147,19 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
     index: dict[str, dict[str, int]] = {}
     logs: dict[str, np.ndarray] = {}
     for kind, most in (("word", max_words), ("gram", max_grams)):
-        top = per_item.filter(F.col("kind") == kind).orderBy(F.desc("total"), "item").limit(most).collect()
-        counts = np.zeros((len(top), len(langs)))
-        for i, r in enumerate(top):
-            for of, n in r["by_lang"]:
-                if of in place:
-                    counts[i, place[of]] = n
-        index[kind] = {r["item"]: i for i, r in enumerate(top)}
+        mine = per_item.filter(F.col("kind") == kind)
+        kept, least = 0, 0
+        for r in mine.groupBy("total").count().orderBy(F.desc("total")).toLocalIterator():  # until the bound is reached
+            kept += r["count"]
+            if kept > most:
+                least = r["total"] + 1
+                break
+        top = mine.filter(F.col("total") >= least).select("item", F.inline("by_lang")).toPandas().sort_values(["item", "lang"])
+        items = top["item"].drop_duplicates()
+        index[kind] = {item: i for i, item in enumerate(items)}
+        known = top[top["lang"].isin(langs)]
+        counts = np.zeros((len(items), len(langs)))
+        counts[known["item"].map(index[kind]).to_numpy(dtype=np.int64), known["lang"].map(place).to_numpy(dtype=np.int64)] = known["n"]
         logs[kind] = _logs(counts)
     per_item.unpersist()
     return Model(langs, index["word"], index["gram"], logs["word"], logs["gram"])
