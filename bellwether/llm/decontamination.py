@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders; case and punctuation go. Windows of
 ``width`` template words of the documents are hash-joined with those of the benchmark. A window
-with placeholders counts only if its slots are consistent: wherever the item repeats a value,
-the document repeats the value in its place. So copies are found, and questions asked again
+with placeholders counts only if its slots are consistent: wherever the item repeats a value, within
+the window or anywhere else in the match, the document repeats the value in its place. So copies are found, and questions asked again
 with other numbers or names too.
 
 Window hashes are built by doubling (words, pairs, fours, ...); their lowest bit tells
@@ -133,6 +133,22 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int,
     return stored(rows.join(totals, F.col("item").eqNullSafe(F.col("_item"))).drop("_item"), "benchmark-windows")
 
 
+def _agreeing(windows: DataFrame) -> DataFrame:
+    """Windows (key, item, h, slots, own) whose fillings agree over the whole item.
+
+    Each value of an item stands for the one value of the document that most of its windows give it."""
+    place = ["key", "item", "h", "own"]
+    pairs = windows.select(*place, F.explode(F.array_distinct(F.arrays_zip("slots", "own"))).alias("p"))
+    pairs = pairs.select(*place, F.col("p.slots").alias("value"), F.col("p.own").alias("filling")).distinct()
+    votes = pairs.groupBy("key", "item", "value", "filling").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("value").alias("v")).agg(F.min_by("filling", F.struct(-F.col("n"), "filling")).alias("f"))
+    met = pairs.join(chosen, (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("value") == F.col("v")))
+    good = met.groupBy(*place).agg(F.min(F.col("filling") == F.col("f")).alias("ok")).filter("ok")
+    good = good.select(F.col("key").alias("k"), F.col("item").alias("i"), F.col("h").alias("g"), F.col("own").alias("o"))
+    on = (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("own") == F.col("o"))
+    return windows.join(good, on, "left_semi")
+
+
 def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = 0.5, enough_words: int = 50,
                  least_words: int = 4, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, key, item, held, total, same) per contaminated document and item; key is a hash of id and text.
@@ -173,7 +189,8 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     slotted = stored(slotted.select("key", "h", _slots("words", "raw", "pos", "n").alias("own")).distinct(), "slot-values")
     values = F.arrays_zip("slots", "own")
     consistent = F.size(F.array_distinct(values)) == F.size(F.array_distinct("slots"))
-    filled = matched.filter(F.size("slots") > 0).join(slotted, ["key", "h"]).filter(consistent).withColumn("same", F.equal_null(F.col("slots"), F.col("own")))
+    filled = matched.filter(F.size("slots") > 0).join(slotted, ["key", "h"]).filter(consistent)
+    filled = stored(_agreeing(filled).withColumn("same", F.equal_null(F.col("slots"), F.col("own"))), "filled-windows")
     columns = ["key", "item", "h", "total", "same"]
     windows = plain.select(columns).unionByName(filled.select(columns)).groupBy("key", "item", "total", "h").agg(F.max("same").alias("same"))
     judged = windows.groupBy("key", "item", "total").agg(F.count("*").alias("held"), F.min("same").alias("same")).filter(F.col("held") >= need)
