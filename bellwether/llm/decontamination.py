@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from bellwether.llm.common import stored
 
 WIDTH = 8
+SEED = 4
 NAME, NUMBER, UNIT, BEYOND = "\ue000", "\ue001", "\ue002", "\ue003"
 
 #: Number words and units that become placeholders. Fixed values.
@@ -34,8 +35,9 @@ UNITS = (
 ).split()
 
 #: A word with a capital within a sentence.
-NAME_PATTERN = r"(?<=[\p{Ll}\p{Nd},;] )\p{Lu}[\p{L}\p{M}'’-]*"
-NUMBER_PATTERN = r"(?<![\p{L}\p{Nd}])[$€£]?\p{Nd}+(?:[.,:/]\p{Nd}+)*%?"
+NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;] \p{Lu})[\p{L}\p{M}'’-]*"
+#: Digits with separators, maybe after a currency sign. Both patterns begin with a rare character: looking behind comes after it.
+NUMBER_PATTERN = r"(?:[$€£](?=\p{Nd})|\p{Nd})(?<![\p{L}\p{Nd}][$€£\p{Nd}])\p{Nd}*(?:[.,:/]\p{Nd}+)*%?"
 NOISE_PATTERN = f"[^\\p{{L}}\\p{{Nd}}{NAME}-{UNIT}\\s]+"
 
 
@@ -84,15 +86,19 @@ def _chained(powers: list[int]):
     return whole
 
 
+def _with_words(rows: DataFrame) -> DataFrame:
+    """Adds ``words``, the template words of ``text``."""
+    rows = rows.withColumn("_marked", _marked_words(F.col("text")))
+    return rows.withColumn("words", F.transform("_marked", _canonical("_marked"))).drop("_marked")
+
+
 def _with_windows(rows: DataFrame, widths: list[int]) -> DataFrame:
     """Adds ``words`` (template words) and ``w<n>``, the hashes of all windows of n words, for each n of ``widths``.
 
     Explode ``w<n>`` with the outer form: the inner one makes the optimizer push a filter on the array's size
     below these projections, which would compute the arrays anew for each of their elements.
     """
-    rows = rows.withColumn("_marked", _marked_words(F.col("text")))
-    rows = rows.withColumn("words", F.transform("_marked", _canonical("_marked"))).drop("_marked")
-    rows = rows.withColumn("h1", F.transform("words", lambda w: _flagged(F.xxhash64(w), F.when(_is_slot(w), F.lit(1)).otherwise(F.lit(0)))))
+    rows = _with_words(rows).withColumn("h1", F.transform("words", lambda w: _flagged(F.xxhash64(w), F.when(_is_slot(w), F.lit(1)).otherwise(F.lit(0)))))
     fitting = lambda n: F.greatest(F.size("words") - (n - 1), F.lit(0))
     power = 1
     while 2 * power <= max(widths):
@@ -112,6 +118,25 @@ def _slots(words: str, raw: str, start: str, n: str) -> Column:
     return F.transform(F.filter(F.arrays_zip(at.alias("t"), own.alias("r")), lambda x: _is_slot(x["t"])), lambda x: x["r"])
 
 
+def _seed_hash(words: str):
+    """A lambda: hash of the ``SEED`` template words from number i on."""
+    return lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(SEED)))
+
+
+def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows that may hold a window of at least ``2 * SEED - 1`` words of an item, and few others.
+
+    Such a window covers a whole block of ``SEED`` words at a multiple of ``SEED`` of the document. So the
+    document's blocks, which don't overlap, are joined with all windows of that length of the items.
+    """
+    n = F.size("words")
+    every = F.when(n >= SEED, F.transform(F.sequence(F.lit(0), n - SEED), _seed_hash("words")))
+    blocks = F.when(n >= SEED, F.transform(F.sequence(F.lit(0), F.expr(f"size(words) div {SEED}") - 1), lambda i: _seed_hash("words")(i * SEED)))
+    seeds = stored(_with_words(items).select(F.explode_outer(every).alias("seed")).filter("seed IS NOT NULL").distinct(), "benchmark-seeds")
+    keys = _with_words(rows).select("key", F.explode_outer(blocks).alias("seed")).join(seeds, "seed").select("key").distinct()
+    return rows.join(stored(keys, "candidates"), "key", "left_semi")
+
+
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int, least_words: int) -> DataFrame:
     """(item, n, h, slots, total): the different windows of each item; an item under ``width`` words is one window."""
     items = benchmark.select(F.col(item_id).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -162,9 +187,10 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     hashes = stored(bench.select("n", "h").distinct(), "benchmark-hashes")
     widths = sorted(r["n"] for r in hashes.select("n").distinct().collect())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = None
+    hits, wide = None, 2 * SEED - 1
+    likely = _candidates(rows, benchmark.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     for n in widths or [width]:
-        found = _with_windows(rows, [n]).select("doc_id", "key", F.posexplode_outer(f"w{n}").alias("pos", "h"))
+        found = _with_windows(likely if n >= wide else rows, [n]).select("doc_id", "key", F.posexplode_outer(f"w{n}").alias("pos", "h"))
         found = found.join(hashes.filter(F.col("n") == n), "h")
         hits = found if hits is None else hits.unionByName(found)
     hits = stored(hits.select("doc_id", "key", "n", "pos", "h").distinct(), "window-hits")
@@ -182,8 +208,7 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     plain = matched.filter(F.size("slots") == 0).join(different, ["key", "h"], "left_semi").withColumn("same", F.lit(True))
     places = hits.filter(F.col("h").bitwiseAND(F.lit(1)) == 1).groupBy("key").agg(F.collect_list(F.struct("n", "pos", "h")).alias("places"))
     places = stored(places, "slot-hits")
-    slotted = rows.join(places, "key").withColumn("words", F.col("text")).select("key", "text", "places")
-    slotted = slotted.withColumn("_marked", _marked_words(F.col("text"))).withColumn("words", F.transform("_marked", _canonical("_marked")))
+    slotted = _with_words(rows.join(places, "key").select("key", "text", "places"))
     slotted = slotted.select("key", "words", _plain_words(F.col("text")).alias("raw"), F.explode("places").alias("p"))
     slotted = slotted.select("key", "words", "raw", F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.h").alias("h"))
     slotted = stored(slotted.select("key", "h", _slots("words", "raw", "pos", "n").alias("own")).distinct(), "slot-values")
