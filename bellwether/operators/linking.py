@@ -40,14 +40,16 @@ def _grams(word: Column) -> Column:
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     """(news_id, alias) for every name contained in a title.
 
-    The distinct words of a title are cut into short grams and equi-joined with the first
-    letters of the names, then checked, so no title is compared with every name. Names of
+    The distinct words of all titles are cut into short grams and equi-joined with the first
+    letters of the names, then checked; titles meet the words that hold a name. Names of
     several words are checked against the whole title afterwards.
     """
     anchors = _anchors(names.select("alias").distinct())
     words = news.select("news_id", F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("word"))
-    hit = (words.select("news_id", "word", F.explode(_grams(F.col("word"))).alias("gram"))
-           .join(anchors, "gram").filter(F.contains("word", "first")))
+    # sizes are guessed before texts are exploded, so a broadcast might take that side: both joins are merged
+    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    found = grams.join(anchors.hint("merge"), "gram").filter(F.contains("word", "first")).select("word", "alias", "first")
+    hit = words.join(found.hint("merge"), "word")
     single = hit.filter(F.col("alias") == F.col("first")).select("news_id", "alias")
     phrase = hit.filter(F.col("alias") != F.col("first")).select("news_id", "alias").distinct()
     phrase = phrase.join(news.select("news_id", "title"), "news_id").filter(
