@@ -170,7 +170,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row of ``docs`` for each component: that of the smallest id (a null id counts as the largest), repeated rows once."""
     row_key = F.xxhash64(F.col(doc_id), F.col(text))
     prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), width).alias("fp"), row_key.alias("row_key"))
-    rows = stored(_classified(stored(prints, "fingerprints"), distance), "classified")
+    return first_of_each(docs, stored(_classified(stored(prints, "fingerprints"), distance), "classified"), row_key)
+
+
+def first_of_each(docs: DataFrame, rows: DataFrame, row_key: Column) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each root, once; ``rows`` has doc_id, row_key and root of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f")
     keepers = stored(rows.groupBy("root").agg(first).select("root", F.col("f.row_key").alias("keeper")), "keepers")
     gone = stored(rows.join(keepers, "root").filter("row_key <> keeper").select(F.col("row_key").alias("_gone")).distinct(), "near-duplicates")
