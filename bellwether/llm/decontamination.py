@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders; case and punctuation go. Windows of
 ``width`` template words of the documents are hash-joined with those of the benchmark. A window
 with placeholders counts only if its slots are consistent: wherever the item repeats a value, within
-the window or anywhere else in the match, the document repeats the value in its place. So copies are found, and questions asked again
-with other numbers or names too.
+the window or anywhere else in the match, the document repeats the value in its place. So questions asked again with other numbers or names are found.
+Windows of the plain lower-cased words are joined as well: which words become placeholders depends on capitals and on what
+stands before them, so only they find every copy, whatever its case and line breaks.
 
 Window hashes are built by doubling (words, pairs, fours, ...); their lowest bit tells
 whether a placeholder is in the window, so only the few such hits need their words again.
@@ -35,7 +36,7 @@ UNITS = (
 ).split()
 
 #: A word with a capital within a sentence.
-NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;] \p{Lu})[\p{L}\p{M}'’-]*"
+NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\s{1,2}\p{Lu})[\p{L}\p{M}'’-]*"
 #: Digits with separators, maybe after a currency sign. Both patterns begin with a rare character: looking behind comes after it.
 NUMBER_PATTERN = r"(?:[$€£](?=\p{Nd})|\p{Nd})(?<![\p{L}\p{Nd}][$€£\p{Nd}])\p{Nd}*(?:[.,:/]\p{Nd}+)*%?"
 NOISE_PATTERN = f"[^\\p{{L}}\\p{{Nd}}{NAME}-{UNIT}\\s]+"
@@ -74,40 +75,42 @@ def _joined(a: Column, b: Column) -> Column:
     return _flagged(F.xxhash64(a, b), a.bitwiseOR(b).bitwiseAND(F.lit(1)))
 
 
-def _chained(powers: list[int]):
-    """A lambda over the hashes of ``powers[0]`` words: joins on those of the next ``powers[1:]`` words."""
+def _chained(powers: list[int], h: str):
+    """A lambda over the hashes of ``powers[0]`` words: joins on those of the next ``powers[1:]`` words, in columns ``h<power>``."""
 
     def whole(x: Column, i: Column) -> Column:
         at = powers[0]
         for p in powers[1:]:
-            x, at = _joined(x, F.get(F.col(f"h{p}"), i + at)), at + p
+            x, at = _joined(x, F.get(F.col(f"{h}{p}"), i + at)), at + p
         return x
 
     return whole
 
 
 def _with_words(rows: DataFrame) -> DataFrame:
-    """Adds ``words``, the template words of ``text``."""
-    rows = rows.withColumn("_marked", _marked_words(F.col("text")))
+    """Adds ``words``, the template words of ``text``, and ``raw``, its plain words."""
+    rows = rows.withColumn("_marked", _marked_words(F.col("text"))).withColumn("raw", _plain_words(F.col("text")))
     return rows.withColumn("words", F.transform("_marked", _canonical("_marked"))).drop("_marked")
 
 
 def _with_windows(rows: DataFrame, widths: list[int]) -> DataFrame:
-    """Adds ``words`` (template words) and ``w<n>``, the hashes of all windows of n words, for each n of ``widths``.
+    """Adds ``words`` and ``raw`` (template and plain words) and ``w<n>`` and ``p<n>``, the hashes of all their windows of n words, for each n of ``widths``.
 
-    Explode ``w<n>`` with the outer form: the inner one makes the optimizer push a filter on the array's size
+    Explode them with the outer form: the inner one makes the optimizer push a filter on the array's size
     below these projections, which would compute the arrays anew for each of their elements.
     """
-    rows = _with_words(rows).withColumn("h1", F.transform("words", lambda w: _flagged(F.xxhash64(w), F.when(_is_slot(w), F.lit(1)).otherwise(F.lit(0)))))
-    fitting = lambda n: F.greatest(F.size("words") - (n - 1), F.lit(0))
-    power = 1
-    while 2 * power <= max(widths):
-        rows = rows.withColumn(f"h{2 * power}", F.transform(F.slice(f"h{power}", F.lit(1), fitting(2 * power)), _chained([power, power])))
-        power *= 2
-    for n in widths:
-        powers = [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
-        hashes = F.transform(F.slice(f"h{powers[0]}", F.lit(1), fitting(n)), _chained(powers)) if len(powers) > 1 else F.col(f"h{n}")
-        rows = rows.withColumn(f"w{n}", hashes)
+    rows = _with_words(rows)
+    for words, h, w in (("words", "h", "w"), ("raw", "g", "p")):
+        rows = rows.withColumn(f"{h}1", F.transform(words, lambda x: _flagged(F.xxhash64(x), F.when(_is_slot(x), F.lit(1)).otherwise(F.lit(0)))))
+        fitting = lambda n, words=words: F.greatest(F.size(words) - (n - 1), F.lit(0))
+        power = 1
+        while 2 * power <= max(widths):
+            rows = rows.withColumn(f"{h}{2 * power}", F.transform(F.slice(f"{h}{power}", F.lit(1), fitting(2 * power)), _chained([power, power], h)))
+            power *= 2
+        for n in widths:
+            powers = [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
+            hashes = F.transform(F.slice(f"{h}{powers[0]}", F.lit(1), fitting(n)), _chained(powers, h)) if len(powers) > 1 else F.col(f"{h}{n}")
+            rows = rows.withColumn(f"{w}{n}", hashes)
     return rows
 
 
@@ -129,27 +132,34 @@ def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
     Such a window covers a whole block of ``SEED`` words at a multiple of ``SEED`` of the document. So the
     document's blocks, which don't overlap, are joined with all windows of that length of the items.
     """
-    n = F.size("words")
-    every = F.when(n >= SEED, F.transform(F.sequence(F.lit(0), n - SEED), _seed_hash("words")))
-    blocks = F.when(n >= SEED, F.transform(F.sequence(F.lit(0), F.expr(f"size(words) div {SEED}") - 1), lambda i: _seed_hash("words")(i * SEED)))
+
+    def every(words: str) -> Column:
+        n = F.size(words)
+        return F.when(n >= SEED, F.transform(F.sequence(F.lit(0), n - SEED), _seed_hash(words))).otherwise(F.array().cast("array<bigint>"))
+
+    def spaced(words: str) -> Column:
+        at = F.sequence(F.lit(0), F.expr(f"size({words}) div {SEED}") - 1)
+        return F.when(F.size(words) >= SEED, F.transform(at, lambda i: _seed_hash(words)(i * SEED))).otherwise(F.array().cast("array<bigint>"))
+
+    every, blocks = (F.concat(of("words"), of("raw")) for of in (every, spaced))
     seeds = stored(_with_words(items).select(F.explode_outer(every).alias("seed")).filter("seed IS NOT NULL").distinct(), "benchmark-seeds")
     keys = _with_words(rows).select("key", F.explode_outer(blocks).alias("seed")).join(seeds, "seed").select("key").distinct()
     return rows.join(stored(keys, "candidates"), "key", "left_semi")
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int, least_words: int) -> DataFrame:
-    """(item, n, h, slots, total): the different windows of each item; an item under ``width`` words is one window."""
+    """(item, n, h, plain, slots, total): the different windows of each item, with hashes of template and plain words; an item under ``width`` words is one window."""
     items = benchmark.select(F.col(item_id).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     items = items.withColumn("key", F.xxhash64("item", "text")).dropDuplicates(["key"])
     sizes = items.withColumn("n", F.least(F.size(_plain_words(F.col("text"))), F.lit(width))).filter(F.col("n") >= least_words)
     widths = sorted(r["n"] for r in sizes.select("n").distinct().collect())
     parts = []
     for n in widths:  # at most ``width`` of them
-        rows = _with_windows(sizes.filter(F.col("n") == n), [n]).withColumn("raw", _plain_words(F.col("text")))
-        rows = rows.select("item", "n", "words", "raw", F.posexplode_outer(f"w{n}").alias("pos", "h"))
-        parts.append(rows.filter("h IS NOT NULL").select("item", "n", "h", _slots("words", "raw", "pos", "n").alias("slots")))
+        rows = _with_windows(sizes.filter(F.col("n") == n), [n])
+        rows = rows.select("item", "n", "words", "raw", F.col(f"p{n}").alias("ps"), F.posexplode_outer(f"w{n}").alias("pos", "h"))
+        parts.append(rows.filter("h IS NOT NULL").select("item", "n", "h", F.get("ps", F.col("pos")).alias("plain"), _slots("words", "raw", "pos", "n").alias("slots")))
     if not parts:
-        return stored(benchmark.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, n int, h bigint, slots array<string>, total bigint"), "benchmark-windows")
+        return stored(benchmark.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, n int, h bigint, plain bigint, slots array<string>, total bigint"), "benchmark-windows")
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
@@ -184,16 +194,21 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     coverage keep all items. Other columns are ignored; an empty table on either side gives an empty table.
     """
     bench = benchmark_windows(benchmark, item_id, text, width, least_words)
-    hashes = stored(bench.select("n", "h").distinct(), "benchmark-hashes")
+    both = F.explode(F.array(F.struct(F.lit(False).alias("raw"), "h"), F.struct(F.lit(True).alias("raw"), F.col("plain").alias("h")))).alias("x")
+    hashes = stored(bench.select("n", both).select("n", "x.raw", "x.h").distinct(), "benchmark-hashes")
     widths = sorted(r["n"] for r in hashes.select("n").distinct().collect())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     hits, wide = None, 2 * SEED - 1
     likely = _candidates(rows, benchmark.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     for n in widths or [width]:
-        found = _with_windows(likely if n >= wide else rows, [n]).select("doc_id", "key", F.posexplode_outer(f"w{n}").alias("pos", "h"))
-        found = found.join(hashes.filter(F.col("n") == n), "h")
+        found = _with_windows(likely if n >= wide else rows, [n])
+        found = found.select("doc_id", "key", F.explode_outer(F.array(F.struct(F.lit(False).alias("raw"), F.col(f"w{n}").alias("w")), F.struct(F.lit(True).alias("raw"), F.col(f"p{n}").alias("w")))).alias("x"))
+        found = found.select("doc_id", "key", F.col("x.raw").alias("raw"), F.posexplode_outer("x.w").alias("pos", "h"))
+        found = found.join(hashes.filter(F.col("n") == n), ["raw", "h"])
         hits = found if hits is None else hits.unionByName(found)
-    hits = stored(hits.select("doc_id", "key", "n", "pos", "h").distinct(), "window-hits")
+    all_hits = stored(hits.select("doc_id", "key", "raw", "n", "pos", "h").distinct(), "window-hits")
+    hits, copied = all_hits.filter("NOT raw"), all_hits.filter("raw").select("key", "n", F.col("h").alias("plain")).distinct()
+    copied = stored(copied.join(bench, ["n", "plain"]).select("key", "item", "h", "total").distinct(), "copied-windows")
 
     # Pairs meet only through an item's rarest windows: whoever holds enough of its windows holds one of these.
     need = F.least(F.ceil(F.col("total") * coverage), F.lit(max(1, enough_words - width + 1)))
@@ -202,14 +217,16 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     order = F.row_number().over(Window.partitionBy("item").orderBy("uses", "h"))
     rare = stored(each.withColumn("at", order).filter(F.col("at") <= F.col("total") - need + 1).select("item", "h"), "rare-windows")
     different = hits.select("key", "h").distinct()
-    pairs = different.join(rare, "h").select("key", F.col("item").alias("_item")).distinct()
+    pairs = different.unionByName(copied.select("key", "h")).distinct().join(rare, "h").select("key", F.col("item").alias("_item")).distinct()
+    copied = copied.join(pairs.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("item").eqNullSafe(F.col("_item")), "left_semi")
     matched = pairs.join(bench, F.col("item").eqNullSafe(F.col("_item"))).drop("_item")
 
     plain = matched.filter(F.size("slots") == 0).join(different, ["key", "h"], "left_semi").withColumn("same", F.lit(True))
+    copied = copied.withColumn("same", F.lit(True))
     places = hits.filter(F.col("h").bitwiseAND(F.lit(1)) == 1).groupBy("key").agg(F.collect_list(F.struct("n", "pos", "h")).alias("places"))
     places = stored(places, "slot-hits")
     slotted = _with_words(rows.join(places, "key").select("key", "text", "places"))
-    slotted = slotted.select("key", "words", _plain_words(F.col("text")).alias("raw"), F.explode("places").alias("p"))
+    slotted = slotted.select("key", "words", "raw", F.explode("places").alias("p"))
     slotted = slotted.select("key", "words", "raw", F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.h").alias("h"))
     slotted = stored(slotted.select("key", "h", _slots("words", "raw", "pos", "n").alias("own")).distinct(), "slot-values")
     values = F.arrays_zip("slots", "own")
@@ -217,9 +234,9 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     filled = matched.filter(F.size("slots") > 0).join(slotted, ["key", "h"]).filter(consistent)
     filled = stored(_agreeing(filled).withColumn("same", F.equal_null(F.col("slots"), F.col("own"))), "filled-windows")
     columns = ["key", "item", "h", "total", "same"]
-    windows = plain.select(columns).unionByName(filled.select(columns)).groupBy("key", "item", "total", "h").agg(F.max("same").alias("same"))
+    windows = plain.select(columns).unionByName(copied.select(columns)).unionByName(filled.select(columns)).groupBy("key", "item", "total", "h").agg(F.max("same").alias("same"))
     judged = windows.groupBy("key", "item", "total").agg(F.count("*").alias("held"), F.min("same").alias("same")).filter(F.col("held") >= need)
-    return judged.join(hits.select("doc_id", "key").distinct(), "key").select("doc_id", "key", "item", "held", "total", "same")
+    return judged.join(all_hits.select("doc_id", "key").distinct(), "key").select("doc_id", "key", "item", "held", "total", "same")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

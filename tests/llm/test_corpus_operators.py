@@ -230,6 +230,23 @@ def test_reparameterised_questions_are_found(spark):
     assert decontamination.contaminated(rows, none).count() == 0 and decontamination.contaminated(docs_of(spark, []), bench).count() == 0
 
 
+def test_copies_are_found_whatever_their_case_and_breaks(spark):
+    short = "Seven apples lie in Anna's basket all day"
+    bench = spark.createDataFrame([(1, ITEM), (2, short)], "item_id int, text string")
+    copies = [ITEM.upper(), ITEM.lower(), ITEM.title(), ITEM.replace(" ", "\n"), "so, " + short, "AND, " + short.upper(), short.lower(), "x " + short.replace(" ", "  ")]
+    got = {r.doc_id: r for r in decontamination.contaminated(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(copies)]), bench).collect()}
+    assert {i: (r.item_ids, r.coverage, r.verbatim) for i, r in got.items()} == {i: ([1 if i < 4 else 2], 1.0, True) for i in range(len(copies))}
+
+
+def test_whole_items_are_found_whatever_their_case(spark):
+    sf = "/root/testdata/sf0.1"
+    items = [(r.item_id, " ".join(brute_words(r.text))) for r in table(spark, sf, "benchmark").collect()]
+    docs = [(r.doc_id, " ".join(brute_words(r.text or ""))) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    want = {(d, i) for d, t in docs for i, x in items if x in t and f" {x} " in f" {t} "}
+    got = {(r.doc_id, i) for r in queries.benchmark_decontamination(spark, sf).collect() for i in r.item_ids}
+    assert len(want) >= 247 and want <= got
+
+
 def brute_words(text):
     return [w for w in re.sub(r"[^\w\s]|_", "", text.lower()).split() if w]
 
