@@ -3,7 +3,7 @@
 Numbers, names and units become typed placeholders; case and punctuation go. Windows of
 ``width`` template words of the documents are hash-joined with those of the benchmark. A window
 with placeholders counts only if its slots are consistent: wherever the item repeats a value, within
-the window or anywhere else in the match, the document repeats the value in its place. So questions asked again with other numbers or names are found.
+the window or anywhere else in that copy, the document repeats the value in its place. So questions asked again with other numbers or names are found.
 Windows of the plain lower-cased words are joined as well: which words become placeholders depends on capitals and on what
 stands before them, so only they find every copy, whatever its case and line breaks.
 
@@ -148,7 +148,7 @@ def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int, least_words: int) -> DataFrame:
-    """(item, n, h, plain, slots, total): the different windows of each item, with hashes of template and plain words; an item under ``width`` words is one window."""
+    """(item, n, h, plain, at, slots, total): the windows of each item, with hashes of template and plain words, their position and the number of different ones; an item under ``width`` words is one window."""
     items = benchmark.select(F.col(item_id).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     items = items.withColumn("key", F.xxhash64("item", "text")).dropDuplicates(["key"])
     sizes = items.withColumn("n", F.least(F.size(_plain_words(F.col("text"))), F.lit(width))).filter(F.col("n") >= least_words)
@@ -157,9 +157,9 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int,
     for n in widths:  # at most ``width`` of them
         rows = _with_windows(sizes.filter(F.col("n") == n), [n])
         rows = rows.select("item", "n", "words", "raw", F.col(f"p{n}").alias("ps"), F.posexplode_outer(f"w{n}").alias("pos", "h"))
-        parts.append(rows.filter("h IS NOT NULL").select("item", "n", "h", F.get("ps", F.col("pos")).alias("plain"), _slots("words", "raw", "pos", "n").alias("slots")))
+        parts.append(rows.filter("h IS NOT NULL").select("item", "n", "h", F.get("ps", F.col("pos")).alias("plain"), F.col("pos").alias("at"), _slots("words", "raw", "pos", "n").alias("slots")))
     if not parts:
-        return stored(benchmark.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, n int, h bigint, plain bigint, slots array<string>, total bigint"), "benchmark-windows")
+        return stored(benchmark.sparkSession.createDataFrame([], f"item {items.schema['item'].dataType.simpleString()}, n int, h bigint, plain bigint, at int, slots array<string>, total bigint"), "benchmark-windows")
     rows = parts[0]
     for other in parts[1:]:
         rows = rows.unionByName(other)
@@ -168,20 +168,31 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int,
     return stored(rows.join(totals, F.col("item").eqNullSafe(F.col("_item"))).drop("_item"), "benchmark-windows")
 
 
+def _copies(windows: DataFrame) -> DataFrame:
+    """Adds ``copy`` to windows with ``pos`` and ``at``, their positions in document and item: the groups that are judged by themselves.
+
+    Windows of one copy lie equally far from their places in the item (group 1), or nearly so if words were added or left out
+    (groups 2 and 3: shifts within an item's length, with cuts at two places). Group 0 is the whole document."""
+    shift, width = F.col("pos") - F.col("at"), F.col("total").cast("bigint")
+    half = F.expr("total div 2")
+    near = lambda x: F.floor(x / width)
+    places = [F.lit(0), shift, near(shift), near(shift + half)]
+    return windows.withColumn("copy", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.cast("bigint").alias("p")) for k, p in enumerate(places)])))
+
+
 def _agreeing(windows: DataFrame) -> DataFrame:
-    """Windows (key, item, h, slots, own) whose fillings agree over the whole item.
+    """Of the windows (key, item, copy, h, slots, own) those whose fillings agree over the copy: different (key, item, copy, total, h).
 
-    Each value of an item stands for the one value of the document that most of its windows give it."""
-    place = ["key", "item", "h", "own"]
-    pairs = windows.select(*place, F.explode(F.array_distinct(F.arrays_zip("slots", "own"))).alias("p"))
-    pairs = pairs.select(*place, F.col("p.slots").alias("value"), F.col("p.own").alias("filling")).distinct()
-    votes = pairs.groupBy("key", "item", "value", "filling").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("value").alias("v")).agg(F.min_by("filling", F.struct(-F.col("n"), "filling")).alias("f"))
-    met = pairs.join(chosen, (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("value") == F.col("v")))
-    good = met.groupBy(*place).agg(F.min(F.col("filling") == F.col("f")).alias("ok")).filter("ok")
-    good = good.select(F.col("key").alias("k"), F.col("item").alias("i"), F.col("h").alias("g"), F.col("own").alias("o"))
-    on = (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")) & (F.col("own") == F.col("o"))
-    return windows.join(good, on, "left_semi")
+    Each value of an item stands for the one value that most windows of the copy give it."""
+    place = ["key", "item", "copy", "total", "h", "own"]
+    pairs = windows.select(*place, "slots", F.explode(F.array_distinct(F.arrays_zip("slots", "own"))).alias("p"))
+    pairs = stored(pairs.select(*place, "slots", F.col("p.slots").alias("value"), F.col("p.own").alias("filling")).distinct(), "fillings")
+    votes = pairs.select(*place, "value", "filling").distinct().groupBy("key", "item", "copy", "value", "filling").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(F.col("key").alias("k"), F.col("item").alias("i"), F.col("copy").alias("c"), F.col("value").alias("v"))
+    chosen = chosen.agg(F.min_by("filling", F.struct(-F.col("n"), "filling")).alias("f"))
+    met = pairs.join(chosen, (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c")) & (F.col("value") == F.col("v")))
+    good = met.groupBy(*place, "slots").agg(F.min(F.col("filling") == F.col("f")).alias("ok")).filter("ok")
+    return good.select("key", "item", "copy", "total", "h").distinct()
 
 
 def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = 0.5, enough_words: int = 50,
@@ -189,7 +200,8 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """(doc_id, key, item, held, total, same) per contaminated document and item; key is a hash of id and text.
 
     A document is contaminated by an item if it holds ``coverage`` of the item's different windows, or
-    as many as ``enough_words`` words have. Items of fewer than ``least_words`` words say too little and are not judged. Null
+    as many as ``enough_words`` words have. Windows with the item's own words count wherever they stand, and with them the others of
+    the copy that has most. Items of fewer than ``least_words`` words say too little and are not judged. Null
     texts are empty and never contaminated. Repeated rows and repeated ids give one row per id; null ids are one id. Ties in
     coverage keep all items. Other columns are ignored; an empty table on either side gives an empty table.
     """
@@ -221,21 +233,27 @@ def judged_texts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     copied = copied.join(pairs.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("item").eqNullSafe(F.col("_item")), "left_semi")
     matched = pairs.join(bench, F.col("item").eqNullSafe(F.col("_item"))).drop("_item")
 
-    plain = matched.filter(F.size("slots") == 0).join(different, ["key", "h"], "left_semi").withColumn("same", F.lit(True))
-    copied = copied.withColumn("same", F.lit(True))
+    plain = matched.filter(F.size("slots") == 0).join(different, ["key", "h"], "left_semi")
     places = hits.filter(F.col("h").bitwiseAND(F.lit(1)) == 1).groupBy("key").agg(F.collect_list(F.struct("n", "pos", "h")).alias("places"))
     places = stored(places, "slot-hits")
     slotted = _with_words(rows.join(places, "key").select("key", "text", "places"))
     slotted = slotted.select("key", "words", "raw", F.explode("places").alias("p"))
     slotted = slotted.select("key", "words", "raw", F.col("p.n").alias("n"), F.col("p.pos").alias("pos"), F.col("p.h").alias("h"))
-    slotted = stored(slotted.select("key", "h", _slots("words", "raw", "pos", "n").alias("own")).distinct(), "slot-values")
+    slotted = stored(slotted.select("key", "h", "pos", _slots("words", "raw", "pos", "n").alias("own")).distinct(), "slot-values")
     values = F.arrays_zip("slots", "own")
     consistent = F.size(F.array_distinct(values)) == F.size(F.array_distinct("slots"))
     filled = matched.filter(F.size("slots") > 0).join(slotted, ["key", "h"]).filter(consistent)
-    filled = stored(_agreeing(filled).withColumn("same", F.equal_null(F.col("slots"), F.col("own"))), "filled-windows")
-    columns = ["key", "item", "h", "total", "same"]
-    windows = plain.select(columns).unionByName(copied.select(columns)).unionByName(filled.select(columns)).groupBy("key", "item", "total", "h").agg(F.max("same").alias("same"))
-    judged = windows.groupBy("key", "item", "total").agg(F.count("*").alias("held"), F.min("same").alias("same")).filter(F.col("held") >= need)
+    filled = stored(filled.select("key", "item", "total", "h", "pos", "at", "slots", "own"), "filled-windows")
+    columns = ["key", "item", "total", "h"]
+    own = plain.select(columns).unionByName(copied.select(columns)).unionByName(filled.filter(F.equal_null(F.col("slots"), F.col("own"))).select(columns))
+    own = stored(own.distinct(), "own-windows")
+    known = own.select(F.col("key").alias("k"), F.col("item").alias("i"), F.col("h").alias("g"))
+    met = (F.col("key") == F.col("k")) & F.col("item").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
+    others = _agreeing(_copies(filled)).join(known, met, "left_anti").groupBy("key", "item", "total", "copy").agg(F.count("*").alias("n"))
+    counts = own.select("key", "item", "total", F.lit(1).alias("own"), F.lit(0).cast("bigint").alias("n"))
+    counts = counts.unionByName(others.select("key", "item", "total", F.lit(0).alias("own"), "n"))
+    judged = counts.groupBy("key", "item", "total").agg((F.sum("own") + F.max("n")).alias("held"), (F.max("n") == 0).alias("same"))
+    judged = judged.filter(F.col("held") >= need)
     return judged.join(all_hits.select("doc_id", "key").distinct(), "key").select("doc_id", "key", "item", "held", "total", "same")
 
 

@@ -238,6 +238,20 @@ def test_copies_are_found_whatever_their_case_and_breaks(spark):
     assert {i: (r.item_ids, r.coverage, r.verbatim) for i, r in got.items()} == {i: ([1 if i < 4 else 2], 1.0, True) for i in range(len(copies))}
 
 
+def test_every_copy_is_judged_by_itself(spark):
+    item = "A shop sells 4 red pens and 5 blue pens. It gets 4 more and sells 5 more."
+    other, third = (item.replace("4", a).replace("5", b) for a, b in (("3", "9"), ("8", "2")))
+    longer = other.replace("red pens", "new red pens")
+    texts = [item + " " + other, other + " " + third, third + " then came " + other + " " + item, other, "It gets 3 more and sells 9 more.", longer + " " + longer]
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = {r.doc_id: r for r in decontamination.contaminated(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), bench).collect()}
+    assert all(got[i].coverage == 1.0 for i in range(4)) and 4 not in got
+    assert [got[i].verbatim for i in range(4)] == [True, False, True, False]
+    mixed = item.replace("sells 4", "sells 3").replace("and 5", "and 9").replace("gets 4", "gets 6").replace("sells 5", "sells 1")
+    alone = decontamination.contaminated(docs_of(spark, [(1, mixed, "en", "a")]), bench, coverage=0.9).collect()
+    assert alone == []
+
+
 def test_whole_items_are_found_whatever_their_case(spark):
     sf = "/root/testdata/sf0.1"
     items = [(r.item_id, " ".join(brute_words(r.text))) for r in table(spark, sf, "benchmark").collect()]
