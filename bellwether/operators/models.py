@@ -13,9 +13,9 @@ from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, Imputer, NGram, SQLTransformer, StandardScaler, VectorAssembler,
-                                Word2Vec)
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -322,13 +322,43 @@ def principal_components(vectors: DataFrame, vec: str, k: int, fit: Column) -> D
     return m.transform(d).withColumn("pc", vector_to_array("_pc")).drop("_x", "_pc")
 
 
-def tfidf_svm(docs: DataFrame, costs=(0.1, 0.5, 1.0, 2.0), vocab: int = 20_000) -> DataFrame:
+def _grams(texts: DataFrame) -> DataFrame:
+    """(ticker, date, gram) for every token and every pair of adjacent tokens; the texts of a day follow one another by
+    published_at and news_id, so the last token of one and the first of the next are a pair."""
+    keys = ["ticker", "date"]
+    pairs = F.transform(F.slice("toks", F.lit(1), F.greatest(F.size("toks") - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get("toks", i + 1)))
+    within = texts.select(*keys, F.explode(F.concat("toks", pairs)).alias("gram"))
+    ends = texts.filter(F.size("toks") > 0).select(*keys, "published_at", "news_id", F.get("toks", F.lit(0)).alias("head"), F.element_at("toks", -1).alias("tail"))
+    follow = F.lead("head").over(Window.partitionBy(*keys).orderBy("published_at", "news_id"))
+    across = ends.withColumn("follow", follow).filter("follow is not null").select(*keys, F.concat_ws(" ", "tail", "follow").alias("gram"))
+    return within.unionByName(across)
+
+
+def tfidf_features(texts: DataFrame, days: DataFrame, vocab: int = 20_000) -> DataFrame:
+    """``days`` (ticker, date, split, ...) with ``x``, the sparse 1- and 2-gram TF-IDF of all their ``texts``
+    (ticker, date, published_at, news_id, toks).
+
+    Terms occur in at least two training days; the ``vocab`` most frequent are kept, ties by term. A day's tokens never meet in
+    one row: what is collected per day is its counts of vocabulary terms."""
+    keys = ["ticker", "date"]
+    train = days.filter("split = 'train'").select(*keys)
+    grams = _grams(texts.filter("toks is not null"))
+    uses = grams.join(train, keys, "left_semi").groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    terms = uses.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).filter("df >= 2")
+    terms = frozen(terms.orderBy(F.desc("tf"), "gram").limit(vocab))
+    size, m = max(terms.count(), 1), train.count()
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("tf"), "gram")
+    terms = frozen(terms.select("gram", (F.row_number().over(order) - 1).alias("i"), F.log((F.lit(m) + 1) / (F.col("df") + 1)).alias("idf")))
+    counts = grams.join(terms, "gram").groupBy(*keys, "i", "idf").agg(F.count(F.lit(1)).alias("n"))
+    vectors = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("n") * F.col("idf")).alias("v")))).alias("_c"))
+    sparse = F.udf(lambda c: Vectors.sparse(size, [r["i"] for r in c or []], [r["v"] for r in c or []]), VectorUDT())
+    return frozen(days.join(vectors, keys, "left").withColumn("x", sparse("_c")).drop("_c"))
+
+
+def tfidf_svm(texts: DataFrame, days: DataFrame, costs=(0.1, 0.5, 1.0, 2.0), vocab: int = 20_000) -> DataFrame:
     """1- and 2-gram TF-IDF (at least two documents) with a linear SVM; the cost with the best
-    dev MCC is kept and returned as ``cost``. ``docs`` has toks, label and split."""
-    pairs = SQLTransformer(statement="SELECT *, concat(toks, two) AS grams FROM __THIS__")
-    text = Pipeline(stages=[NGram(n=2, inputCol="toks", outputCol="two"), pairs,
-                            CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=vocab), IDF(inputCol="tf", outputCol="x")])
-    d = text.fit(docs.filter("split = 'train'")).transform(docs).drop("toks", "two", "grams", "tf").persist()
+    dev MCC is kept and returned as ``cost``. ``days`` has ticker, date, label and split; see ``tfidf_features``."""
+    d = tfidf_features(texts, days, vocab).persist()
     train = d.filter("split = 'train'")
     n, best = train.count(), None
     for c in costs:
@@ -339,7 +369,7 @@ def tfidf_svm(docs: DataFrame, costs=(0.1, 0.5, 1.0, 2.0), vocab: int = 20_000)
         if best is None or mcc > best[0]:
             best = (mcc, c, s)
     out = best[2].withColumns({"p": 1.0 / (1.0 + F.exp(-F.col("margin"))), "cost": F.lit(float(best[1]))})
-    out = frozen(out.select(*[c for c in docs.columns if c != "toks"], "p", "cost"))
+    out = frozen(out.select(*days.columns, "p", "cost"))
     d.unpersist()
     return out
 

@@ -258,11 +258,10 @@ def _(v):
 def _(v):
     # the texts that inform one session of a ticker are one document, labelled with its direction
     s = v.sessioned.filter("eff is not null").select("news_id", "ticker", F.col("eff").alias("date"), "published_at")
-    item = F.struct("published_at", "news_id", "toks")
-    day = s.join(v.titles_tokens, "news_id").groupBy("ticker", "date").agg(F.array_sort(F.collect_list(item)).alias("_d"))
-    day = day.select("ticker", "date", F.flatten(F.transform("_d", lambda x: x["toks"])).alias("toks"))
+    texts = s.join(v.titles_tokens, "news_id")
     y = v.daily.select("ticker", "date", (F.col("close") > F.col("open")).cast("double").alias("label"))
-    pred = M.tfidf_svm(frozen(M.time_split(day.join(y, ["ticker", "date"]))))
+    days = frozen(M.time_split(texts.select("ticker", "date").distinct().join(y, ["ticker", "date"])))
+    pred = M.tfidf_svm(texts, days)
     return M.metrics(pred, by=["split", "cost"])
 
 

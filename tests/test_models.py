@@ -57,3 +57,26 @@ def test_seeded_fits_repeat(rows):
         return [round(r.p, 9) for r in M.score(m, rows).orderBy("ticker", "date").limit(50).collect()]
 
     assert fit() == fit()
+
+
+def test_tfidf_of_a_day_is_counted_over_its_texts(spark):
+    import math
+    from collections import Counter
+
+    said = {1: [["a", "b", "a"], [], ["c", "b"]], 2: [["b", "c", "b"], None, ["a", "b"]], 3: [["a"], ["b", "zz"]], 4: [["qq"]]}
+    texts = [("t", d, k, 10 * d + k, toks) for d, day in said.items() for k, toks in enumerate(day)]
+    texts = spark.createDataFrame(texts, "ticker string, date int, published_at int, news_id int, toks array<string>")
+    days = spark.createDataFrame([("t", d, "train" if d < 4 else "test", 1.0) for d in said], "ticker string, date int, split string, label double")
+    counts = {}
+    for d, day in said.items():
+        w = [t for toks in day for t in toks or []]
+        counts[d] = Counter(w) + Counter(map(" ".join, zip(w, w[1:], strict=False)))
+    both = counts[1] + counts[2] + counts[3]
+    df = Counter(g for d in (1, 2, 3) for g in counts[d])
+    kept = sorted((g for g in both if df[g] > 1), key=lambda g: (-both[g], g))
+    assert len({df[g] for g in kept}) == 2 and "b c" not in kept and "a b" in kept
+    for vocab in (20, 2):
+        terms = kept[:vocab]
+        for r in M.tfidf_features(texts, days, vocab).collect():
+            assert r.x.size == len(terms) and list(r.x.toArray()) == pytest.approx([counts[r.date][g] * math.log(4 / (1 + df[g])) for g in terms])
+    assert "collect_list" not in M._grams(texts)._jdf.queryExecution().toString()
