@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bellwether.llm import chat, decontamination, impact, langid, lengths, mixing, quality, sharding, simhash, urlfilter
+from bellwether.llm import centroids, chat, decontamination, divergence, impact, langid, lengths, mixing, packing, quality, sharding, simhash, urlfilter
 from bellwether.llm.common import crc_of, table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -71,6 +71,18 @@ def near_duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": language_id,
     "op2_token_counts": token_counts,
@@ -82,6 +94,9 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier,
     "op9_sharding": shard_placement,
     "op10_simhash_near_dedup": near_duplicate_components,
+    "op11_source_divergence": source_divergence,
+    "op12_centroid_clusters": centroid_clusters,
+    "op13_best_fit_packing": best_fit_packing,
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\#\#\#'), '</turn>', '\</turn>')"
@@ -130,5 +145,75 @@ m AS (
   GROUP BY page_id
 )
 SELECT h.page_id, host, path, rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+n AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY lang, source),
+p AS (
+  SELECT lang, source, term, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 5)) // (s.total + 5 * v.v) AS p,
+    1 + (1000000000 * (t.n + 5)) // (v.total + 5 * v.v) AS q
+  FROM s JOIN t USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)
+), pair AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+  FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL) x
+    ON x.lang = g.lang AND x.source = g.source AND x.item = o.source
+), r AS (
+  SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_centroid_clusters": """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h NULLS LAST, v LIMIT 16)
+), a0 AS (
+  SELECT vec_id, v, cluster FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS k FROM (
+      SELECT row, vec_id, v.v AS v, cluster, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v, c0 c)) WHERE k = 1
+), m0 AS (
+  SELECT cluster, list(x ORDER BY place) AS v FROM (
+    SELECT cluster, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM (SELECT cluster, unnest(range(64)) AS place, unnest(v) AS x FROM a0) GROUP BY cluster, place) GROUP BY cluster
+), c1 AS (
+  SELECT cluster, coalesce(m0.v, c0.v) AS v FROM c0 LEFT JOIN m0 USING (cluster)
+), a1 AS (
+  SELECT vec_id, v, cluster FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS k FROM (
+      SELECT row, vec_id, v.v AS v, cluster, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v, c1 c)) WHERE k = 1
+), m1 AS (
+  SELECT cluster, list(x ORDER BY place) AS v FROM (
+    SELECT cluster, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM (SELECT cluster, unnest(range(64)) AS place, unnest(v) AS x FROM a1) GROUP BY cluster, place) GROUP BY cluster
+), c2 AS (
+  SELECT cluster, coalesce(m1.v, c1.v) AS v FROM c1 LEFT JOIN m1 USING (cluster)
+), a2 AS (
+  SELECT vec_id, v, cluster FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS k FROM (
+      SELECT row, vec_id, v.v AS v, cluster, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v, c2 c)) WHERE k = 1
+), m2 AS (
+  SELECT cluster, list(x ORDER BY place) AS v FROM (
+    SELECT cluster, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+    FROM (SELECT cluster, unnest(range(64)) AS place, unnest(v) AS x FROM a2) GROUP BY cluster, place) GROUP BY cluster
+), c3 AS (
+  SELECT cluster, coalesce(m2.v, c2.v) AS v FROM c2 LEFT JOIN m2 USING (cluster)
+), a AS (
+  SELECT vec_id, cluster, distance, v FROM (
+    SELECT *, row_number() OVER (PARTITION BY row ORDER BY distance, cluster) AS k FROM (
+      SELECT row, vec_id, c.v AS v, cluster, CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM v, c3 c)) WHERE k = 1
+)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(v, ',')) AS centroid_sha256
+FROM a
 """,
 }
