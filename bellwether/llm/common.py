@@ -28,6 +28,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``keys``, a stored table of a few numbers a row, marked for broadcast if it has at most so many rows.
+
+    For joins whose other side holds texts; beyond that size they are joined as Spark sees fit."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 def crc_of(key: str, modulus: int) -> Column:
     """crc32 of a key written as text, modulo ``modulus``; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0)) % modulus

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bellwether.llm.common import stored
+from bellwether.llm.common import small, stored
 
 POSITIONS = [g for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for g in [tuple(p for p in half if p != out) for out in half]]
 CHUNK = 1 << 16
@@ -166,22 +166,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return _classified(prints, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, width: int = 3) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest id (a null id counts as the largest), repeated rows once."""
-    row_key = F.xxhash64(F.col(doc_id), F.col(text))
-    prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), width).alias("fp"), row_key.alias("row_key"))
-    return first_of_each(docs, stored(_classified(stored(prints, "fingerprints"), distance), "classified"), row_key)
-
-
 def first_of_each(docs: DataFrame, rows: DataFrame, row_key: Column) -> DataFrame:
     """The row of ``docs`` with the smallest id of each root, once; ``rows`` has doc_id, row_key and root of every row."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")).alias("f")
     keepers = stored(rows.groupBy("root").agg(first).select("root", F.col("f.row_key").alias("keeper")), "keepers")
-    gone = stored(rows.join(keepers, "root").filter("row_key <> keeper").select(F.col("row_key").alias("_gone")).distinct(), "near-duplicates")
-    kept = docs.join(gone, row_key == F.col("_gone"), "left_anti")
-    repeated = rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("_again"))
-    repeated = stored(repeated.join(keepers, F.col("_again") == F.col("keeper"), "left_semi"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, row_key == F.col("_again")).dropDuplicates(["_again"]).drop("_again")
-    return kept.join(repeated, row_key == F.col("_again"), "left_anti").unionByName(once)
+    gone = stored(rows.join(keepers, "root").filter("row_key <> keeper").select("row_key").distinct(), "near-duplicates")
+    repeated = rows.groupBy("row_key").count().filter("count > 1").select("row_key")
+    repeated = stored(repeated.join(keepers.select(F.col("keeper").alias("row_key")), "row_key", "left_semi"), "repeated")
+    kept = docs.select(F.struct("*").alias("row"), row_key.alias("row_key")).join(small(gone), "row_key", "left_anti")
+    if not repeated.isEmpty():
+        again = small(repeated)
+        kept = kept.join(again, "row_key", "left_anti").unionByName(kept.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return kept.select("row.*")

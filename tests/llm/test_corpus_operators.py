@@ -13,7 +13,7 @@ import xxhash
 from check_oracle import compare, connect
 from pyspark.sql import functions as F
 
-from bellwether.llm import chat, decontamination, impact, langid, lengths, mixing, quality, queries, sharding, simhash, urlfilter
+from bellwether.llm import chat, decontamination, impact, langid, lengths, mixing, quality, queries, sharding, shingles, simhash, urlfilter
 from bellwether.llm.common import crc_of, table
 
 SF = "/root/testdata/sf0.01"
@@ -520,9 +520,61 @@ def test_near_duplicate_edges(spark):
     assert len(got) == len(AWKWARD)
     assert {r.component_id for r in got if r.fingerprint == "0" * 16} == {1}
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
-    kept = simhash.representatives(docs_of(spark, AWKWARD))
+    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_representative_edges(spark):
+    rows = docs_of(spark, AWKWARD).select("*", *(F.lit(7).alias(c) for c in ("row", "row_key", "root", "sid", "_gone", "_again", "keeper", "bits")))
+    kept = shingles.representatives(rows)
+    assert kept.columns == rows.columns and {r._gone for r in kept.collect()} == {7}
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 1, 4, 6, 7, 8, 9]
-    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0 and simhash.representatives(docs_of(spark, [])).count() == 0
+    assert shingles.representatives(docs_of(spark, [])).count() == 0
+
+
+def jaccard_groups(texts, similarity=0.8, width=5):
+    """The smallest id of each id's group, by comparing all pairs that share a shingle."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) or frozenset([tuple(w)] if w else [])
+    where, least = defaultdict(list), {i: i for i in sets}
+    for i in sorted(sets):
+        for x in sets[i] or [None]:
+            where[x].append(i)
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a, b in {p for held in where.values() for p in itertools.combinations(held, 2)}:
+        both = len(sets[a] & sets[b])
+        if not sets[a] or both / (len(sets[a]) + len(sets[b]) - both) >= similarity:
+            x, y = find(a), find(b)
+            least[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_jaccard_roots_against_all_pairs(spark, tile):
+    import random
+
+    rng = random.Random(tile)
+    bases = [[f"{b}.{k}" for k in range(60)] for b in range(3)]
+    texts = {}
+    for i in range(150):  # copies with some words changed, around the limit, that share a hot passage
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        texts[i] = " ".join(words + ["hot"] * rng.choice([0, 6]) + [f"h{k}" for k in range(rng.choice([0, 20]))])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(6)
+    texts_ = shingles._texts(rows, F.xxhash64("doc_id", "text"), "doc_id", "text")
+    sketches = shingles._sketches(texts_, 0.8, 5)
+    roots = {r.sid: r.root for r in shingles.roots(texts_, sketches, tile=tile).collect()}
+    got = {r.doc_id: roots.get(r.sid, r.sid) for r in sketches.collect()}
+    want = jaccard_groups(texts)
+    assert len(set(want.values())) > 5
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a, b in itertools.combinations(texts, 2))
 
 
 def test_held_out_remainder(spark):

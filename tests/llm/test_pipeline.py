@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import pytest
-from test_corpus_operators import components, slow_simhash
+from test_corpus_operators import jaccard_groups
 
 from bellwether.llm import quality, sharding
 from bellwether.llm.common import stored, table
@@ -38,45 +38,19 @@ def test_quality_stage_drops_what_the_model_rejects(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    prints = {r.doc_id: slow_simhash(r.text) for r in stages[1].collect()}
-    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(components(prints).values()))
+    groups = jaccard_groups({r.doc_id: r.text for r in stages[1].collect()})
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(groups.values()))
 
 
 def test_all_pairs_of_high_jaccard_meet(spark):
-    docs = table(spark, "/root/testdata/sf0.01", "documents")
-    sets = {}
-    for r in docs.collect():
-        w = (r.text or "").encode().lower().split()
-        sets[r.doc_id] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     words = [f"w{i}" for i in range(300)]
     made = [(10**7 + i, " ".join(f"x{i}" if k == 3 * i else w for k, w in enumerate(words))) for i in range(20)]
     made.append((10**7 + 99, " ".join(words[:-40] + [f"y{k}" for k in range(40)])))
     made.append((10**7 + 100, " ".join(words[:-90] + [f"z{k}" for k in range(90)])))
-    for i, t in made:
-        w = t.encode().split()
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-    ids = sorted(sets)
-    where = {}
-    for i in ids:
-        for s in sets[i]:
-            where.setdefault(s, []).append(i)
-    parent = {i: i for i in ids}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    empty = [i for i in ids if not sets[i]]
-    pairs = {(a, b) for held in where.values() for x, a in enumerate(held) for b in held[x + 1 :]} | {(empty[0], i) for i in empty[1:]}
-    for a, b in pairs:
-        common = len(sets[a] & sets[b])
-        if not sets[a] or common / (len(sets[a]) + len(sets[b]) - common) >= 0.8:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
-    got = sorted(r.doc_id for r in pipeline.keep_one_of_each_group(spark, rows, SF).collect())
-    assert got == [i for i in ids if find(i) == i]
+    rows = docs.unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    groups = jaccard_groups({r.doc_id: r.text for r in rows.collect()})
+    assert sorted(r.doc_id for r in pipeline.keep_one_of_each_group(spark, rows, SF).collect()) == sorted(set(groups.values()))
 
 
 def test_contaminated_documents_go(spark, stages):
