@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bellwether.llm.common import unused
+
 END = "</turn>"
 MARK = "###"
 
@@ -97,7 +99,7 @@ def turns_of(record: dict, mapping: Mapping) -> list[tuple[int | None, str, str]
         texts = [(role, mapping.joined.join(x for x in (_text(_at(record, p)) for p in path.split("+")) if x)) for role, path in mapping.parts]
         return [(k, role, text) for k, (role, text) in enumerate((r, t) for r, t in texts if t)]
     number = _at(record, mapping.position)
-    return [(number if isinstance(number, int) else None, _role(_at(record, mapping.role)), _text(_at(record, mapping.text)))]
+    return [(number if isinstance(number, int) else None, _text(_at(record, mapping.role)), _text(_at(record, mapping.text)))]
 
 
 def canonical_turns(records: DataFrame, key: str, record: str = "record", layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
@@ -178,8 +180,9 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
             out.append((piece, start, len(piece) - len(END) - 1 if role in learn else start))
         return pd.DataFrame(out, columns=["formatted", "loss_start", "loss_end"])
 
-    judged = turns.filter(F.col("layout").isNotNull()).withColumn("_w", write(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
-    return judged.withColumns({c: F.col(f"_w.{c}") for c in ("formatted", "loss_start", "loss_end")}).drop("_w")
+    mine = unused(turns, "written")
+    judged = turns.filter(F.col("layout").isNotNull()).withColumn(mine, write(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    return judged.withColumns({c: F.col(f"{mine}.{c}") for c in ("formatted", "loss_start", "loss_end")}).drop(mine)
 
 
 def digests(pieces: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -35,6 +35,14 @@ def small(keys: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of(key: str, modulus: int) -> Column:
     """crc32 of a key written as text, modulo ``modulus``; 0 for a null key."""
     return F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(0)) % modulus

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bellwether.llm.common import stored
+from bellwether.llm.common import small, stored
 
 WIDTH = 8
 SEED = 4
@@ -268,5 +268,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that are not contaminated; rows that share an id are told apart by their texts."""
     bad = judged_texts(docs, benchmark, doc_id=doc_id, text=text, **settings)
-    bad = stored(bad.select(F.col("key").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))) == F.col("_bad"), "left_anti")
+    bad = small(stored(bad.select("key").distinct(), "contaminated"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    return rows.join(bad, "key", "left_anti").select("row.*")

@@ -4,27 +4,28 @@ A known word is scored by its log frequency in each language. An unseen word fal
 character n-grams: from its start, the longest known n-gram is taken, then shorter and shorter ones, and
 the word counts as the mean of its pieces. Scores are summed over all words of a text.
 
-The model is fitted on at most about ``max_docs`` labelled documents, chosen by hash over the whole table,
-and keeps the ``max_langs`` most frequent languages and at most ``max_words`` words and ``max_grams`` n-grams, namely all
-above a frequency; these four are its bounds. Every whole text is scored.
+The model is fitted on at most about ``max_docs`` labelled documents of each language, chosen by hash over the whole table,
+and keeps at most ``max_words`` words and ``max_grams`` n-grams, an equal number of each language, the most frequent ones;
+these three are its bounds. Every whole text is scored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bellwether.llm.common import hashed_share
+from bellwether.llm.common import stored, unused
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters with their marks. A fixed pattern.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST_GRAM = 5
 REMEMBERED = 300_000
 
@@ -50,7 +51,8 @@ class Model:
 
     def __post_init__(self):
         self._memo: dict[str, int] = {}
-        self._rows = np.zeros((REMEMBERED, len(self.langs)), dtype=np.float32)
+        self._most = REMEMBERED * 4 // max(4, len(self.langs))
+        self._rows = np.zeros((self._most, len(self.langs)), dtype=np.float32)
 
     def __getstate__(self):
         return {k: getattr(self, k) for k in ("langs", "words", "grams", "word_logs", "gram_logs")}
@@ -77,7 +79,7 @@ class Model:
         """Summed scores per language, and the number of words. Back-offs are remembered, up to a bound."""
         counts = Counter(words_of(text))
         memo, n_words = self._memo, 0
-        if len(memo) >= REMEMBERED:
+        if len(memo) >= self._most:
             memo.clear()
         known, known_n, other, other_n = [], [], [], []
         total = np.zeros(len(self.langs))
@@ -90,7 +92,7 @@ class Model:
                 continue
             row = memo.get(word)
             if row is None:
-                if len(memo) >= REMEMBERED:
+                if len(memo) >= self._most:
                     total += n * self.backed_off(word)
                     continue
                 row = memo[word] = len(memo)
@@ -119,13 +121,15 @@ def _logs(counts: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
     return np.log(shares).astype(np.float32)
 
 
-def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 20_000,
-          max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 200) -> Model:
-    """Fit on rows with a text and a language. Without any, every prediction is ``und``."""
+def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", max_docs: int = 5_000,
+          max_words: int = 60_000, max_grams: int = 60_000) -> Model:
+    """Fit on rows with a text and a language. Without any, every prediction is ``und``. A language whose texts hold no letter is learned, with
+    every word and n-gram equally unlikely."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    rows = rows.filter(hashed_share("doc_id", max_docs, sum(r["count"] for r in sizes), "language"))
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
+    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "doc_id"), 2) / F.lit(float(1 << 62))
+    rows = rows.join(sizes, "lang").filter(draw * F.col("docs") < max_docs)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
@@ -138,30 +142,24 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", doc_id: s
                 for gram in grams_of(word):
                     grams[gram] += n
             for kind, counter in (("word", found), ("gram", grams)):
-                yield pd.DataFrame({"kind": kind, "item": list(counter.keys()), "lang": of, "n": list(counter.values())})
+                if counter:  # a frame without rows has no types
+                    yield pd.DataFrame({"kind": kind, "item": list(counter.keys()), "lang": of, "n": list(counter.values())})
 
     counted = rows.select("lang", "text").mapInPandas(count, "kind string, item string, lang string, n bigint")
-    counted = counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
-    per_item = counted.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")).persist()
+    counted = stored(counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "item-counts")
+    most = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "item"))
+    each = {kind: max(1, bound // max(1, len(langs))) for kind, bound in (("word", max_words), ("gram", max_grams))}
+    top = counted.withColumn("at", most).filter(F.col("at") <= F.when(F.col("kind") == "word", each["word"]).otherwise(each["gram"]))
+    kept = stored(counted.join(top.select("kind", "item").distinct(), ["kind", "item"], "left_semi"), "kept-items")
     place = {of: i for i, of in enumerate(langs)}
     index: dict[str, dict[str, int]] = {}
     logs: dict[str, np.ndarray] = {}
-    for kind, most in (("word", max_words), ("gram", max_grams)):
-        mine = per_item.filter(F.col("kind") == kind)
-        kept, least = 0, 0
-        for r in mine.groupBy("total").count().orderBy(F.desc("total")).toLocalIterator():  # until the bound is reached
-            kept += r["count"]
-            if kept > most:
-                least = r["total"] + 1
-                break
-        top = mine.filter(F.col("total") >= least).select("item", F.inline("by_lang")).toPandas().sort_values(["item", "lang"])
-        items = top["item"].drop_duplicates()
-        index[kind] = {item: i for i, item in enumerate(items)}
-        known = top[top["lang"].isin(langs)]
-        counts = np.zeros((len(items), len(langs)))
+    for kind in each:
+        known = kept.filter(F.col("kind") == kind).toPandas().sort_values(["item", "lang"])
+        index[kind] = {item: i for i, item in enumerate(known["item"].drop_duplicates())}
+        counts = np.zeros((len(index[kind]), len(langs)))
         counts[known["item"].map(index[kind]).to_numpy(dtype=np.int64), known["lang"].map(place).to_numpy(dtype=np.int64)] = known["n"]
         logs[kind] = _logs(counts)
-    per_item.unpersist()
     return Model(langs, index["word"], index["gram"], logs["word"], logs["gram"])
 
 
@@ -179,5 +177,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         known = shared.value
         return pd.DataFrame([known.predict(t) for t in texts], columns=["lang", "score"])
 
-    judged = docs.withColumn("_p", predict(F.coalesce(F.col(text), F.lit(""))))
-    return judged.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).drop("_p")
+    mine = unused(docs, "predicted")
+    judged = docs.withColumn(mine, predict(F.coalesce(F.col(text), F.lit(""))))
+    return judged.withColumns({"lang_pred": F.col(f"{mine}.lang"), "score": F.col(f"{mine}.score")}).drop(mine)

@@ -8,42 +8,27 @@ lengths and across bins, so neither window holds more than a part of it.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pre-split pattern of the byte-level vocabulary. A fixed value.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
-BIN = 1024
-
-_encoders: dict[str, object] = {}
-
-
-def _encoder(name: str, blob: bytes, pattern: str):
-    if name not in _encoders:
-        import tiktoken
-
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in blob.splitlines() if line)}
-        _encoders[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[name]
+from bellwether.llm.tokens import encoder, vocabulary
 
+BIN = 1024
 
-def encoded_length(spark: SparkSession, vocabulary: str = VOCABULARY, pattern: str = PATTERN):
+def encoded_length(spark: SparkSession, blob: bytes | None = None):
     """A column function: number of tokens of a text, special strings being ordinary text; null counts as empty.
 
-    The vocabulary file, of about a megabyte, is read by Spark once and broadcast.
+    ``blob`` is a vocabulary file of about a megabyte, broadcast.
     """
-    blob = bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()[0])
-    shared = spark.sparkContext.broadcast(blob)
+    shared = spark.sparkContext.broadcast(vocabulary() if blob is None else blob)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(vocabulary, shared.value, pattern)
+        encode = encoder(shared.value)
         for texts in batches:
-            yield texts.map(lambda t: len(encoder.encode_ordinary(t))).astype("int64")
+            yield texts.map(lambda t: len(encode(t))).astype("int64")
 
     lengths = F.pandas_udf(count, "bigint", F.PandasUDFType.SCALAR_ITER)
     return lambda text: lengths(F.coalesce(text, F.lit("")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bellwether.llm.common import unused
+
 MAX_RULES = 200_000
 
 
@@ -106,8 +108,9 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url: str = "u
         return pd.DataFrame(rows, columns=["rule", "verdict"])
 
     out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumn("_decided", decide("host", "path"))
-    return out.withColumns({"rule": F.col("_decided.rule"), "verdict": F.col("_decided.verdict")}).drop("_decided")
+    mine = unused(out, "decided")
+    out = out.withColumn(mine, decide("host", "path"))
+    return out.withColumns({"rule": F.col(f"{mine}.rule"), "verdict": F.col(f"{mine}.verdict")}).drop(mine)
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:

@@ -66,6 +66,54 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs_of(spark, AWKWARD), langid.train(empty)).collect()} == {"und"}
 
 
+def test_language_training_on_texts_without_letters(spark):
+    rows = docs_of(spark, AWKWARD).repartition(len(AWKWARD))
+    model = langid.train(rows)
+    assert model.langs == ["de", "en", "fr"]
+    assert langid.identify(rows, model).count() == len(AWKWARD)
+    blank = langid.train(docs_of(spark, [(1, "  ", "en", "a"), (2, "12 ½ ²", "de", "a")]))
+    assert blank.langs == ["de", "en"] and blank.predict("½ ² 3") == ("und", 0.0)
+    assert langid.words_of("नमस्ते ½ a1b") == ["नमस्ते", "a", "b"]
+
+
+def test_language_model_against_counting(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    model = langid.train(docs_of(spark, [(*r, "a") for r in rows]), max_words=400, max_grams=400)
+    words = defaultdict(Counter)
+    for _, t, la in rows:
+        if t is not None and la is not None:
+            words[la].update(langid.words_of(t))
+    assert model.langs == sorted(words)
+    for of, index, bound in ((lambda c: c, model.words, 400), (lambda c: sum((Counter({g: n * k for g, k in Counter(langid.grams_of(w)).items()}) for w, n in c.items()), Counter()), model.grams, 400)):
+        counts = {la: of(words[la]) for la in words}
+        kept = {x for la in words for x, _ in sorted(counts[la].items(), key=lambda p: (-p[1], p[0].encode()))[: bound // len(words)]}
+        assert set(index) == kept
+        logs = model.word_logs if index is model.words else model.gram_logs
+        for i, la in enumerate(model.langs):
+            total = sum(counts[la][x] for x in kept) + 0.5 * len(kept)
+            assert all(abs(logs[index[x], i] - math.log((counts[la][x] + 0.5) / total)) < 1e-5 for x in kept)
+
+
+@pytest.mark.parametrize("extra", [["_gone", "_again", "_bad", "_p", "_w", "_decided", "pass", "block", "block_at", "row_at"], ["row", "key", "k", "s", "document", "decided", "written", "predicted", "own", "at"]])
+def test_clashing_names_keep_their_values(spark, extra):
+    import corpus_pipeline
+
+    mine = [F.lit(f"mine {c}").alias(c) for c in extra]
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("*", *mine)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert set(extra) <= set(kept.columns), name
+        assert [tuple(r) for r in kept.select(extra).distinct().collect()] == [tuple(f"mine {c}" for c in extra)], name
+    other = [c for c in extra if c not in ("written", "decided", "key")]
+    pages = table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "url", *mine)
+    judged = urlfilter.judge(pages, queries.URL_RULES)
+    assert [tuple(r) for r in judged.select(extra).distinct().collect()] == [tuple(f"mine {c}" for c in extra)]
+    named = langid.identify(docs, langid.train(docs.limit(20)))
+    assert [tuple(r) for r in named.select(other).distinct().collect()] == [tuple(f"mine {c}" for c in other)]
+    turns = chat.canonical_turns(spark.createDataFrame([(1, '{"prompt": "q", "completion": "a"}')], "id int, record string"), "id").select("*", *mine)
+    assert [tuple(r) for r in chat.format_turns(turns).select(extra).distinct().collect()] == [tuple(f"mine {c}" for c in extra)]
+
+
 # token counts
 
 
@@ -85,10 +133,13 @@ def test_suffix_sums_against_brute_force(spark):
 
 
 def test_token_lengths_match_the_encoder(spark):
+    import base64
+
+    import public_tokenizers
     import tiktoken
 
-    ranks = lengths._encoder("direct", open(lengths.VOCABULARY.removeprefix("file://"), "rb").read(), lengths.PATTERN)
-    assert isinstance(ranks, tiktoken.Encoding)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = tiktoken.Encoding("direct", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
     rows = docs_of(spark, AWKWARD)
     want = Counter(len(ranks.encode_ordinary(t or "")) for _, t, _, _ in AWKWARD)
     got = {r["length"]: r.docs for r in lengths.histogram(rows, lengths.encoded_length(spark)(F.col("text"))).collect()}
@@ -97,6 +148,12 @@ def test_token_lengths_match_the_encoder(spark):
     assert [(r["length"], r.docs, r.truncated_tokens, r.total_docs) for r in none] == [(8, 0, 0, 0)]
 
 
+def test_long_white_space_is_counted(spark):
+    rows = spark.createDataFrame([(" " * 2_000_000,), (" \n" * 1_000_000 + "x",), ("a" + "\n" * 1_000_000,)], "text string")
+    got = lengths.histogram(rows, lengths.encoded_length(spark)(F.col("text"))).collect()
+    assert sum(r.docs for r in got) == 3 and all(r["length"] > 1000 for r in got)
+
+
 def test_token_query_covers_all_documents(spark):
     got = queries.token_counts(spark, SF).toPandas()
     assert got.docs.sum() == table(spark, SF, "documents").count()
