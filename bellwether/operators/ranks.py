@@ -1,4 +1,4 @@
-"""Whole-table ranks, running sums, exact quantiles and top fractions.
+"""Whole-table ranks, running sums, quantile bins and top fractions.
 
 Spark's window functions need one partition per group, which a whole-table rank (or a
 group holding a third of all rows) cannot afford. Here the rows are range-sorted, so any
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bellwether.functions.scalar import safe_div
+from bellwether.operators.quantiles import exact_quantiles
 from bellwether.session import frozen
 
 _SLOT = 1 << 33  # monotonically_increasing_id keeps the partition in the bits above this
@@ -43,27 +44,6 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return r if name == "rank" else r.withColumnRenamed("rank", name)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated quantiles of ``value``, as one row per (by..., prob).
-
-    ``by`` groups may be of any size; their number must be modest (dates, months, splits).
-    """
-    keys = by or []
-    d = df.select(*keys, F.col(value).cast("double").alias("_x")).filter("_x is not null")
-    r = global_rank(d, [F.asc(k) for k in keys] + [F.asc("_x")])
-    sizes = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_first"))
-    want = sizes.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-    h = (F.col("_n") - 1) * F.col("prob")
-    want = want.withColumns({"_lo": F.col("_first") + F.floor(h), "_hi": F.col("_first") + F.ceil(h),
-                             "_f": h - F.floor(h)})
-    ranks = want.select(F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("rank")).distinct()
-    hits = r.join(F.broadcast(ranks), "rank").select("rank", "_x")  # two rows per answer
-    lo = hits.select(F.col("rank").alias("_lo"), F.col("_x").alias("_a"))
-    hi = hits.select(F.col("rank").alias("_hi"), F.col("_x").alias("_b"))
-    return want.join(lo, "_lo").join(hi, "_hi").select(
-        *keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("q"))
-
-
 def quantile_bins(df: DataFrame, value: str, probs: list[float], name: str) -> DataFrame:
     """Left-closed bin number of each row against the table's own quantiles."""
     edges = exact_quantiles(df, value, probs).groupBy(F.lit(1).alias("_one")).agg(
