@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.functions import text as X
+from bellwether.session import frozen
 
-_LONGEST_GRAM = 4
+#: Letters of a name that are joined with the words of texts, and rows of names that are broadcast.
+_LONGEST_GRAM, _BROADCAST = 4, 100_000
 
 
 def alias_table(universe: DataFrame, name_min: int = 2, alias_min: int = 3) -> DataFrame:
@@ -19,14 +21,17 @@ def alias_table(universe: DataFrame, name_min: int = 2, alias_min: int = 3) -> D
 
 
 def _anchors(names: DataFrame) -> DataFrame:
-    """The first characters of each name's first word; a text holding the name holds them
-    inside one of its own words."""
-    first = F.split("alias", r"\s+", 2)[0]
-    return names.withColumns({"first": first, "gram": F.substring(first, 1, _LONGEST_GRAM)})
+    """The parts of each name between single spaces, and the first characters of the first part that is not empty.
+    A text holding the name holds the part inside one of its own words."""
+    parts = F.split("alias", " ")
+    rows = names.select("alias").distinct().withColumn("parts", parts)
+    rows = rows.withColumns({"first": F.get("parts", F.lit(0)), "anchor": F.get(F.filter("parts", lambda x: x != ""), F.lit(0))})
+    rows = rows.filter("anchor is not null").withColumn("at", F.array_position("parts", F.col("anchor")).cast("int") - 1)
+    return rows.withColumn("gram", F.substring("anchor", 1, _LONGEST_GRAM))
 
 
-def _grams(word: Column) -> Column:
-    """All substrings of one word, up to the longest gram."""
+def _grams(word: Column, lengths: list[int]) -> Column:
+    """All substrings of one word with the given lengths."""
     n = F.char_length(word)
 
     def of(k: int) -> Column:
@@ -34,27 +39,87 @@ def _grams(word: Column) -> Column:
                                           lambda i: word.substr(i, F.lit(k)))).otherwise(
             F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(k) for k in range(1, _LONGEST_GRAM + 1)]))
+    return F.array_distinct(F.concat(F.array().cast("array<string>"), *[of(k) for k in lengths]))
+
+
+def _small(names: DataFrame) -> DataFrame:
+    """Names, or words that hold one, for a join with words of texts: broadcast if they are few."""
+    return F.broadcast(names) if names.count() <= _BROADCAST else names.hint("merge")
+
+
+def _holding(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, alias, parts, at): different words that can hold a name's anchor, the part number ``at``.
+
+    The words are cut into short grams and equi-joined with the first letters of the anchors, then checked: an anchor
+    between two spaces of the name is a word, one before a space ends a word, one after a space begins it.
+    """
+    anchors = _anchors(names)
+    lengths = sorted(r[0] for r in anchors.select(F.char_length("gram")).distinct().collect())  # at most ``_LONGEST_GRAM``
+    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"), lengths)).alias("gram"))
+    last = F.col("at") == F.size("parts") - 1
+    fits = (F.when((F.col("at") == 0) & last, F.contains("word", "anchor")).when(F.col("at") == 0, F.endswith("word", F.col("anchor")))
+            .when(last, F.startswith("word", F.col("anchor"))).otherwise(F.col("word") == F.col("anchor")))
+    return grams.join(_small(anchors), "gram").filter(fits).select("word", "alias", "parts", "at")
+
+
+def _held(news: DataFrame, words: DataFrame, holding: DataFrame) -> DataFrame:
+    """(news_id, alias) of words (news_id, word) that hold a name; names of several parts are checked against the title."""
+    hit = words.join(_small(holding), "word").select("news_id", "alias", (F.size("parts") == 1).alias("whole")).distinct()
+    several = hit.filter("NOT whole").join(news.select("news_id", "title"), "news_id").filter(F.contains("title", "alias"))
+    return hit.filter("whole").select("news_id", "alias").unionByName(several.select("news_id", "alias"))
 
 
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
-    """(news_id, alias) for every name contained in a title.
+    """(news_id, alias) for every name contained in a title. A name without anything but spaces is never mentioned."""
+    words = news.select("news_id", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
+    return _held(news, words, frozen(_holding(words, names)))
+
+
+def _starts(word: Column, part: Column) -> Column:
+    """Places (from 1) where a word holds a part."""
+    last = F.char_length(word) - F.char_length(part) + 1
+    return F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: word.substr(i, F.char_length(part)) == part)
+
+
+def occurrences(news: DataFrame, names: DataFrame) -> DataFrame:
+    """(news_id, alias, word, start, end, until, free) for every place at which a title holds a name.
 
-    The distinct words of all titles are cut into short grams and equi-joined with the first
-    letters of the names, then checked; titles meet the words that hold a name. Names of
-    several words are checked against the whole title afterwards.
+    A place is a word's number in the title, split at single spaces, and a character in it: the name reaches from ``start`` in
+    ``word`` to before ``until`` in ``end``. ``free``: no letter, digit or ampersand stands on either side.
     """
-    anchors = _anchors(names.select("alias").distinct())
-    words = news.select("news_id", F.explode(F.array_distinct(F.split("title", r"\s+"))).alias("word"))
-    # sizes are guessed before texts are exploded, so a broadcast might take that side: both joins are merged
-    grams = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
-    found = grams.join(anchors.hint("merge"), "gram").filter(F.contains("word", "first")).select("word", "alias", "first")
-    hit = words.join(found.hint("merge"), "word")
-    single = hit.filter(F.col("alias") == F.col("first")).select("news_id", "alias")
-    phrase = hit.filter(F.col("alias") != F.col("first")).select("news_id", "alias").distinct()
-    phrase = phrase.join(news.select("news_id", "title"), "news_id").filter(
-        F.contains("title", "alias")).select("news_id", "alias")
-    return single.unionByName(phrase).distinct()
+    words = news.select("news_id", F.posexplode(F.split("title", " ")).alias("pos", "word"))
+    holding = frozen(_holding(words, names))
+    k = F.size("parts")
+    one = holding.filter(k == 1).select("word", "alias", F.explode(_starts(F.col("word"), F.col("alias"))).alias("start"))
+    edge = lambda c: (c == "") | ~c.rlike("^[0-9A-Za-z&]")
+    around = lambda text: edge(text.substr(F.col("start") + F.char_length("alias"), F.lit(1))) & (
+        (F.col("start") == 1) | edge(text.substr(F.col("start") - 1, F.lit(1))))
+    until = F.col("start") + F.char_length("alias")
+    one = frozen(one.select("word", "alias", "start", until.alias("until"), around(F.col("word")).alias("free")))
+    single = words.join(_small(one), "word").select("news_id", "alias", F.col("pos").alias("word"), "start", F.col("pos").alias("end"), "until", "free")
+
+    several = words.join(_small(holding.filter(k > 1)), "word").select("news_id", "alias", "parts", (F.col("pos") - F.col("at")).alias("pos")).filter("pos >= 0")
+    several = several.join(news.select("news_id", F.split("title", " ").alias("all")), "news_id")
+    several = several.withColumn("here", F.slice("all", F.col("pos") + 1, k)).withColumn("text", F.array_join("here", " "))
+    several = several.withColumn("start", F.char_length(F.get("here", F.lit(0))) - F.char_length(F.get("parts", F.lit(0))) + 1)
+    several = several.filter((F.col("start") > 0) & (F.col("text").substr(F.col("start"), F.char_length("alias")) == F.col("alias")))
+    several = several.select("news_id", "alias", F.col("pos").alias("word"), "start", (F.col("pos") + k - 1).alias("end"),
+                             (F.char_length(F.get("parts", k - 1)) + 1).alias("until"), around(F.col("text")).alias("free"))
+    return single.unionByName(several)
+
+
+def _leftmost_longest(places: Column) -> Column:
+    """The names of an array of places that a reading from left to right takes, always the longest at a place."""
+    order = F.array_sort(F.transform(places, lambda x: F.struct(
+        x["word"].alias("word"), x["start"].alias("start"), (-F.char_length(x["alias"])).alias("n"), x["alias"].alias("alias"),
+        F.struct(x["end"].alias("word"), x["until"].alias("start")).alias("past"))))
+    begin = F.struct(F.struct(F.lit(0).alias("word"), F.lit(0).alias("start")).alias("past"), F.array().cast("array<string>").alias("taken"))
+
+    def read(state: Column, x: Column) -> Column:
+        free = F.struct(x["word"].alias("word"), x["start"].alias("start")) >= state["past"]
+        return F.when(free, F.struct(x["past"].alias("past"), F.array_union(state["taken"], F.array(x["alias"])).alias("taken"))).otherwise(state)
+
+    return F.aggregate(order, begin, read, lambda state: state["taken"])
 
 
 def link_simple(news: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -73,24 +138,19 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
     ``rules`` is (alias, kind, ambiguous, tight): ``word`` names need free edges, ``run``
     names must equal up to four joined consecutive tokens, a ``tight`` pattern replaces
     both, and an ambiguous name without such a pattern needs a cue word in the text.
-    Status is ``linked``, ``boundary`` or ``ambiguous``. Mentions are gathered per text
-    first (at most one per name), so texts and tokens are read once.
+    Status is ``linked``, ``boundary`` or ``ambiguous``. Words are joined with the names, and the places of a
+    text are gathered and read in order; no pattern is made of names.
     """
-    m = mentions(news, rules).join(rules, "alias")
-    per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight")).alias("_m"))
+    found = occurrences(news, rules).groupBy("news_id").agg(F.collect_list(F.struct("alias", "word", "start", "end", "until", "free")).alias("_at"))
+    taken = found.withColumn("_taken", _leftmost_longest(F.col("_at"))).withColumn("_free", F.transform(F.filter("_at", lambda x: x["free"]), lambda x: x["alias"]))
+    m = taken.select("news_id", "_free", F.explode("_taken").alias("alias")).select("news_id", "alias", F.array_contains("_free", F.col("alias")).alias("free"))
+    m = m.join(_small(rules), "alias")
+    per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight", "free")).alias("_m"))
     t = per.join(news.select("news_id", "title"), "news_id").withColumn("_toks", X.tokenize("title"))
-    # names that a text does not contain cannot match in it, so the alternatives are its own names
-    by_length = F.array_sort(F.transform("_m", lambda x: F.struct((-F.length(x["alias"])).alias("n"), x["alias"].alias("a"))))
-    pattern = F.array_join(F.transform(by_length, lambda x: F.concat(F.lit("\\Q"), x["a"], F.lit("\\E"))), "|")
-    taken = F.regexp_extract_all("title", pattern, F.lit(0))
-    t = t.withColumn("_taken", F.array_distinct(taken))
-    # ``_taken`` is used twice, or the optimizer would move its expression into the lambda
-    t = t.withColumn("_m", F.when(F.size("_taken") > 0, F.filter("_m", lambda x: F.array_contains("_taken", x["alias"]))))
     t = t.withColumn("_cue", F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues])))
 
     def judge(x: Column) -> Column:
-        bounded = F.when(x["kind"] == "word", X.word_match("title", x["alias"])).otherwise(
-            X.is_run("_toks", x["alias"]))
+        bounded = F.when(x["kind"] == "word", x["free"]).otherwise(X.is_run("_toks", x["alias"]))
         plain = (F.when(~bounded, "boundary")
                  .when(x["ambiguous"] & ~F.col("_cue"), "ambiguous").otherwise("linked"))
         return F.struct(x["alias"].alias("alias"), F.when(
