@@ -91,29 +91,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
           block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors by integer inner product.
 
-    Rows with a null key, a null vector or a null or non-finite component take no part. Keys are
-    unique: of repeated keys the smallest vector counts. A shorter vector counts as padded with zeros. Ties
-    go to the smaller key. Scores have to fit 63 bits. Fewer than k candidates give fewer rows, an empty
-    table none. Other columns are ignored.
+    Rows with a null key, a null vector or a null or non-finite component take no part. Rows that share a key all
+    count, as candidates of other keys and as queries, whose candidates then compete for the k ranks of the key; equal
+    rows count as often as they occur. A shorter vector counts as padded with zeros. Ties go to the smaller key. Fewer than k
+    candidates give fewer rows, an empty table none. Other columns are ignored. A table whose scores might not fit
+    63 bits raises ValueError.
     """
     rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("q"))
-    rows = rows.filter(F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    n, queries = rows.agg(F.count("*"), F.count_if("q")).first()
+    # equal rows are one row with counts, so copies cannot fill a block or a chunk
+    rows = rows.filter(F.col("v").isNotNull()).groupBy("id", "v").agg(F.count("*").alias("n"), F.count_if("q").alias("m"))
+    size = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    n, queries, width, most, asked = rows.agg(F.count("*"), F.count_if(F.col("m") > 0), F.max(F.size("v")), F.max(size), F.max(F.when(F.col("m") > 0, size))).first()
+    # estimates and their errors reach four times the largest score of the widened components
+    if queries and 4 * (width or 1) * (asked or 0) * ((most or 0) + 2 * (1 << SHIFT)) >= 2.0**63:
+        raise ValueError("scores might not fit 63 bits: scale the components down")
     blocks, chunks = -(-max(n, 1) // block), -(-max(queries, 1) // chunk)
-    near = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asks = rows.filter("q").withColumn("c", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    hashed = F.xxhash64("id", "v")
+    near = rows.withColumn("b", F.pmod(hashed, F.lit(blocks))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asks = rows.filter("m > 0").withColumn("c", F.pmod(hashed, F.lit(chunks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             width = max(left["v"].map(len).max(), right["v"].map(len).max())
-            ids, index = left["id"].to_numpy(), ImpactIndex(_matrix(left["v"], width))
-            for query, q in zip(right["id"], _matrix(right["v"], width), strict=True):
+            ids, copies, index = left["id"].to_numpy(), left["n"].to_numpy(), ImpactIndex(_matrix(left["v"], width))
+            for query, asked, q in zip(right["id"], right["m"], _matrix(right["v"], width), strict=True):
                 at, scores = index.search(q, k, ids == query, ids)
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": scores}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": scores, "times": np.minimum(copies[at], k) * min(asked, k)}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "times": []}, dtype="int64")
 
-    best = near.select("b", "c", "id", "v").groupBy("b", "c").cogroup(asks.select("b", "c", "id", "v").groupBy("b", "c"))
-    best = best.applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    best = near.select("b", "c", "id", "v", "n").groupBy("b", "c").cogroup(asks.select("b", "c", "id", "v", "m").groupBy("b", "c"))
+    best = best.applyInPandas(search, "query_id bigint, vec_id bigint, score bigint, times bigint")
+    best = best.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)).cast("int"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
