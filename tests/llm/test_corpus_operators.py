@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from check_oracle import compare, connect
@@ -351,26 +352,52 @@ def test_decontamination_runs_no_python(spark):
 # exact top-k
 
 
+def brute_top_k(rows, width, k=10):
+    """Each query id's best pairs of one of its rows with a row of another id."""
+    whole = [(i, np.array([math.floor(1024 * x) for x in v] + [0] * (width - len(v)), dtype=np.int64)) for i, v in rows]
+    out = []
+    for q in {i for i, _ in whole if i % 100 == 0}:
+        best = sorted((-int(x @ v), i) for p, x in whole if p == q for i, v in whole if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = rng.normal(0, 0.2, (700, 12))
     vectors[100:160] = vectors[100]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     odd = [(1000, None), (1001, [float("nan")] * 12), (1002, [None] + [0.5] * 11), (1003, [float("inf")] * 12), (None, [9.0] * 12), (1004, []), (1100, [0.5] * 3), (7, [0.0] * 12)]
+    odd += [(200, [0.9] * 12), (300, rows[300][1]), (300, rows[300][1]), *[(7, rows[100][1])] * 15]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows + odd], "vec_id bigint, embedding array<double>, score string")
-    whole = {}
-    for i, v in [*rows, (1004, []), (1100, [0.5] * 3), (7, [0.0] * 12)]:
-        c = [math.floor(1024 * x) for x in v]
-        whole[i] = min(whole.get(i, c), c)
-    padded = {i: np.array(c + [0] * (12 - len(c)), dtype=np.int64) for i, c in whole.items()}
-    want = set()
-    for q in [i for i in padded if i % 100 == 0]:
-        best = sorted((-int(padded[q] @ v), i) for i, v in padded.items() if i != q)[:10]
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    want = brute_top_k([*rows, *(r for r in odd if r[0] in (1004, 1100, 7, 200, 300))], 12)
     got = impact.top_k(df, F.col("vec_id") % 100 == 0, block=100, chunk=3)
-    assert {tuple(r) for r in got.collect()} == want
+    assert sorted(tuple(r) for r in got.collect()) == want
     assert impact.top_k(df.filter("false"), F.col("vec_id") % 100 == 0).count() == 0
-    assert impact.top_k(df.filter("vec_id in (200, 201)"), F.col("vec_id") % 100 == 0).count() == 1
+    assert impact.top_k(df.filter("vec_id in (400, 201)"), F.col("vec_id") % 100 == 0).count() == 1
+
+
+def test_top_k_of_too_large_components_raises(spark):
+    df = spark.createDataFrame([(0, [1e10, 1.0]), (1, [1e10, 2.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        impact.top_k(df, F.col("vec_id") == 0)
+    got = impact.top_k(df, F.col("vec_id") == 0, scale=1 / 16)
+    assert [r.score for r in got.collect()] == [625_000_000**2]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_top_k_of_repeated_ids_against_sql(spark, seed, tmp_path):
+    rng = np.random.default_rng(seed)
+    rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 3) / 8]) for i in rng.choice([0, 1, 2, 3, 100], 60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.SQL["op6_exact_top_k"]).fetchall()
+    got = impact.top_k(df, F.col("vec_id") % 100 == 0, block=7, chunk=4).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
 
 
 def test_index_stops_before_the_end(spark):
@@ -634,6 +661,37 @@ def test_jaccard_roots_against_all_pairs(spark, tile):
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a, b in itertools.combinations(texts, 2))
 
 
+def test_bitmaps_grow_with_sets_and_fold():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1024, 1025, 5000, 40_000):
+        items = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        bits = shingles.bitmap(items)
+        assert 64 * len(bits) == min(max(1024, 2 ** math.ceil(math.log2(max(n, 1)))), shingles.MOST_BITS)
+    long, short = np.unique(rng.integers(0, 2**62, 1100)), None
+    short = long[:1000]
+    both = [(7, 1, long), (9, 2, short), (3, 3, np.unique(rng.integers(0, 2**62, 1000))), (5, 4, short[:700])]
+    rows = [{"sid": s, "root": r, "n": len(x), "own": 0, "bits": shingles.bitmap(x).tolist()} for s, r, x in both]
+    tile = pa.array(rows, pa.struct([("sid", pa.int64()), ("root", pa.int64()), ("n", pa.int32()), ("own", pa.int64()), ("bits", pa.list_(pa.int64()))]))
+    for order in itertools.permutations(range(4)):
+        a, b = shingles._allowed(tile.take(pa.array(order)), False, 0.8)
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(9, 7)]
+
+
+def test_long_texts_of_one_passage_and_near_copies_of_two_lengths(spark):
+    import random
+
+    rng = random.Random(1)
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passage, base = fresh(60), fresh(2000)
+    texts = {i: " ".join(fresh(1500) + passage + fresh(500)) for i in range(12)}
+    for i in range(12, 20):  # a chain of near copies across the step from 2048 bits to 4096
+        base = base + fresh(30)
+        texts[i] = " ".join(base)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    got = sorted(r.doc_id for r in shingles.representatives(rows).collect())
+    assert got == sorted(set(jaccard_groups(texts).values())) == [*range(13)]
+
+
 def test_held_out_remainder(spark):
     import zlib
 
