@@ -215,15 +215,19 @@ def day_signals(panel: DataFrame) -> DataFrame:
 
 def price_window_aggregates(panel: DataFrame, spans=(5, 10, 30)) -> DataFrame:
     """Mean, population deviation, max and min of five series over prior spans, plus the last
-    value: 65 columns for rows with a whole longest span, in one exchange and one sort."""
-    p = day_signals(panel)
+    value: 65 columns for rows with a whole longest span, in one exchange and one sort.
+    Longer spans are merged from shorter ones (``windowstates``)."""
+    from bellwether.operators import windowstates as S
+
+    names = ("r1", "hl", "gap", "vol", "hit")
+    p = S.rolling_states(day_signals(panel), [f"s_{s}" for s in names], list(spans))
     cols: dict[str, Column] = {}
-    for s in ("r1", "hl", "gap", "vol", "hit"):
+    for s in names:
         for k in spans:
-            for label, fn in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min)):
-                cols[f"{s}_{label}{k}"] = fn(f"s_{s}").over(prior(k))
+            for label, fn in (("mean", S.mean), ("std", S.std_pop), ("max", S.high), ("min", S.low)):
+                cols[f"{s}_{label}{k}"] = fn(f"s_{s}__{k}")
         cols[f"{s}_last"] = F.lag(f"s_{s}").over(by_ticker())
-    return p.withColumns(cols).filter(F.col("rn") > max(spans))
+    return p.withColumns(cols).drop(*[f"s_{s}__{k}" for s in names for k in spans]).filter(F.col("rn") > max(spans))
 
 
 def market_context(day: DataFrame) -> DataFrame:
