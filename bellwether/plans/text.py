@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from bellwether.functions import scalar as N
 from bellwether.functions import text as X
 from bellwether.functions import vectors as V
+from bellwether.operators import calendar as C
 from bellwether.operators import linking as L
 from bellwether.operators import text as T
+from bellwether.operators import zones as Z
 from bellwether.plans.registry import query
 from bellwether.plans.sessions import overnight_table, sessioned_vectors
 
@@ -49,6 +51,47 @@ def _(v):
     return v.news.select("news_id", N.to_zone("published_at").alias("et")).withColumn("et_date", F.to_date("et"))
 
 
+# fixed values: clocks of New York went forward on the first Sunday of April and back on the last one of October in these years
+_CHANGES = """
+ch AS (SELECT y, a + CAST((7 - dayofweek(a)) % 7 AS INTEGER) AS sp, o - CAST(dayofweek(o) AS INTEGER) AS au
+  FROM (SELECT y, make_date(y, 4, 1) AS a, make_date(y, 10, 31) AS o FROM (SELECT unnest(range(1987, 2007)) AS y)))
+---
+"""
+
+
+def _zones(v):
+    return Z.offset_intervals(v.spark, 1987, 2006)
+
+
+@query("zone_intervals", "FN4", "o_orderkey:i local:t local_date:d utc:t kind:s", _CHANGES + """
+t AS (SELECT o_orderkey, year(o_orderdate) AS y, CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST((o_orderkey * 7919) % 480 AS BIGINT)) AS ts FROM orders)
+---
+l AS (SELECT t.*, ts + to_minutes(CASE WHEN ts >= sp + INTERVAL 7 HOUR AND ts < au + INTERVAL 6 HOUR THEN -240 ELSE -300 END) AS local,
+  CASE WHEN ts >= sp + INTERVAL 2 HOUR AND ts < sp + INTERVAL 3 HOUR THEN 'missing'
+    WHEN ts >= au + INTERVAL 1 HOUR AND ts < au + INTERVAL 2 HOUR THEN 'double' ELSE 'single' END AS kind,
+  ts + to_minutes(CASE WHEN ts >= sp + INTERVAL 3 HOUR AND ts < au + INTERVAL 2 HOUR THEN 240 ELSE 300 END) AS utc FROM t JOIN ch USING (y))
+---
+SELECT *, CAST(local AS DATE) AS local_date FROM l""")
+def _(v):
+    # each order at a minute of the first eight hours of its day, in which all clock changes fall
+    at = F.expr("timestampadd(MINUTE, (o_orderkey * 7919) % 480, cast(o_orderdate as timestamp_ntz))")
+    t = v.table("orders").select("o_orderkey", at.alias("ts"))
+    t = Z.to_utc(Z.from_utc(t, "ts", _zones(v)), "ts", _zones(v), "utc", "kind")
+    return t.withColumn("local_date", F.to_date("local"))
+
+
+@query("utc_sessions", "CAL1 CAL2 FN4", "td:d pos:i open_utc:t close_utc:t", _CHANGES + """
+d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS td FROM orders)
+---
+m AS (SELECT td, row_number() OVER (ORDER BY td) - 1 AS pos, CASE WHEN td >= sp AND td < au THEN 240 ELSE 300 END AS ahead
+  FROM d JOIN ch ON y = year(td))
+---
+SELECT td, pos, CAST(td AS TIMESTAMP) + to_minutes(570 + ahead) AS open_utc, CAST(td AS TIMESTAMP) + to_minutes(960 + ahead) AS close_utc FROM m""")
+def _(v):
+    days = v.table("orders").select(F.to_date("o_orderdate").alias("date"))
+    return Z.utc_sessions(C.calendar(days, 570, 960), _zones(v))
+
+
 @query("date_parts", "FN5", "o_orderkey:i month:s quarter:i weekday:i later:d session_open:t hours:f", """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, quarter(o_orderdate) AS quarter, isodow(o_orderdate) - 1 AS weekday,
   CAST(o_orderdate + INTERVAL 7 DAY AS DATE) AS later, date_trunc('day', o_orderdate) + INTERVAL 540 MINUTE AS session_open,
