@@ -7,6 +7,8 @@ is broadcast. News rows are never shuffled to find their session.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,35 +111,59 @@ def overnight_buckets(bars: DataFrame, cal: DataFrame, over: DataFrame) -> DataF
         F.col("_bar").isNull() & F.col("date").isNotNull()).drop("_bar")
 
 
+def running_sums(rows: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
+    """Rows (ticker, pos, ...) with ``upto``: the element-wise sum of the vectors of the ticker at this position and all
+    before it. A null vector adds nothing. Each vector is added once, whatever is asked of the sums later."""
+    from bellwether.functions.vectors import as_dense, zeros
+
+    w = Window.partitionBy("ticker").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    v = as_dense(F.coalesce(F.col(vec).cast("array<double>"), zeros(dim)))
+    return rows.withColumn("upto", vector_to_array(Summarizer.metrics("sum").summary(v).over(w)["sum"]))
+
+
 def session_windows(bars: DataFrame, cal: DataFrame, over: DataFrame, info: DataFrame, dim: int,
-                    mid: int = 7, long: int = 30) -> DataFrame:
+                    mid: int = 7, long: int = 30, items: bool = False) -> DataFrame:
     """Session-count windows: ``short`` is the mean of the overnight buckets since the
     ticker's previous bar, ``mid`` and ``long`` the info buckets of the sessions before,
     with ``mid_mean`` and ``long_mean`` dividing by all slots (empty ones count as zero).
 
-    ``over`` and ``info`` are (ticker, pos, vec).
+    ``over`` and ``info`` are (ticker, pos, vec), one row per position. A window is the difference of two running sums,
+    so no vectors are collected; with ``items`` the buckets of the long window are returned as well.
     """
-    from bellwether.functions.vectors import fold_sum, mean_of, zeros
+    from bellwether.functions.vectors import mean_of, zeros
 
     short = overnight_buckets(bars, cal, over).groupBy("ticker", "date").agg(mean_of("vec").alias("_short"))
-    first = bars.groupBy("ticker").agg(F.min("date").alias("_first"))
     b = _with_positions(bars, cal).select("ticker", "pos", F.struct("date").alias("_row"))
-    i = info.select("ticker", "pos", F.struct("pos", "vec").alias("_item"))
-    f = Window.partitionBy("ticker").orderBy("pos").rangeBetween(-long, -1)
-    w = i.unionByName(b, allowMissingColumns=True).withColumn("items", F.collect_list("_item").over(f))
-    w = w.filter("_row is not null").select("ticker", "pos", "_row.date", "items")
-    w = w.join(first, "ticker").filter("date > _first").drop("_first").join(short, ["ticker", "date"], "left")
-    near = F.filter("items", lambda x: x["pos"] >= F.col("pos") - mid)
-
-    def mean(items: Column, n: int) -> Column:
-        return F.transform(fold_sum(F.transform(items, lambda x: x["vec"]), dim), lambda x: x / n)
+    by = Window.partitionBy("ticker").orderBy("pos")
+    u = running_sums(info.select("ticker", "pos", "vec").unionByName(b, allowMissingColumns=True), dim)
+
+    def before(c: Column, back: int) -> Column:
+        """A running value as it stood ``back`` positions ago; the frame only grows."""
+        return F.last(c).over(by.rangeBetween(Window.unboundedPreceding, -back))
+
+    count = F.count("vec").over(by.rangeBetween(Window.unboundedPreceding, 0))
+    u = u.withColumn("_n", count)
+    # counts and sums apart, so that who asks for counts alone adds no vectors
+    u = u.withColumns({f"{name}{c}": before(F.col(c), back) for name, back in (("_end_", 1), ("_mid_", mid + 1), ("_long_", long + 1)) for c in ("_n", "upto")})
+    u = u.withColumn("_first", F.min("_row.date").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if items:
+        item = F.when(F.col("vec").isNotNull(), F.struct("pos", "vec"))
+        u = u.withColumn("items", F.collect_list(item).over(by.rangeBetween(-long, -1)))
+    w = u.filter("_row is not null and _row.date > _first").withColumn("date", F.col("_row.date")).join(short, ["ticker", "date"], "left")
+
+    def count_since(start: str) -> Column:
+        return F.coalesce(F.col("_end__n"), F.lit(0)) - F.coalesce(F.col(f"{start}__n"), F.lit(0))
+
+    def mean(start: str, slots: int) -> Column:
+        apart = F.zip_with("_end_upto", F.coalesce(F.col(f"{start}_upto"), zeros(dim)), lambda x, y: (x - y) / slots)
+        return F.when(count_since(start) > 0, apart).otherwise(zeros(dim))
 
     return w.select(
         "ticker", "date", "pos", F.coalesce("_short", zeros(dim)).alias("short"),
         F.col("_short").isNotNull().alias("has_short"),
-        (F.col("_short").isNotNull() | (F.size("items") > 0)).alias("has_any"),
-        F.size(near).alias("n_mid"), F.size("items").alias("n_long"), "items",
-        mean(near, mid).alias("mid_mean"), mean(F.col("items"), long).alias("long_mean"))
+        (F.col("_short").isNotNull() | (count_since("_long") > 0)).alias("has_any"),
+        count_since("_mid").alias("n_mid"), count_since("_long").alias("n_long"), *(["items"] if items else []),
+        mean("_mid", mid).alias("mid_mean"), mean("_long", long).alias("long_mean"))
 
 
 def event_id_windows(prices: DataFrame, events: DataFrame, mid: int = 7, width: int = 64) -> DataFrame:
