@@ -7,6 +7,7 @@ dates (bounded by the calendar), fitted models and single metric values.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -165,11 +166,31 @@ def walk_forward(rows: DataFrame, make: Callable[[], Estimator], step: int = 63,
     return parts
 
 
-def bagging(train: DataFrame, test: DataFrame, make: Callable[[], Estimator], bags: int = 3, seed: int = SEED) -> DataFrame:
-    """Mean probability of models fitted on bootstrap samples."""
+def poisson_weight(key: list[str], bag: int, seed: int = SEED, rate: float = 1.0) -> Column:
+    """How often a row is in a bag: Poisson by inverse distribution function of a hash of key, bag and seed.
+
+    The draw depends on nothing but these, so it is the same under every partitioning, on a retry and in another engine. Rows with
+    equal keys get equal draws, so the key should be unique; a null counts as an empty text. Steps go on until what is
+    left is below the hash's own step of 2 to the power of -52."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(bag)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+    steps, term, upto, k = [], math.exp(-rate), 0.0, 0
+    while k <= rate or term > 2.0**-52:
+        upto += term
+        steps.append(upto)
+        k += 1
+        term *= rate / k
+    return sum(((u >= s).cast("int") for s in steps), F.lit(0))
+
+
+def bagging(train: DataFrame, test: DataFrame, make: Callable[[], Estimator], bags: int = 3, seed: int = SEED,
+            key: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
+    """Mean probability of models fitted on bags: Poisson draws by hash of ``key``, as row weights (``make`` has to use ``weight``),
+    instead of copies of rows."""
     out = test
     for b in range(bags):
-        out = score(make().fit(train.sample(withReplacement=True, fraction=1.0, seed=seed + b)), out, f"_p{b}")
+        bag = train.withColumn("weight", F.col("weight") * poisson_weight(list(key), b, seed)).filter("weight > 0")
+        out = score(make().fit(bag), out, f"_p{b}")
     return out.withColumn("p", sum(F.col(f"_p{b}") for b in range(bags)) / bags).drop(*[f"_p{b}" for b in range(bags)])
 
 

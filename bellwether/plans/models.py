@@ -112,6 +112,27 @@ def _(v):
     return M.metrics(M.bagging(train, test, lambda: M.logistic(M.FEATURES["trend"])))
 
 
+@query("bag_weights", "ML6", "bag:i weight:i n:i label_sum:i first_key:s", """
+k AS (SELECT bag, t.* FROM scores t, (SELECT unnest(range(0, 3)) AS bag))
+---
+u AS (SELECT *, CAST(CAST('0x' || substr(md5('13|' || bag || '|' || ticker || '|' || strftime(date, '%Y-%m-%d')), 1, 13) AS BIGINT) AS DOUBLE)
+  / 4503599627370496 AS u FROM k)
+---
+c AS (SELECT k AS w, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS upto FROM (SELECT unnest(range(0, 19)) AS k))
+---
+w AS (SELECT *, (SELECT count(*) FROM c WHERE u >= upto) AS weight FROM u)
+---
+SELECT bag, weight, count(*) AS n, sum(CAST(score > 0.6 AS INTEGER)) AS label_sum, min(ticker || ' ' || strftime(date, '%Y-%m-%d')) AS first_key
+FROM w GROUP BY 1, 2""", "scores")
+def _(v):
+    # one pass: the three draws of a row travel as an array
+    draws = F.array(*[F.struct(F.lit(b).alias("bag"), M.poisson_weight(["ticker", "date"], b).alias("weight")) for b in range(3)])
+    d = v.scores.withColumn("date", F.to_date("date")).select("ticker", "date", "score", F.explode(draws).alias("b"))
+    return d.groupBy("b.bag", "b.weight").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("score") > 0.6).cast("int")).alias("label_sum"),
+        F.min(F.concat_ws(" ", "ticker", F.col("date").cast("string"))).alias("first_key"))
+
+
 @query("meta_label", "ML7", "n:i candidates:i hit_first:f hit_meta:f")
 def _(v):
     train, _dev, test = parts(v)
@@ -216,11 +237,11 @@ def _(v):
 
 def trained_words(v):
     e = v.titles_tokens.join(P.eligible(v.news, "published_at", "2024-01-20").filter("emb_eligible").select("news_id"), "news_id")
-    return M.word_vectors(e, dim=16)
+    return M.word_vectors(e)
 
 
 @query("word_vectors", "TX9", "form:s dims:i", """
-SELECT form, 16 AS dims FROM tokens JOIN news USING (news_id) WHERE CAST(published_at AS DATE) < DATE '2024-01-20'
+SELECT form, 100 AS dims FROM tokens JOIN news USING (news_id) WHERE CAST(published_at AS DATE) < DATE '2024-01-20'
 GROUP BY form HAVING count(*) >= 5""", "tokens news")
 def _(v):
     return trained_words(v).select("form", F.size("vec").alias("dims"))

@@ -80,3 +80,32 @@ def test_tfidf_of_a_day_is_counted_over_its_texts(spark):
         for r in M.tfidf_features(texts, days, vocab).collect():
             assert r.x.size == len(terms) and list(r.x.toArray()) == pytest.approx([counts[r.date][g] * math.log(4 / (1 + df[g])) for g in terms])
     assert "collect_list" not in M._grams(texts)._jdf.queryExecution().toString()
+
+
+def test_bags_are_poisson_and_the_same_under_repartition(spark):
+    from collections import Counter
+    import math
+
+    rows = spark.range(40_000).select(F.col("id"), F.col("id").cast("string").alias("k"))
+    draws = {parts: {r.id: (r.a, r.b) for r in rows.repartition(parts).select("id", M.poisson_weight(["k"], 0).alias("a"), M.poisson_weight(["k"], 1).alias("b")).collect()} for parts in (1, 7)}
+    assert draws[1] == draws[7]
+    a, b = zip(*draws[1].values(), strict=True)
+    for xs in (a, b):
+        seen = Counter(xs)
+        chi = sum((seen[k] - (e := 40_000 * math.exp(-1) / math.factorial(k))) ** 2 / e for k in range(6))
+        assert chi < 25 and abs(sum(xs) / 40_000 - 1) < 0.02
+    assert abs(sum(x * y for x, y in zip(a, b, strict=True)) / 40_000 - 1) < 0.04
+    low = [r.w for r in rows.select(M.poisson_weight(["k"], 0, rate=6.5).alias("w")).collect()]
+    assert abs(sum(low) / 40_000 - 6.5) < 0.06
+
+
+def test_bagging_repeats_under_repartition(rows):
+    def make():
+        return M.logistic(["lagret_1", "gap"])
+
+    def fit(train):
+        out = M.bagging(train, rows, make, bags=2)
+        return {(r.ticker, r.date): r.p for r in out.select("ticker", "date", "p").collect()}
+
+    one, other = fit(rows), fit(rows.repartition(5))
+    assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 for k in one)
