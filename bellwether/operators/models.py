@@ -180,7 +180,8 @@ def poisson_weight(key: list[str], bag: int, seed: int = SEED, rate: float = 1.0
         steps.append(upto)
         k += 1
         term *= rate / k
-    return sum(((u >= s).cast("int") for s in steps), F.lit(0))
+    # the array binds the draw, so that its hash is taken once and not once per step
+    return F.get(F.transform(F.array(u), lambda x: sum(((x >= s).cast("int") for s in steps), F.lit(0))), F.lit(0))
 
 
 def bagging(train: DataFrame, test: DataFrame, make: Callable[[], Estimator], bags: int = 3, seed: int = SEED,
