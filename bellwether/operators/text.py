@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,49 +18,60 @@ def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
     return R.global_rank(c, [F.desc("n"), F.asc("form")], "word_id")
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last(tags: Column, mark: str) -> Column:
+    """Place (from 1) at which the last such mark ends; 0 without one."""
+    return F.when(F.contains(tags, F.lit(mark)), F.length(tags) - F.length(F.substring_index(tags, mark, -1))).otherwise(F.lit(0))
+
+
+def _noun_run(tags: Column) -> Column:
+    """Place and length of the last run of nouns."""
+    def of(upto: Column) -> Column:
+        return _bind(F.length(F.rtrim(upto, F.lit("N"))), lambda n: F.struct((n + 1).alias("at"), (F.length(upto) - n).alias("n")))
+
+    return _bind(F.rtrim(tags, F.lit("SOVA-")), of)
+
+
+def _triple(toks: Column, tags: Column) -> Column:
+    """The parts of one text as a struct, null if it lacks one."""
+    before = lambda place: tags.substr(F.lit(1), place - 1)
+    words = lambda run: F.slice(toks, run["at"], run["n"])
+    tail = tags.substr(F.instr(tags, "N"), F.length(tags))
+    facts = F.struct(
+        F.struct(F.instr(tags, "N").alias("at"), (F.length(tail) - F.length(F.ltrim(tail, F.lit("N")))).alias("n")).alias("first"),
+        _noun_run(tags).alias("final"), F.position(F.lit("S"), tags, F.instr(tags, "N")).alias("s"),
+        _last(tags, "O").alias("o"), _last(tags, "V").alias("v"), _last(tags, "NA").alias("a"))
+
+    def chosen(x: Column) -> Column:
+        subject = F.when(x["s"] > 0, _noun_run(before(x["s"]))).otherwise(x["first"])
+        marked = F.when(x["o"] > x["first"]["at"], _noun_run(before(x["o"]))).otherwise(x["final"])
+        moved = lambda y: F.when(y["o1"]["at"] != x["final"]["at"], x["final"]).otherwise(x["first"])
+        verb = F.when(x["a"] > x["v"], words(_noun_run(before(x["a"])))).otherwise(F.array(F.get(toks, x["v"] - 1)))
+        found = _bind(F.struct(subject.alias("o1"), marked.alias("o2")), lambda y: F.struct(
+            words(y["o1"]).alias("o1"), verb.alias("p"),
+            words(F.when(y["o1"]["at"] == y["o2"]["at"], moved(y)).otherwise(y["o2"])).alias("o2")))
+        return F.when((x["first"]["at"] > 0) & (x["first"]["at"] != x["final"]["at"]) & (x["v"] + x["a"] > 0), found)
+
+    return _bind(facts, chosen)
+
+
 def triples_from_tags(tagged: DataFrame, key: str = "news_id") -> DataFrame:
-    """Actor, predicate and object of each tagged text.
+    """Actor, predicate and object of each tagged text: ``toks``, its tokens, and ``tags``, a text with one letter per token.
 
     Tags: N noun, S / O subject and object marks (on the phrase before them), V verb,
     A action suffix (turns the noun phrase right before it into a predicate). Noun runs
-    are phrases, numbered from 0. The actor is the first subject-marked phrase or the
+    are phrases. The actor is the first subject-marked phrase or the
     first one; the object is the last object-marked phrase or the last one, moved to
-    another phrase when both fall together. Texts with fewer than two phrases, without
-    predicate, or with equal parts give nothing. One exchange on the text key.
+    another phrase when both fall together; the predicate is the last one. Texts with fewer than two phrases, without
+    predicate, or with equal parts give nothing. Places are found in the text of tags, so tokens
+    stay in their row: nothing is exchanged or sorted.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    noun = F.col("tag") == "N"
-    t = tagged.withColumn("_prev", F.coalesce(F.lag("tag").over(w), F.lit("")))
-    start = (noun & (F.col("_prev") != "N")).cast("int")
-    t = t.withColumn("_np", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    has_np = F.col("_np") >= 0
-    pred = (F.col("tag") == "V") | ((F.col("tag") == "A") & (F.col("_prev") == "N") & has_np)
-    # per phrase: its words and the marks, verbs and suffixes that follow before the next phrase
-    p = t.groupBy(key, "_np").agg(
-        F.array_sort(F.collect_list(F.when(noun, F.struct("pos", "form")))).alias("_w"),
-        F.max((F.col("tag") == "S").cast("int")).alias("_s"),
-        F.max((F.col("tag") == "O").cast("int")).alias("_o"),
-        F.max_by(F.struct((F.col("tag") == "A").alias("self"), "form"),
-                 F.when(pred, F.col("pos"))).alias("_pred"))
-    p = p.withColumn("_w", F.transform("_w", lambda x: x["form"]))
-    whole = Window.partitionBy(key)
-    i = F.col("_np")
-    p = p.withColumns({
-        "_n": F.max(i).over(whole) + 1,
-        "_o1": F.coalesce(F.min(F.when((F.col("_s") == 1) & (i >= 0), i)).over(whole), F.lit(0)),
-        "_om": F.max(F.when((F.col("_o") == 1) & (i >= 0), i)).over(whole),
-        "_pi": F.max(F.when(F.col("_pred").isNotNull(), i)).over(whole)})
-    o2 = F.coalesce("_om", F.col("_n") - 1)
-    moved = F.when(F.col("_o1") != F.col("_n") - 1, F.col("_n") - 1).otherwise(0)
-    p = p.withColumn("_o2", F.when(o2 == F.col("_o1"), moved).otherwise(o2))
-
-    def pick(index: str, e: Column) -> Column:
-        return F.max(F.when(i == F.col(index), e))
-
-    words = F.col("_w")
-    predicate = F.when(F.col("_pred.self"), words).otherwise(F.array("_pred.form"))
-    g = p.filter("_n >= 2 and _pi is not null").groupBy(key).agg(
-        pick("_o1", words).alias("o1"), pick("_pi", predicate).alias("p"), pick("_o2", words).alias("o2"))
+    row = F.array(F.struct("toks", F.regexp_replace("tags", "[^NSOVA]", "-").alias("tags")))
+    g = tagged.select(key, F.inline_outer(F.transform(row, lambda x: _triple(x["toks"], x["tags"]))))
     return g.filter((F.col("o1") != F.col("p")) & (F.col("o2") != F.col("p")) & (F.col("o1") != F.col("o2")))
 
 
@@ -99,11 +112,22 @@ def skipgram_pairs(tokens: DataFrame, vocab: DataFrame, window: int = 5, t: floa
     return pairs.groupBy("center", F.col("c").alias("context")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def argument_vectors(events: DataFrame, words: DataFrame, key: str = "news_id") -> DataFrame:
-    """Mean word vector of actor, predicate and object; only events with all three known."""
+def _argument_words(events: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, arg, vec): the known words of actor, predicate and object, one row per use."""
     arg = F.explode(F.array(*[F.struct(F.lit(a).alias("arg"), F.col(a).alias("ws")) for a in ("o1", "p", "o2")]))
     long = events.select(key, arg.alias("a")).select(key, "a.arg", F.explode("a.ws").alias("form"))
-    m = V.vector_mean(long.join(words.select("form", "vec"), "form"), [key, "arg"], "vec", "vec")
+    return long.join(words.filter("vec is not null").select("form", "vec"), "form").select(key, "arg", "vec")
+
+
+def known_events(events: DataFrame, words: DataFrame, key: str = "news_id") -> DataFrame:
+    """The keys of events whose actor, predicate and object each have a known word; vectors are not moved."""
+    bit = F.when(F.col("arg") == "o1", 1).when(F.col("arg") == "p", 2).otherwise(4)
+    return _argument_words(events, words, key).groupBy(key).agg(F.bit_or(bit).alias("_args")).filter("_args = 7").select(key)
+
+
+def argument_vectors(events: DataFrame, words: DataFrame, key: str = "news_id") -> DataFrame:
+    """Mean word vector of actor, predicate and object; only events with all three known."""
+    m = V.vector_mean(_argument_words(events, words, key), [key, "arg"], "vec", "vec")
     g = m.groupBy(key).agg(*[F.max(F.when(F.col("arg") == a, F.col("vec"))).alias(f"v_{a}") for a in ("o1", "p", "o2")])
     return g.filter("v_o1 is not null and v_p is not null and v_o2 is not null")
 

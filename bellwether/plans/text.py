@@ -319,7 +319,7 @@ SELECT (SELECT count(*) FROM documents) AS texts, count(*) AS rows, count(k.news
   avg(CASE WHEN CAST(published_at AS DATE) < DATE '2024-01-20' THEN 1.0 ELSE 0.0 END) AS eligible
 FROM triples t LEFT JOIN k USING (news_id)""", "triples words")
 def _(v):
-    return T.event_stats(v.table("documents"), v.events, T.argument_vectors(v.events, v.words), "2024-01-20")
+    return T.event_stats(v.table("documents"), v.events, T.known_events(v.events, v.words), "2024-01-20")
 
 
 @query("corrupted_events", "TX11", "news_id:i which:i o1:l p:l o2:l", """
