@@ -69,7 +69,7 @@ e AS (SELECT ticker, date, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS d
 ---
 SELECT ticker, date, dim, sum(CAST(x AS DOUBLE) * w) / sum(w) AS val FROM e GROUP BY 1, 2, 3""", "news tokens words")
 def _(v):
-    t = v.tokens.join(v.news.select("news_id", "ticker", _day().alias("date")), "news_id")
+    t = v.news_tokens.select("ticker", _day().alias("date"), F.explode("toks").alias("form"))
     m = A.token_vector_mean(t, v.words, ["ticker", "date"])
     return m.select("ticker", "date", F.posexplode("vec").alias("p", "val")).withColumn("dim", F.col("p") + 1)
 

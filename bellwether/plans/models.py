@@ -10,6 +10,7 @@ from bellwether.operators import models as M
 from bellwether.operators import projections as P
 from bellwether.operators import windows as W
 from bellwether.operators.aggregates import corr
+from bellwether.operators.calendar import assign_session
 from bellwether.operators.ranks import with_scalars
 from bellwether.plans.registry import query
 from bellwether.plans.sessions import DIM, buckets, sessioned_vectors
@@ -235,9 +236,12 @@ def _(v):
     return M.claim_checks(M.rule_baselines(v.panel), [("momentum", "majority"), ("majority", "momentum")])
 
 
+def training_texts(v):
+    return P.eligible(v.news_tokens, "published_at", "2024-01-20").filter("emb_eligible").select("toks")
+
+
 def trained_words(v):
-    e = v.titles_tokens.join(P.eligible(v.news, "published_at", "2024-01-20").filter("emb_eligible").select("news_id"), "news_id")
-    return M.word_vectors(e)
+    return M.word_vectors(training_texts(v))
 
 
 @query("word_vectors", "TX9", "form:s dims:i", """
@@ -275,11 +279,16 @@ def _(v):
     return per.agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("total"))
 
 
+def session_texts(v):
+    """Token lists with the session they inform."""
+    s = assign_session(v.news_tokens, v.calendar).filter("eff is not null")
+    return s.select("news_id", "ticker", F.col("eff").alias("date"), "published_at", "toks")
+
+
 @query("tfidf_svm", "TX16", "split:s cost:f " + _METRICS)
 def _(v):
     # the texts that inform one session of a ticker are one document, labelled with its direction
-    s = v.sessioned.filter("eff is not null").select("news_id", "ticker", F.col("eff").alias("date"), "published_at")
-    texts = s.join(v.titles_tokens, "news_id")
+    texts = session_texts(v)
     y = v.daily.select("ticker", "date", (F.col("close") > F.col("open")).cast("double").alias("label"))
     days = frozen(M.time_split(texts.select("ticker", "date").distinct().join(y, ["ticker", "date"])))
     pred = M.tfidf_svm(texts, days)
