@@ -74,6 +74,27 @@ def is_run(tokens: Column | str, name: Column | str, longest: int = 4) -> Column
     return F.when(F.size(t) > 0, F.exists(F.sequence(F.lit(0), F.size(t) - 1), here)).otherwise(F.lit(False))
 
 
+def named_runs(tokens: Column | str, names: Column | str, longest: int = 4) -> Column:
+    """Those of ``names`` that are exactly the concatenation of up to ``longest`` consecutive tokens.
+
+    One pass over the tokens finds the names that are a token and the tokens that begin another name; only from these are runs made.
+    """
+    t, names = _c(tokens), _c(names)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    starts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(n) - 1, F.lit(1))), lambda i: n.substr(F.lit(1), i))
+    joined = lambda i: F.array(*[F.concat(*[F.get(t, i + j) for j in range(k)]) for k in range(2, longest + 1)])
+
+    def runs(near: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.array_contains(near, F.get(t, i)))
+        return F.when(F.size(near) > 0, F.flatten(F.transform(at, joined))).otherwise(F.array().cast("array<string>"))
+
+    def both(single: Column) -> Column:
+        near = F.array_intersect(t, F.flatten(F.transform(F.array_except(names, single), starts)))
+        return F.array_intersect(names, F.concat(single, once(near, runs)))
+
+    return once(F.array_intersect(names, t), both)
+
+
 def word_match(text: Column | str, name: Column | str) -> Column:
     """Literal occurrence of ``name`` with no letter, digit or ampersand on either side."""
     edge = "[0-9A-Za-z&]"

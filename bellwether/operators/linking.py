@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bellwether.functions import text as X
 from bellwether.session import frozen
 
 #: Letters of a name that are joined with the words of texts, and rows of names that are broadcast.
 _LONGEST_GRAM, _BROADCAST = 4, 100_000
+#: Bytes of text that are cut into grams at once.
+_SLICE = 1 << 20
 
 
 def alias_table(universe: DataFrame, name_min: int = 2, alias_min: int = 3) -> DataFrame:
@@ -69,8 +77,112 @@ def _held(news: DataFrame, words: DataFrame, holding: DataFrame) -> DataFrame:
     return hit.filter("whole").select("news_id", "alias").unionByName(several.select("news_id", "alias"))
 
 
+def _places(data: np.ndarray, ends: np.ndarray, names: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, start, end, name) of every place in texts that lie one after the other, each from ``ends[i]`` to before ``ends[i + 1]``.
+
+    All short grams of the bytes are looked up among the first letters of the names; what meets is compared letter by letter."""
+    letters, size = np.frombuffer(b"".join(names), np.uint8), np.array([len(x) for x in names])
+    begin = np.cumsum(size) - size
+    heads = defaultdict(list)
+    for no, x in enumerate(names):
+        k = min(len(x), _LONGEST_GRAM)
+        heads[k].append((int.from_bytes(x[:k], "little"), no))
+    for k, rows in heads.items():
+        codes, nos = (np.array(x) for x in zip(*sorted(rows), strict=True))
+        hashed = lambda c: ((c * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
+        known = np.zeros(1 << 16, bool)
+        known[hashed(codes.astype(np.uint32))] = True
+        for at in range(0, len(data), _SLICE):
+            part = data[at : at + _SLICE + k - 1].astype(np.uint32)
+            grams = sum(part[j : len(part) - k + 1 + j] << np.uint32(8 * j) for j in range(k)) if len(part) >= k else part[:0]
+            here = np.flatnonzero(known[hashed(grams)])
+            low, high = (np.searchsorted(codes, grams[here], side) for side in ("left", "right"))
+            n = high - low
+            start, no = np.repeat(here + at, n), nos[np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())]
+            text = np.searchsorted(ends, start, "right") - 1
+            fits = start + size[no] <= ends[text + 1]
+            start, no, text = start[fits], no[fits], text[fits]
+            for j in range(k, size.max()):
+                longer = np.flatnonzero(size[no] > j)
+                if not len(longer):
+                    break
+                same = np.ones(len(no), bool)
+                same[longer] = data[start[longer] + j] == letters[begin[no[longer]] + j]
+                start, no, text = start[same], no[same], text[same]
+            yield text, start, start + size[no], no
+
+
+_INNER = np.array([chr(b).isascii() and (chr(b).isalnum() or chr(b) == "&") for b in range(256)])
+
+
+def _read(column: pa.Array, names: list[bytes], longest: bool) -> tuple[np.ndarray, ...]:
+    """(text, name, free), sorted: the different names of each text; of ``longest`` those that a reading from left to right takes.
+    ``free``: at some place no letter, digit or ampersand stands on either side."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    if not data or not data.size:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    ends = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    data, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    found = [*zip(*_places(data, ends, names), strict=True)]
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    text, start, stop, no = map(np.concatenate, found)
+    around = np.r_[data, np.uint8(32)]
+    free = ((start == ends[text]) | ~_INNER[around[start - 1]]) & ((stop == ends[text + 1]) | ~_INNER[around[stop]])
+    key = text * len(names) + no
+    wanted, freely = np.unique(key), np.unique(key[free])
+    if longest:
+        order, past, taken = np.lexsort((-stop, start)), 0, []
+        for x, a, b in zip(key[order].tolist(), start[order].tolist(), stop[order].tolist(), strict=True):
+            if a >= past:
+                past = b
+                taken.append(x)
+        wanted = np.unique(np.array(taken, dtype=key.dtype))
+    return wanted // len(names), wanted % len(names), np.isin(wanted, freely)
+
+
+def _found(news: DataFrame, names: DataFrame, keep: list[str], longest: bool = False) -> DataFrame:
+    """The columns ``keep`` of each text with a name, and ``_m``, its names as structs: the columns of ``names``, one row a name, and ``free`` (see ``_read``).
+
+    For names few enough to be broadcast: texts are dealt out once and read where they are; neither words nor places are exchanged.
+    """
+    rows = names.filter("trim(BOTH ' ' FROM alias) <> ''").toArrow().combine_chunks()
+    shared = news.sparkSession.sparkContext.broadcast((rows, [x.encode() for x in rows["alias"].to_pylist()]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, aliases = shared.value
+        for batch in batches if aliases else ():
+            text, no, free = _read(batch.column(0), aliases, longest)
+            taken = table.take(pa.array(no))
+            item = pa.StructArray.from_arrays([*(c.combine_chunks() for c in taken.columns), pa.array(free)], names=[*taken.column_names, "free"])
+            held, first = np.unique(text, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(text)], pa.int32()), item)
+            kept = [batch.column(1 + i).take(pa.array(held)) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, lists], names=[*keep, "_m"])
+
+    item = T.StructType([*(T.StructField(f.name, f.dataType) for f in names.schema), T.StructField("free", T.BooleanType())])
+    schema = T.StructType([*news.select(*keep).schema.fields, T.StructField("_m", T.ArrayType(item))])
+    return news.repartition("news_id").select(F.col("title").cast("binary").alias("_text"), *keep).mapInArrow(read, schema)
+
+
+def _few(names: DataFrame) -> bool:
+    return names.limit(_BROADCAST + 1).count() <= _BROADCAST
+
+
+def bounded_mentions(news: DataFrame, names: DataFrame) -> DataFrame:
+    """(news_id, alias) for every name that a title holds with no letter, digit or ampersand on either side."""
+    names = names.select("alias").distinct()
+    if _few(names):
+        return _found(news, names, ["news_id"]).select("news_id", F.inline("_m")).filter("free").select("news_id", "alias")
+    return mentions(news, names).join(news, "news_id").filter(X.word_match("title", "alias")).select("news_id", "alias")
+
+
 def mentions(news: DataFrame, names: DataFrame) -> DataFrame:
     """(news_id, alias) for every name contained in a title. A name without anything but spaces is never mentioned."""
+    names = names.select("alias").distinct()
+    if _few(names):
+        return _found(news, names, ["news_id"]).select("news_id", F.inline("_m")).select("news_id", "alias")
     words = news.select("news_id", F.explode(F.array_distinct(F.split("title", " "))).alias("word"))
     return _held(news, words, frozen(_holding(words, names)))
 
@@ -122,6 +234,16 @@ def _leftmost_longest(places: Column) -> Column:
     return F.aggregate(order, begin, read, lambda state: state["taken"])
 
 
+def _placed_rules(news: DataFrame, rules: DataFrame) -> DataFrame:
+    """(news_id, title, _m): the rules of the names that a reading from left to right takes, for rules too many to broadcast."""
+    found = occurrences(news, rules).groupBy("news_id").agg(F.collect_list(F.struct("alias", "word", "start", "end", "until", "free")).alias("_at"))
+    taken = found.withColumn("_taken", _leftmost_longest(F.col("_at"))).withColumn("_free", F.transform(F.filter("_at", lambda x: x["free"]), lambda x: x["alias"]))
+    m = taken.select("news_id", "_free", F.explode("_taken").alias("alias")).select("news_id", "alias", F.array_contains("_free", F.col("alias")).alias("free"))
+    m = m.join(_small(rules), "alias")
+    per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight", "free")).alias("_m"))
+    return per.join(news.select("news_id", "title"), "news_id")
+
+
 def link_simple(news: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (ticker, news_id) where any alias of the ticker is contained in the title."""
     m = mentions(news, aliases)
@@ -138,19 +260,20 @@ def classify_mentions(news: DataFrame, rules: DataFrame, cues: list[str]) -> Dat
     ``rules`` is (alias, kind, ambiguous, tight): ``word`` names need free edges, ``run``
     names must equal up to four joined consecutive tokens, a ``tight`` pattern replaces
     both, and an ambiguous name without such a pattern needs a cue word in the text.
-    Status is ``linked``, ``boundary`` or ``ambiguous``. Words are joined with the names, and the places of a
-    text are gathered and read in order; no pattern is made of names.
+    Status is ``linked``, ``boundary`` or ``ambiguous``. Few names are read out of the texts where they are; else words are joined with
+    the names, and the places of a text are gathered and read in order. No pattern is made of names.
     """
-    found = occurrences(news, rules).groupBy("news_id").agg(F.collect_list(F.struct("alias", "word", "start", "end", "until", "free")).alias("_at"))
-    taken = found.withColumn("_taken", _leftmost_longest(F.col("_at"))).withColumn("_free", F.transform(F.filter("_at", lambda x: x["free"]), lambda x: x["alias"]))
-    m = taken.select("news_id", "_free", F.explode("_taken").alias("alias")).select("news_id", "alias", F.array_contains("_free", F.col("alias")).alias("free"))
-    m = m.join(_small(rules), "alias")
-    per = m.groupBy("news_id").agg(F.collect_list(F.struct("alias", "kind", "ambiguous", "tight", "free")).alias("_m"))
-    t = per.join(news.select("news_id", "title"), "news_id").withColumn("_toks", X.tokenize("title"))
+    if _few(rules):
+        t = _found(news, rules.select("alias", "kind", "ambiguous", "tight"), ["news_id", "title"], longest=True)
+    else:
+        t = _placed_rules(news, rules)
+    t = t.withColumn("_toks", X.tokenize("title"))
+    runs = F.transform(F.filter("_m", lambda x: ~x["kind"].eqNullSafe("word")), lambda x: x["alias"])
+    t = t.withColumn("_runs", X.named_runs("_toks", runs))
     t = t.withColumn("_cue", F.arrays_overlap("_toks", F.array(*[F.lit(c) for c in cues])))
 
     def judge(x: Column) -> Column:
-        bounded = F.when(x["kind"] == "word", x["free"]).otherwise(X.is_run("_toks", x["alias"]))
+        bounded = F.when(x["kind"] == "word", x["free"]).otherwise(F.array_contains("_runs", x["alias"]))
         plain = (F.when(~bounded, "boundary")
                  .when(x["ambiguous"] & ~F.col("_cue"), "ambiguous").otherwise("linked"))
         return F.struct(x["alias"].alias("alias"), F.when(

@@ -150,8 +150,7 @@ def _(v):
 SELECT news_id, alias FROM news, aliases
 WHERE regexp_matches(title, '(^|[^0-9A-Za-z&])' || alias || '($|[^0-9A-Za-z&])')""", "news aliases")
 def _(v):
-    m = L.mentions(v.news, v.aliases)
-    return m.join(v.news, "news_id").filter(X.word_match("title", "alias")).select("news_id", "alias")
+    return L.bounded_mentions(v.news, v.aliases)
 
 
 @query("token_runs", "FN13", "news_id:i n_runs:i", f"""
