@@ -1,20 +1,24 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+"""Near-duplicates by SimHash, with every link held to the exact Jaccard similarity of the word shingles and none lost.
 
+The SimHash index of ``llm/simhash.py`` proposes the first links: a set's fingerprint is the majority of its shingles' hashes, and equal
+fingerprints and those within three bits are verified on whole sets. Three bits miss many pairs of a similarity of 0.8, so an exact way finds the rest.
 Two sets with at least ``similarity`` share an element of their prefixes: of ``n`` elements in any order that
 all sets have in common, the first ``n - ceil(similarity * n) + 1``. So every such pair meets in a posting list of
 prefix elements; none is lost. Elements that many documents of a sample hold come last in the order, which keeps the
 lists short; the sample only decides the order, never who is compared.
 
-One pass over the texts leaves a row per document: a hash of its set, the set's size, a bitmap and, once per task and
+One pass over the texts leaves a row per document: a hash of its set, the set's size, its fingerprint, a bitmap and, once per task and
 set, the prefix. Whole sets never leave that pass. Elements that occur once are dropped by a count before postings are
 joined. Common elements up to the end of the prefix that ends first lie in both prefixes, so similar sets share not
 one list but a guaranteed minimum of them (``_minimum``); pairs are tallied over the lists and those under it dropped.
 
-Every set is first compared with the one that most often is the smallest of its lists; what that links needs no further
+Besides its neighbours by SimHash, every set is compared with the one that most often is the smallest of its lists; what that links needs no further
 comparison. Lists that still hold different groups get another head by hash, twice: a set that a head's group does not hold yet is compared
 with the best of the heads it is allowed to link to. So a large group of near copies costs rows by its size and not by its square, though no
-member be like all. Lists that hold different groups even then are split into tiles that meet pair by pair in separate rows, and only pairs that their bitmaps allow leave a tile, for the tally. Lists
-of the same sets, as a shared passage makes them, are compared once and counted as many. Bitmaps are as long as their sets need: those of
+member be like all. Lists that hold different groups even then are split into tiles that meet pair by pair in separate rows. What leaves a tile is a forest over the pairs
+that their bitmaps allow, never the pairs; its trees, joined over all tiles, are blocks outside of which no link is left. Each block is split into tiles again, now of
+whole sets, which return a forest over the links between groups. So rows grow with the sets and not with the pairs. Lists
+of the same sets, as a shared passage makes them, are compared once. Bitmaps are as long as their sets need: those of
 long sets would otherwise be full and allow every pair. A longer one is folded to meet one of half its length. Only the documents of pairs that reach the minimum are read again for their whole sets.
 """
 
@@ -39,6 +43,8 @@ SAMPLE, OFTEN, MOST = 4_000, 3, 50_000
 ROUNDS = 2
 #: Least and most bits of a bitmap; sets that a task remembers as written.
 LEAST_BITS, MOST_BITS, REMEMBERED = 1024, 1 << 15, 1_000_000
+#: Elements of a tile of whole sets, on average.
+ELEMENTS = 1 << 20
 
 
 def shingle_hashes(data: bytes | None, width: int = 5) -> np.ndarray:
@@ -59,6 +65,12 @@ def bitmap(items: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(items & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<i8")
 
 
+def fingerprint(items: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its elements have, as a signed 64-bit number; 0 for the empty set."""
+    ones = np.unpackbits(items.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(items), bitorder="little").view("<i8")[0])
+
+
 def _texts(docs: DataFrame, row_key: Column, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), row_key.alias("row_key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
 
@@ -79,7 +91,7 @@ def _often(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(doc_id, row_key, sid, n, bits, prefix) per row: set id, set size, bitmap and
+    """(doc_id, row_key, sid, n, fp, bits, prefix) per row: set id, set size, fingerprint, bitmap and
     prefix; the prefix is null where the task has written it for an earlier row with this set."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(_often(texts, width))
@@ -99,15 +111,15 @@ def _sketches(texts: DataFrame, similarity: float, width: int) -> DataFrame:
             for t in batch.column(2):
                 items = shingle_hashes(t.as_py(), width)
                 sid = xxhash.xxh64_intdigest(items.tobytes()) - (1 << 63)
-                rows.append((sid, len(items), bitmap(items), None if sid in written else prefix(items)))
+                rows.append((sid, len(items), fingerprint(items), bitmap(items), None if sid in written else prefix(items)))
                 if len(written) >= REMEMBERED:
                     written.clear()
                 written.add(sid)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "row_key", "sid", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=["doc_id", "row_key", "sid", "n", "fp", "bits", "prefix"])
 
-    schema = texts.select("doc_id", "row_key", F.lit(0).cast("bigint").alias("sid"), F.lit(0).alias("n"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("bits", "prefix"))).schema
+    schema = texts.select("doc_id", "row_key", F.lit(0).cast("bigint").alias("sid"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("fp"), *(F.lit(None).cast("array<bigint>").alias(c) for c in ("bits", "prefix"))).schema
     return stored(texts.mapInArrow(sketch, schema), "sketches")
 
 
@@ -214,23 +226,107 @@ def _hashed_heads(mixed: DataFrame, marks: DataFrame, similarity: float, turn: i
     return stored(best.select("a", "m.b"), "likely-pairs")
 
 
-def _meetings(mixed: DataFrame, marks: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """(a, b, lists): how often two sets in different groups that are not ruled out meet in the mixed lists."""
-    rows = mixed.withColumn("tiles", F.ceil(F.col("c") / tile))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("tiles"))).join(marks, "sid")
+def _simhash_pairs(written: DataFrame) -> DataFrame:
+    """(a, b): each set with the smallest of its fingerprint, and the forest of the SimHash index over these."""
+    prints = written.select("sid", "fp").distinct()
+    least = stored(prints.groupBy("fp").agg(F.min("sid").alias("least")), "set-fingerprints")
+    near = simhash.links(least.select("fp"))
+    for x in ("a", "b"):
+        near = near.join(least.select(F.col("fp").alias(x), F.col("least").alias(f"_{x}")), x)
+    same = prints.join(least, "fp").filter("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b"))
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of the pairs: the nodes that are not the smallest of theirs, and the smallest."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    one, other = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, one, label[other])
+        np.minimum.at(least, other, label[one])
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            break
+        label = least
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[child], nodes[label[child]]
+
+
+def _dealt(rows: DataFrame, tiles: Column) -> DataFrame:
+    """Rows of sets with the tile they are in (``own``), once for each pair of tiles (``at``) that their list or block has."""
+    rows = rows.withColumn("tiles", tiles)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("tiles")))
     others = F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)
     meets = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    rows = rows.select("key", "lists", F.explode(meets).alias("at"), F.struct("sid", "root", "n", "own", "bits").alias("member"))
-    tiles = rows.groupBy("key", "lists", "at").agg(F.collect_list("member").alias("members")).select("members", "lists", (F.col("at.i") != F.col("at.j")).alias("crossed"))
+    return rows.select("*", F.explode(meets).alias("at"))
+
+
+def _meetings(mixed: DataFrame, marks: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(a, b): a forest that holds any two sets of a mixed list in one tree that are in different groups and not ruled out."""
+    rows = _dealt(mixed, F.ceil(F.col("c") / tile)).join(marks, "sid")
+    rows = rows.select("key", "at", F.struct("sid", "root", "n", "own", "bits").alias("member"))
+    tiles = rows.groupBy("key", "at").agg(F.collect_list("member").alias("members")).select("members", (F.col("at.i") != F.col("at.j")).alias("crossed"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members, lists, crossed in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                a, b = _allowed(members.values, crossed.as_py(), similarity)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), lists.as_py()))], names=["a", "b", "lists"])
-
-    return tiles.mapInArrow(compare, "a bigint, b bigint, lists bigint").groupBy("a", "b").agg(F.sum("lists").alias("lists"))
+            found = [_spanning(*_allowed(m.values, c.as_py(), similarity)) for m, c in zip(batch.column(0), batch.column(1), strict=True)]
+            if found:
+                a, b = _spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return tiles.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _linked(tile: pa.StructArray, items: pa.ListArray, crossed: bool, similarity: float) -> list[tuple[int, int]]:
+    """A forest over the groups of a tile's sets: pairs of sets with at least the Jaccard similarity, none between groups that others join."""
+    sid, root = (tile.field(k).to_numpy() for k in ("sid", "root"))
+    order = np.argsort(sid)
+    a, b = (order[np.searchsorted(sid, x, sorter=order)] for x in _allowed(tile, crossed, similarity))
+    values, codes = np.unique(items.flatten().to_numpy(), return_inverse=True)
+    ends = np.cumsum(pc.list_value_length(items).to_numpy())
+    held = np.split(codes, ends[:-1])
+    joined: dict[int, int] = {}
+
+    def group(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    found, mark, marked = [], np.zeros(len(values), dtype=bool), -1
+    turn = np.argsort(a, kind="stable")
+    for one, other in zip(a[turn].tolist(), b[turn].tolist(), strict=True):
+        x, y = group(int(root[one])), group(int(root[other]))
+        if x == y:
+            continue
+        if one != marked:
+            mark[:] = False
+            mark[held[one]] = True
+            marked = one
+        shared = int(mark[held[other]].sum())
+        if shared / (len(held[one]) + len(held[other]) - shared) >= similarity:
+            joined[max(x, y)] = min(x, y)
+            found.append((int(sid[one]), int(sid[other])))
+    return found
+
+
+def _links(mixed: DataFrame, marks: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float, width: int, tile: int) -> DataFrame:
+    """(a, b): sets with at least the Jaccard similarity that join all groups of the mixed lists that such pairs join."""
+    met = stored(_meetings(mixed, marks, similarity, tile), "met-sets")
+    blocks = stored(simhash.smallest_reachable(met), "blocks").select(F.col("node").alias("sid"), F.col("root").alias("block"))
+    blocks = blocks.unionByName(blocks.select(F.col("block").alias("sid"), "block").distinct())
+    members = stored(blocks.join(mixed.select("sid", "root").distinct(), "sid").join(marks, "sid"), "block-members")
+    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / ELEMENTS)).alias("_tiles"))
+    rows = _dealt(members.join(stored(sizes, "block-sizes"), "block"), F.col("_tiles")).join(_sets(texts, sketches, met, width), "sid")
+    kept = ["sid", "root", "n", "own", "bits"]
+
+    def verify(tile: pa.Table) -> pa.Table:
+        member = pa.StructArray.from_arrays([tile[c].combine_chunks() for c in kept], names=kept)
+        found = _linked(member, tile["items"].combine_chunks(), tile["i"][0].as_py() != tile["j"][0].as_py(), similarity)
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("block", "at.i", "at.j", "items", *kept).groupBy("block", "i", "j").applyInArrow(verify, "a bigint, b bigint")
 
 
 def roots(texts: DataFrame, sketches: DataFrame, similarity: float = 0.8, width: int = 5, tile: int = 512) -> DataFrame:
@@ -244,7 +340,9 @@ def roots(texts: DataFrame, sketches: DataFrame, similarity: float = 0.8, width:
     heads = stored(shared.groupBy("key").agg(F.min("sid").alias("head"), F.max("sid").alias("last")).filter("head < last").drop("last"), "posting-lists")
     tally = shared.distinct().join(heads, "key").filter("sid <> head").groupBy(F.col("sid").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("lists"))
     best = tally.groupBy("a").agg(F.max(F.struct("lists", "b")).alias("m")).select("a", "m.b", "m.lists")
-    likely = stored(_likely(stored(best, "head-pairs"), marks, similarity), "likely-pairs")
+    near = stored(_likely(stored(_simhash_pairs(written), "simhash-pairs").withColumn("lists", F.lit(1)), marks, similarity, whole=False), "likely-prints")
+    likely = _likely(stored(best, "head-pairs"), marks, similarity)
+    likely = stored(likely.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "likely-pairs")
     edges = stored(_alike(likely, texts, sketches, similarity, width), "head-edges")
     found = stored(simhash.smallest_reachable(edges), "head-roots")
     placed = shared.join(heads.select("key"), "key").join(found.withColumnRenamed("node", "sid"), "sid", "left")
@@ -253,8 +351,7 @@ def roots(texts: DataFrame, sketches: DataFrame, similarity: float = 0.8, width:
     for turn in range(ROUNDS):
         edges = stored(edges.unionByName(_alike(_hashed_heads(mixed, marks, similarity, turn), texts, sketches, similarity, width)), "head-edges")
         mixed = _rejoined(mixed, edges)
-    likely = stored(_likely(stored(_meetings(mixed, marks, similarity, tile), "tile-pairs"), marks, similarity), "likely-pairs")
-    more = _alike(likely, texts, sketches, similarity, width)
+    more = _links(mixed, marks, texts, sketches, similarity, width, tile)
     return simhash.smallest_reachable(edges.unionByName(more)).select(F.col("node").alias("sid"), "root")
 
 

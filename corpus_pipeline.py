@@ -24,7 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles.
 
-    Three bits of a SimHash would lose such links, so the index is not that of op10: prefixes of shingle sets (``llm/shingles.py``)."""
+    SimHash fingerprints of these shingles are linked by the index of op10 and held to the exact similarity; prefixes of shingle sets
+    find the links that three bits lose (``llm/shingles.py``)."""
     return shingles.representatives(docs)
 
 

@@ -677,6 +677,50 @@ def test_bitmaps_grow_with_sets_and_fold():
         assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(9, 7)]
 
 
+def test_list_of_alike_sets_leaves_a_forest_not_its_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**62, 300)
+    sets = [np.unique(np.r_[base, rng.integers(0, 2**62, 8)]) for _ in range(120)]
+    mixed = spark.createDataFrame([(1, 1, len(sets), i, i) for i in range(len(sets))], "key bigint, lists bigint, c bigint, sid bigint, root bigint")
+    marks = spark.createDataFrame([(i, len(x), shingles.bitmap(x).tolist()) for i, x in enumerate(sets)], "sid bigint, n int, bits array<bigint>")
+    for tile in (50, 512):
+        rows = shingles._meetings(mixed, marks, 0.8, tile).collect()
+        assert len(rows) < 3 * len(sets) and {r.a for r in rows} | {r.b for r in rows} == set(range(len(sets)))
+
+
+def test_linked_tiles_return_forests_of_exact_links():
+    rng = np.random.default_rng(6)
+    bases = [rng.integers(0, 2**62, 200) for _ in range(3)]
+    sets = [np.unique(np.r_[bases[i % 3][: 200 - 4 * (i // 3)], rng.integers(0, 2**62, 3)]) for i in range(30)]
+    names = ["sid", "root", "n", "own", "bits"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    rows = list(zip(*[(1000 - i, 1000 - i, len(x), i % 2, shingles.bitmap(x).tolist()) for i, x in enumerate(sets)], strict=True))
+    tile = pa.StructArray.from_arrays([pa.array(list(r), k) for r, k in zip(rows, kinds, strict=True)], names=names)
+    items = pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))
+    for crossed in (False, True):
+        got = shingles._linked(tile, items, crossed, 0.8)
+        where = lambda x: 1000 - x
+        assert len(got) == 27 and all(len(np.intersect1d(sets[where(a)], sets[where(b)])) / len(np.union1d(sets[where(a)], sets[where(b)])) >= 0.8 for a, b in got)
+        assert not crossed or all((a - b) % 2 for a, b in got)
+
+
+def test_simhash_proposes_links_between_sets(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    texts = [(i, " ".join([*words[:400 - i], *(f"x{i}.{k}" for k in range(i))])) for i in range(6)] + [(9, "some other text of few words")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sketches = shingles._sketches(shingles._texts(rows, F.xxhash64("doc_id", "text"), "doc_id", "text"), 0.8, 5).cache()
+    held = {r.sid: r for r in sketches.collect()}
+    for i, t in texts:
+        items = shingles.shingle_hashes(t.encode())
+        bits = "".join("1" if 2 * sum(int(x) >> k & 1 for x in items) > len(items) else "0" for k in reversed(range(64)))
+        assert [r.fp for r in held.values() if r.doc_id == i] == [int(bits, 2) - (int(bits[0]) << 64)]
+    pairs = {(r.a, r.b) for r in shingles._simhash_pairs(sketches).collect()}
+    assert pairs and all((held[a].fp ^ held[b].fp) >= -(2**63) and 9 not in (held[a].doc_id, held[b].doc_id) for a, b in pairs)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: asked.append(1) or links(*a))
+    assert sorted(r.doc_id for r in shingles.representatives(rows).collect()) == [0, 9] and asked
+
+
 def test_long_texts_of_one_passage_and_near_copies_of_two_lengths(spark):
     import random
 
