@@ -126,8 +126,10 @@ def known_events(events: DataFrame, words: DataFrame, key: str = "news_id") -> D
 
 
 def argument_vectors(events: DataFrame, words: DataFrame, key: str = "news_id") -> DataFrame:
-    """Mean word vector of actor, predicate and object; only events with all three known."""
-    m = V.vector_mean(_argument_words(events, words, key), [key, "arg"], "vec", "vec")
+    """Mean word vector of actor, predicate and object; only events with all three known.
+
+    Words are dealt out by event once, so both groupings stay in their task and no buffers of means are exchanged."""
+    m = V.vector_mean(_argument_words(events, words, key).repartition(key), [key, "arg"], "vec", "vec")
     g = m.groupBy(key).agg(*[F.max(F.when(F.col("arg") == a, F.col("vec"))).alias(f"v_{a}") for a in ("o1", "p", "o2")])
     return g.filter("v_o1 is not null and v_p is not null and v_o2 is not null")
 

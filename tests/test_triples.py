@@ -51,3 +51,14 @@ def test_stats_do_not_gather_vectors(views):
 
     plan = T.known_events(views.events, views.words)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ObjectHashAggregate" not in plan
+
+
+def test_argument_vectors_move_each_use_once(spark):
+    from bellwether.operators.text import argument_vectors
+
+    words = spark.createDataFrame([("a", [1.0, 3.0]), ("b", [3.0, 5.0]), ("c", [7.0, 0.0])], "form string, vec array<float>")
+    events = spark.createDataFrame([(1, ["a", "b"], ["c"], ["a", "x"]), (2, ["x"], ["a"], ["b"])], "news_id bigint, o1 array<string>, p array<string>, o2 array<string>")
+    got = argument_vectors(events, words)
+    assert [(r.news_id, r.v_o1, r.v_p, r.v_o2) for r in got.collect()] == [(1, [2.0, 4.0], [7.0, 0.0], [1.0, 3.0])]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(news_id") == 1
