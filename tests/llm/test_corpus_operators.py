@@ -715,7 +715,7 @@ def test_simhash_proposes_links_between_sets(spark, monkeypatch):
         bits = "".join("1" if 2 * sum(int(x) >> k & 1 for x in items) > len(items) else "0" for k in reversed(range(64)))
         assert [r.fp for r in held.values() if r.doc_id == i] == [int(bits, 2) - (int(bits[0]) << 64)]
     pairs = {(r.a, r.b) for r in shingles._simhash_pairs(sketches).collect()}
-    assert pairs and all((held[a].fp ^ held[b].fp) >= -(2**63) and 9 not in (held[a].doc_id, held[b].doc_id) for a, b in pairs)
+    assert pairs and all(9 not in (held[a].doc_id, held[b].doc_id) for a, b in pairs)
     asked, links = [], simhash.links
     monkeypatch.setattr(simhash, "links", lambda *a: asked.append(1) or links(*a))
     assert sorted(r.doc_id for r in shingles.representatives(rows).collect()) == [0, 9] and asked
