@@ -237,23 +237,6 @@ def _simhash_pairs(written: DataFrame) -> DataFrame:
     return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest with the components of the pairs: the nodes that are not the smallest of theirs, and the smallest."""
-    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
-    one, other = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = label.copy()
-        np.minimum.at(least, one, label[other])
-        np.minimum.at(least, other, label[one])
-        least = np.minimum(least, least[least])
-        if (least == label).all():
-            break
-        label = least
-    child = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[child], nodes[label[child]]
-
-
 def _dealt(rows: DataFrame, tiles: Column) -> DataFrame:
     """Rows of sets with the tile they are in (``own``), once for each pair of tiles (``at``) that their list or block has."""
     rows = rows.withColumn("tiles", tiles)
@@ -271,9 +254,9 @@ def _meetings(mixed: DataFrame, marks: DataFrame, similarity: float, tile: int)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_spanning(*_allowed(m.values, c.as_py(), similarity)) for m, c in zip(batch.column(0), batch.column(1), strict=True)]
+            found = [simhash.spanning(*_allowed(m.values, c.as_py(), similarity)) for m, c in zip(batch.column(0), batch.column(1), strict=True)]
             if found:
-                a, b = _spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                a, b = simhash.spanning(*(np.concatenate(x) for x in zip(*found, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return tiles.mapInArrow(compare, "a bigint, b bigint").distinct()

@@ -28,6 +28,8 @@ from bellwether.llm.common import small, stored
 
 POSITIONS = [g for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for g in [tuple(p for p in half if p != out) for out in half]]
 CHUNK = 1 << 16
+#: Edges that a task joins at once.
+EDGES = 1 << 18
 
 
 def simhash64(data: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -125,13 +127,58 @@ def links(fingerprints: DataFrame, distance: int = 3, tile: int = 1024) -> DataF
     return tiles.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def smallest_reachable(edges: DataFrame) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of the pairs: the nodes that are not the smallest of theirs, and the smallest."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    one, other = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least, x, y = label.copy(), label[one], label[other]
+        # nodes take the label of their neighbours, and so do the labels themselves, else long chains take a step for each node
+        for node, seen in ((one, y), (other, x), (x, y), (y, x)):
+            np.minimum.at(least, node, seen)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[child], nodes[label[child]]
+
+
+def _forests(edges: DataFrame, rows: int, most: int) -> DataFrame:
+    """A forest of each ``most`` edges or a batch more, with the same components; edges go to as few tasks as that takes."""
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        pair = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(*pair)], names=["a", "b"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield forest(held)
+                held, n = [], 0
+        if held:
+            yield forest(held)
+
+    return edges.coalesce(max(1, -(-rows // most))).mapInArrow(joined, "a bigint, b bigint")
+
+
+def smallest_reachable(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes of ``edges`` (a, b) that are not roots.
 
-    Alternates the large-star and small-star steps until the edges form stars. Minima are
+    Tasks first turn ``most`` edges at a time into a forest. If there are no more, that is the result, in two
+    tables instead of three a round, each of a file for every partition. Else the forests
+    alternate the large-star and small-star steps until the edges form stars. Minima are
     pre-aggregated and stored before they meet the edges, so a hub is split by the skew join.
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    rows = edges.count()
+    edges = stored(_forests(edges, rows, most), "forests")
+    if rows <= most:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

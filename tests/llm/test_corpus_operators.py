@@ -599,6 +599,26 @@ def test_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {200: 100, 300: 100}
 
 
+def test_few_edges_are_joined_in_two_tables_and_many_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = [(i, i + 1) for i in range(40)] + rng.integers(100, 400, (150, 2)).tolist() + [(7, 7), (9, 8)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(6)
+    group = {x: x for p in pairs for x in p}
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    want, labels, write = {x: r for x, r in group.items() if x != r}, [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, label: labels.append(label) or write(df, label))
+    assert {r.node: r.root for r in simhash.smallest_reachable(edges).collect()} == want and len(labels) <= 2
+    assert {r.node: r.root for r in simhash.smallest_reachable(edges, most=16).collect()} == want and len(labels) > 4
+
+
+def test_chains_of_any_order_are_joined():
+    for ids in (np.arange(50_000), np.random.default_rng(3).permutation(50_000)):
+        child, root = simhash.spanning(ids[1:], ids[:-1])
+        assert sorted(child) == list(range(1, 50_000)) and set(root) == {0}
+
+
 def test_near_duplicate_edges(spark):
     got = simhash.near_duplicates(docs_of(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD)
