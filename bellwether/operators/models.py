@@ -211,18 +211,20 @@ def meta_label(rows: DataFrame, test: DataFrame, make: Callable[[], Estimator],
     the chunks before it. The top ``keep`` of those predictions trains the second model,
     with the first probability as an extra feature. Test candidates get its probability,
     all others 0. The candidates are the top ``keep`` of all test scores, which looks at the whole test part; with
-    ``frozen_cut`` they are the test scores at or above the cut of the out-of-fold scores.
+    ``frozen_cut`` they are the test scores at or above the cut of the out-of-fold scores. Rows and scores
+    are written once: a fit and a quantile read them several times.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     parts = rows.select("date").distinct().withColumn("chunk", F.ntile(chunks).over(w))
-    d = rows.join(F.broadcast(parts), "date")
+    d = frozen(rows.join(F.broadcast(parts), "date"))
     oof = None
     for k in range(2, chunks + 1):
         s = score(make().fit(weighted(d.filter(F.col("chunk") < k))), d.filter(F.col("chunk") == k))
         oof = s if oof is None else oof.unionByName(s)
+    oof = frozen(oof)
     cut = R.exact_quantiles(oof, "p", [1 - keep]).select(F.col("q").alias("_q"))
     second = make_meta().fit(weighted(R.with_scalars(oof, cut).filter(F.col("p") >= F.col("_q")).drop("_q"), top=15.0))
-    first = score(make().fit(weighted(rows)), test)
+    first = frozen(score(make().fit(weighted(d.drop("chunk"))), test))
     if not frozen_cut:
         cut = R.exact_quantiles(first, "p", [1 - keep]).select(F.col("q").alias("_q"))
     s = score(second, R.with_scalars(first, cut), "_m")

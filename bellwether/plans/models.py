@@ -136,8 +136,9 @@ def _(v):
 
 @query("meta_label", "ML7", "n:i candidates:i hit_first:f hit_meta:f")
 def _(v):
-    train, _dev, test = parts(v)
     cols = M.FEATURES["trend"]
+    # narrowed after features are written: their partitions, from which trees sample their splits, stay as they are
+    train, _dev, test = (d.select("ticker", "date", "label", "weight", *cols) for d in parts(v))
     s = M.meta_label(train, test, lambda: M.boosted(cols, iters=5), lambda: M.boosted([*cols, "p"], iters=5))
     cand = F.col("p_meta") > 0
     return s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(cand, 1)).alias("candidates"),

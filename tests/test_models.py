@@ -109,3 +109,12 @@ def test_bagging_repeats_under_repartition(rows):
 
     one, other = fit(rows), fit(rows.repartition(5))
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 for k in one)
+
+
+def test_scores_and_rows_of_meta_label_are_written_once(rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(M, "frozen", lambda d: written.append(d.columns) or frozen(d))
+    cols = ["lagret_1", "gap"]
+    s = M.time_split(rows).select("date", "split", "label", "weight", *cols)
+    got = M.meta_label(s.filter("split = 'train'"), s.filter("split = 'test'"), lambda: M.logistic(cols), lambda: M.logistic([*cols, "p"]))
+    assert got.count() == s.filter("split = 'test'").count() and len(written) == 3
