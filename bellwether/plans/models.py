@@ -20,9 +20,10 @@ _METRICS = "n:i tp:i fp:i fn:i tn:i acc:f base:f mcc:f"
 STEP = 12  # sessions of the monthly panel per walk-forward block
 
 
-def features(v):
-    """Features are used by several fits, so they are written once."""
-    return frozen(M.feature_table(v.panel))
+def features(v, cols=None):
+    """Features are used by several fits, so they are written once; of ``cols`` only these and what else fits and reports need."""
+    rows = M.feature_table(v.panel)
+    return frozen(rows.select("ticker", "date", "ret", "label", "weight", *cols) if cols else rows)
 
 
 def parts(v):
@@ -86,7 +87,8 @@ def _(v):
 
 
 def walk(v, **kw):
-    return M.walk_forward(features(v), lambda: M.logistic(M.FEATURES["trend"]), step=STEP, **kw)
+    cols = M.FEATURES["trend"]
+    return M.walk_forward(features(v, cols), lambda: M.logistic(cols), step=STEP, **kw)
 
 
 @query("walk_forward_folds", "ML5", "block:d rows:i train_rows:i used:b", """

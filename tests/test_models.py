@@ -118,3 +118,12 @@ def test_scores_and_rows_of_meta_label_are_written_once(rows, monkeypatch):
     s = M.time_split(rows).select("date", "split", "label", "weight", *cols)
     got = M.meta_label(s.filter("split = 'train'"), s.filter("split = 'test'"), lambda: M.logistic(cols), lambda: M.logistic([*cols, "p"]))
     assert got.count() == s.filter("split = 'test'").count() and len(written) == 3
+
+
+def test_walks_write_only_the_columns_they_use(views, monkeypatch):
+    from bellwether.plans import models as plans
+
+    made = []
+    monkeypatch.setattr(plans, "frozen", lambda d: made.append(set(d.columns)) or d)
+    plans.features(views, M.FEATURES["trend"])
+    assert made == [{"ticker", "date", "ret", "label", "weight", *M.FEATURES["trend"]}]
