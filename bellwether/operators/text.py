@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bellwether.functions import vectors as V
 from bellwether.functions.scalar import mix
 from bellwether.operators import ranks as R
+from bellwether.operators import skipgram as S
+from bellwether.session import frozen
 
 
 def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
@@ -87,29 +91,66 @@ def event_ids(events: DataFrame, vocab: DataFrame) -> DataFrame:
         "event_id", F.coalesce("event_id", F.lit(0)))
 
 
-def skipgram_pairs(tokens: DataFrame, vocab: DataFrame, window: int = 5, t: float = 1e-3,
+def skipgram_pairs(texts: DataFrame, vocab: DataFrame, window: int = 5, t: float = 1e-3,
                    seed: int = 13) -> DataFrame:
-    """(center, context) counts for skip-gram training.
+    """(center, context) counts for skip-gram training, from ``texts`` (news_id, toks).
 
     Frequent words are thinned with the usual keep probability; each kept position draws
     a reach in 1..window. Draws are hashed from (text, position), so they repeat exactly.
-    Contexts come from lag and lead over the text, not from a self-join.
+    Words go to all tasks, so tokens stay where they are; what moves are the counts of each task, packed. Texts of the same
+    news_id count as one, their tokens in the order of their places; only these texts are moved.
     """
     total = vocab.agg(F.sum("n").alias("_total"))
     v = R.with_scalars(vocab, total)
     z = F.col("n") / F.col("_total")
     keep = F.least(F.lit(1.0), (F.sqrt(z / t) + 1) * (t / z))
-    v = v.select("form", "word_id", keep.alias("_keep"))
-    u = mix(F.col("news_id"), F.col("pos"), seed) / 2147483647.0
-    kept = tokens.join(v, "form").filter(u < F.col("_keep"))
-    w = Window.partitionBy("news_id").orderBy("pos")
-    reach = (mix(F.col("pos"), F.col("news_id"), seed + 1) % window + 1).alias("_r")
-    sides = [(k, F.lag("word_id", k)) for k in range(1, window + 1)]
-    sides += [(k, F.lead("word_id", k)) for k in range(1, window + 1)]
-    around = F.array(*[F.struct(F.lit(k).alias("k"), e.over(w).alias("c")) for k, e in sides])
-    pairs = kept.select(F.col("word_id").alias("center"), reach, around.alias("_a")).select(
-        "center", "_r", F.inline("_a")).filter((F.col("k") <= F.col("_r")) & F.col("c").isNotNull())
-    return pairs.groupBy("center", F.col("c").alias("context")).agg(F.count(F.lit(1)).alias("n"))
+    listed = v.select("form", "word_id", "n", keep.alias("keep")).toArrow().sort_by("word_id").combine_chunks()
+    if not listed.num_rows:
+        return texts.sparkSession.createDataFrame([], "center bigint, context bigint, n bigint")
+    kept = (listed["n"].to_numpy() * listed["keep"].to_numpy()).sum()
+    buckets = int(kept * (window + 1) // S.BUCKET) + 1
+    shared = texts.sparkSession.sparkContext.broadcast((pa.concat_arrays(listed["form"].chunks), listed["word_id"].to_numpy(), listed["keep"].to_numpy()))
+
+    def count(batches):
+        words, _, keep = shared.value
+        packer = S.Packer(len(words), buckets)
+
+        def packed():
+            found = list(packer.blobs())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                              ["bucket", "pairs", "body", "counts"])
+
+        for b, ids, row, pos, known in S.numbered(batches, words):
+            if "pos" in b.schema.names:
+                pos = b.column("pos").flatten().to_numpy(zero_copy_only=False)[known].astype(np.int64)
+            news = b.column("news_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            on = S.draws(news, pos, seed) / 2147483647.0 < keep[ids]
+            ids, row, pos, news = ids[on], row[on], pos[on], news[on]
+            reach = np.fmod(S.draws(pos, news, seed + 1), window) + 1
+            for center, context in S.neighbours(row, reach, window, 0, len(ids)):
+                packer.add(ids[center], ids[context])
+            if packer.n >= S.FLUSH:
+                yield packed()
+        if packer.n:
+            yield packed()
+
+    def joined(blobs: pa.Table) -> pa.Table:
+        words, numbers, _ = shared.value
+        rows = zip(*(blobs[c].to_pylist() for c in ("pairs", "body", "counts")), strict=True)
+        center, context, n = S.Packer(len(words), buckets).pairs(blobs["bucket"][0].as_py(), rows)
+        return pa.table({"center": numbers[center], "context": numbers[context], "n": n})
+
+    texts = texts.filter("news_id is not null and toks is not null").select("news_id", "toks")
+    schema = "bucket int, pairs bigint, body binary, counts binary"
+    again = frozen(texts.groupBy("news_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("news_id"))
+    if again.isEmpty():
+        blobs = texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, schema)
+    else:
+        places = texts.join(again, "news_id", "left_semi").select("news_id", F.posexplode("toks").alias("pos", "form"))
+        one = places.groupBy("news_id").agg(F.sort_array(F.collect_list(F.struct((F.col("pos") + 1).alias("pos"), "form"))).alias("_t"))
+        one = one.select("news_id", F.col("_t.form").alias("toks"), F.col("_t.pos").alias("pos"))
+        blobs = texts.join(again, "news_id", "left_anti").mapInArrow(count, schema).unionByName(one.mapInArrow(count, schema))
+    return blobs.groupBy("bucket").applyInArrow(joined, "center bigint, context bigint, n bigint")
 
 
 def _argument_words(events: DataFrame, words: DataFrame, key: str) -> DataFrame:

@@ -290,7 +290,7 @@ kept AS (SELECT news_id, pos, t.word_id, row_number() OVER (PARTITION BY news_id
 SELECT a.word_id AS center, b.word_id AS context, count(*) AS n FROM kept a JOIN kept b
 ON a.news_id = b.news_id AND b.i <> a.i AND b.i BETWEEN a.i - a.reach AND a.i + a.reach GROUP BY 1, 2""", "tokens vocab")
 def _(v):
-    return T.skipgram_pairs(v.tokens, v.vocab)
+    return T.skipgram_pairs(v.spread_tokens, T.vocabulary(v.spread_tokens.select(F.explode("toks").alias("form")), 5))
 
 
 @query("argument_vectors", "TX10", "news_id:i arg:s dim:i val:f", """
