@@ -10,11 +10,14 @@ import datetime as dt
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from bellwether.functions.scalar import class_weight, mix
 from bellwether.functions.vectors import as_dense
 from bellwether.operators import ranks as R
+from bellwether.operators import skipgram as S
 from bellwether.operators import windows as W
 from bellwether.operators.aggregates import confusion, corr
+from bellwether.operators.text import vocabulary
 from bellwether.session import frozen
 
 SEED = 13
@@ -332,11 +337,39 @@ def claim_checks(table: DataFrame, claims: list[tuple[str, str]], value: str = "
 
 
 def word_vectors(tokens: DataFrame, dim: int = 100, min_count: int = 5, window: int = 5) -> DataFrame:
-    """Skip-gram word vectors of eligible texts; one row per word. As many tasks as the session's parallelism train."""
-    partitions = tokens.sparkSession.sparkContext.defaultParallelism
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, windowSize=window, inputCol="toks", outputCol="v", seed=SEED,
-                   numPartitions=partitions, maxIter=1)
-    return w2v.fit(tokens).getVectors().select(F.col("word").alias("form"), vector_to_array("vector").alias("vec"))
+    """Skip-gram word vectors of eligible texts; one row per word, by hierarchical softmax over all pairs, once.
+
+    As many tasks as the session's parallelism train, each on its own texts with vectors of the words it meets; a word's vector is the
+    mean over tasks, weighted by its uses. The driver sees the words and their counts, which go to all tasks; vectors stay in tasks."""
+    spark = tokens.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    vocab = vocabulary(tokens.select(F.explode("toks").alias("form")), min_count)
+    listed = vocab.select("form", "n", "word_id").toArrow().sort_by("word_id").combine_chunks()
+    counts = listed["n"].to_numpy()
+    texts = tokens.select("toks").coalesce(tasks)
+    held = {r.task: r.n for r in texts.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = pa.concat_arrays(listed["form"].chunks) if len(counts) else pa.array([], pa.string())
+    shared = spark.sparkContext.broadcast((words, counts, S.huffman(counts)))
+    share, rows = {k: n / sum(held.values()) for k, n in held.items()}, max(64, 49_152 // tasks)
+
+    def fit(batches):
+        words, counts, tree = shared.value
+        task = TaskContext.get().partitionId()
+        t = S.Trainer(counts, tree, dim, window, SEED, task, share.get(task, 1 / tasks))
+        for _, ids, text, *_ in S.numbered(batches, words):
+            t.train(ids, text)
+        for blob in t.blobs(rows):
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(blob, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                                             ["bucket", "ids", "uses", "vecs"])
+
+    def join(blobs: pa.Table) -> pa.Table:
+        ids, x = S.merged(*(blobs[c].to_pylist() for c in ("ids", "uses", "vecs")))
+        vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim), pa.int32()), pa.array(x.astype(np.float32).ravel()))
+        return pa.table({"word_id": pa.array(ids.astype(np.int64) + 1), "vec": vecs})
+
+    blobs = texts.mapInArrow(fit, "bucket int, ids binary, uses binary, vecs binary")
+    vectors = frozen(blobs.groupBy("bucket").applyInArrow(join, "word_id bigint, vec array<float>"))
+    return vectors.join(vocab.select("word_id", "form"), "word_id").select("form", F.col("vec").cast("array<double>").alias("vec"))
 
 
 def principal_components(vectors: DataFrame, vec: str, k: int, fit: Column) -> DataFrame:

@@ -240,7 +240,7 @@ def _(v):
 
 
 def training_texts(v):
-    return P.eligible(v.news_tokens, "published_at", "2024-01-20").filter("emb_eligible").select("toks")
+    return P.eligible(v.spread_tokens, "published_at", "2024-01-20").filter("emb_eligible").select("toks")
 
 
 def trained_words(v):
